@@ -100,7 +100,7 @@ def parse_status(text: Column, parsed: Column) -> Column:
     """``null_input``, ``blank``, ``malformed`` or ``ok`` for a parsed document."""
     return (
         F.when(text.isNull(), "null_input")
-        .when(F.trim(F.translate(text, "\t\r\n", "   ")) == "", "blank")
+        .when(text.rlike(r"\A\s*\z"), "blank")
         .when(parsed.isNull() | parsed.getField(CORRUPT).isNotNull(), "malformed")
         .otherwise("ok")
     )

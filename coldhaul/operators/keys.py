@@ -57,10 +57,10 @@ def expired_keys(
     )
     if days["rows"] is None:
         return expired.limit(0)
-    if days["rows"] <= limit:
-        return expired
     after = F.date_add(F.lit(days["last"]), 1).cast(df.schema[ts].dataType)
     upto = expired.where(F.col(ts) < after)
+    if days["rows"] <= limit:
+        return upto
     if limit <= one_task_rows and days["rows"] <= one_task_rows:
         return upto.orderBy(ts, key).limit(limit)
     ranked = rank_rows(upto, [F.col(ts), F.col(key)], days["rows"], one_task_rows)
@@ -122,35 +122,36 @@ def assign_batches(
 
 @dataclass(frozen=True)
 class RunKeys:
-    """The keys of one run, written to the shared folder."""
+    """The keys of one run, read back from where they were written."""
 
     frame: DataFrame
     key: str
     n_keys: int
     n_batches: int
-    path: str
 
 
-def stage_keys(
-    keys: DataFrame,
-    key: str,
-    ts: str,
-    size: int,
-    path: str | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> RunKeys:
-    """Fix the run scope: one row per key with its batch, in a written table.
+def batched_keys(
+    keys: DataFrame, key: str, ts: str, size: int, one_task_rows: int = ONE_TASK_ROWS
+) -> tuple[DataFrame, int]:
+    """One row per key with its batch, and the number of keys.
 
-    Every table of the run joins this copy, so all of them see the same keys
-    even while the source goes on changing or an executor is lost.
+    The distinct keys are written out before they are counted and ranked, so
+    that both see the same ones while the source goes on changing.
     """
     spark = keys.sparkSession
-    path = path or scratch_path(spark, "keys")
-    unique = keys.groupBy(key).agg(F.min(ts).alias(ts))
-    chosen = scratch_path(spark, "chosen")
-    unique.write.parquet(chosen)
-    unique = spark.read.parquet(chosen)
+    path = scratch_path(spark, "chosen")
+    keys.groupBy(key).agg(F.min(ts).alias(ts)).write.parquet(path)
+    unique = spark.read.parquet(path)
     n_keys = unique.count()
-    batched = assign_batches(unique, key, ts, size, n_keys, one_task_rows)
-    batched.select(key, "batch_no").write.mode("overwrite").parquet(path)
-    return RunKeys(spark.read.parquet(path), key, n_keys, ceil_division(n_keys, size), path)
+    return assign_batches(unique, key, ts, size, n_keys, one_task_rows).select(key, "batch_no"), n_keys
+
+
+def stage_keys(
+    keys: DataFrame, key: str, ts: str, size: int, one_task_rows: int = ONE_TASK_ROWS
+) -> RunKeys:
+    """Fix the run scope in a written table that every table of the run joins."""
+    spark = keys.sparkSession
+    batched, n_keys = batched_keys(keys, key, ts, size, one_task_rows)
+    path = scratch_path(spark, "keys")
+    batched.write.parquet(path)
+    return RunKeys(spark.read.parquet(path), key, n_keys, ceil_division(n_keys, size))

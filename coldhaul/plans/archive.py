@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from coldhaul.functions.json_text import CORRUPT, infer_with_fallback, unescape_json, with_parsed
 from coldhaul.operators.conform import conform, lossy_rows
-from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, expired_keys, stage_keys
+from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, expired_keys
 from coldhaul.operators.restrict import rows_left, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings
 from coldhaul.plans.ledger import BATCH, Ledger
@@ -216,8 +216,8 @@ def _run_keys(spark: SparkSession, run_id: str, scope: RunScope, ledger: Ledger)
     if not ledger.pending(spark).isEmpty():
         source = rows_left(source, ledger.deletable_keys(spark), scope.key, "key")
     keys = expired_keys(source, scope.key, scope.ts, scope.as_of, scope.age_days, scope.limit, scope.one_task_rows)
-    staged = stage_keys(keys, scope.key, scope.ts, scope.batch_size, one_task_rows=scope.one_task_rows)
-    ledger.save_keys(run_id, staged)
+    batched, _ = batched_keys(keys, scope.key, scope.ts, scope.batch_size, scope.one_task_rows)
+    ledger.save_keys(run_id, batched, scope.key)
     return ledger.load_keys(spark, run_id)
 
 
@@ -233,13 +233,6 @@ def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataF
     ledger.record_deletes(batches)
 
 
-def _report(result: ArchiveResult) -> ArchiveResult:
-    log.info("%s", result)
-    if result.failed:
-        raise ArchiveFailed(result)
-    return result
-
-
 def archive(
     spark: SparkSession,
     run_id: str,
@@ -260,15 +253,30 @@ def archive(
     """
     ledger.create(spark, scope.source.schema[scope.key].dataType)
     ledger.abandon_unfinished(spark, run_id)
+    failed = ledger.outcome(spark, run_id)
+    if failed is None:
+        run = _run_keys(spark, run_id, scope, ledger)
+        failed = _copy(spark, run_id, run, tables, ledger, max_failed) if run else {}
+    else:
+        run = ledger.load_keys(spark, run_id)
     if delete is not None:
         delete_archived(spark, ledger, delete)
-    outcome = ledger.outcome(spark, run_id)
-    if outcome is not None:
-        known = ledger.load_keys(spark, run_id)
-        return _report(ArchiveResult(run_id, known.n_keys, known.n_batches, outcome))
-    run = _run_keys(spark, run_id, scope, ledger)
-    if run is None:
-        return ArchiveResult(run_id, 0, 0, {})
+    result = ArchiveResult(run_id, run.n_keys if run else 0, run.n_batches if run else 0, failed)
+    log.info("%s", result)
+    if failed:
+        raise ArchiveFailed(result)
+    return result
+
+
+def _copy(
+    spark: SparkSession,
+    run_id: str,
+    run: RunKeys,
+    tables: Sequence[ArchiveTable],
+    ledger: Ledger,
+    max_failed: int,
+) -> dict[int, str]:
+    """Write every table of a run and its manifest; returns the failed batches."""
     failed: dict[int, str] = {}
     outcomes: dict[str, dict[int, int]] = {}
     blame: dict[int, str] = {}
@@ -286,6 +294,4 @@ def archive(
             error = failed[batch] if bad and blame[batch] == name else None
             manifest.append((batch, name, "failed" if bad else "ok", landed.get(batch, 0), error))
     ledger.save_manifest(spark, run_id, manifest)
-    if delete is not None:
-        delete_archived(spark, ledger, delete)
-    return _report(ArchiveResult(run_id, run.n_keys, run.n_batches, failed))
+    return failed

@@ -53,8 +53,8 @@ class Ledger:
             where = f"{self.location}/{name.split('.')[-1]}" if self.location else None
             create_table(spark, name, schema, ["run_id"], where, if_missing=True)
 
-    def save_keys(self, run_id: str, run: RunKeys) -> None:
-        rows = run.frame.select(F.col(run.key).alias("key"), "batch_no", F.lit(run_id).alias("run_id"))
+    def save_keys(self, run_id: str, batched: DataFrame, key: str) -> None:
+        rows = batched.select(F.col(key).alias("key"), "batch_no", F.lit(run_id).alias("run_id"))
         overwrite_partitions(rows, self.keys)
 
     def load_keys(self, spark: SparkSession, run_id: str) -> RunKeys | None:
@@ -62,7 +62,7 @@ class Ledger:
         size = frame.agg(F.count("*").alias("n"), (F.max("batch_no") + 1).alias("batches")).first()
         if not size["n"]:
             return None
-        return RunKeys(frame, "key", size["n"], size["batches"], self.keys)
+        return RunKeys(frame, "key", size["n"], size["batches"])
 
     def save_manifest(self, spark: SparkSession, run_id: str, rows: list[tuple]) -> None:
         """Rows are (batch, table, status, row count, error): a few per batch."""

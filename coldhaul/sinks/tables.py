@@ -17,7 +17,7 @@ from coldhaul.functions.types import columns_ddl, quote
 from coldhaul.operators.conform import SchemaReport, conform
 from coldhaul.operators.restrict import rows_left
 from coldhaul.operators.shape import old_columns_first
-from coldhaul.session import scratch_path
+from coldhaul.session import scratch_path, setting
 
 
 def in_v2_catalog(spark: SparkSession, name: str) -> bool:
@@ -113,8 +113,9 @@ def overwrite_partitions(df: DataFrame, name: str, cluster_by: Sequence[str] = (
     if in_v2_catalog(spark, name):
         out.writeTo(name).overwritePartitions()
     else:
-        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(name)
+        # A writer option does not reach catalog tables; the setting does.
+        with setting(spark, "spark.sql.sources.partitionOverwriteMode", "dynamic"):
+            out.write.mode("overwrite").insertInto(name)
 
 
 def next_batch_index(spark: SparkSession, name: str, column: str = "batch_index") -> int:

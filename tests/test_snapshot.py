@@ -1,0 +1,65 @@
+import json
+import lzma
+
+import pytest
+
+from coldhaul import ingest_snapshot
+from coldhaul.plans.snapshot import ingest_frames
+from tests.conftest import rows
+
+
+def test_snapshots_grow_and_evolve(spark, table, tmp_path):
+    name, location = table()
+    first, second = tmp_path / "a.json", tmp_path / "b.xz"
+    first.write_text('{"host":"h1","cpu":{"n":4,"flags":["x"]}}\n{"host":"h2","cpu":null}\n')
+    second.write_bytes(lzma.compress(b'{"host":7,"cpu":{"n":4.5},"os":{"name":"l"}}\n'))
+    assert ingest_snapshot(spark, [str(first)], name, location) == 1
+    assert ingest_snapshot(spark, [str(second)], name) == 2
+    df = spark.read.table(name)
+    assert set(df.columns) == {"host", "cpu__n", "cpu__flags", "os__name", "batch_index"}
+    assert rows(df, "batch_index", "host", "cpu__n", "os__name") == [
+        (1, "h1", 4, None),
+        (1, "h2", None, None),
+        (2, "7", 4, "l"),
+    ]
+    assert df.where("batch_index = 0").isEmpty()
+
+
+def test_one_index_for_mixed_files(spark, table, tmp_path):
+    name, location = table()
+    (tmp_path / "a.json").write_text(json.dumps({"v": 1}))
+    (tmp_path / "b.xz").write_bytes(lzma.compress(json.dumps({"v": "x"}).encode()))
+    ingest_snapshot(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.xz")], name, location)
+    assert rows(spark.read.table(name), "v", "batch_index") == [("1", 1), ("x", 1)]
+
+
+def test_malformed_lines_are_kept(spark, table, tmp_path):
+    name, location = table()
+    (tmp_path / "a.json").write_text('{"v":1}\nbroken\n')
+    ingest_snapshot(spark, [str(tmp_path / "a.json")], name, location)
+    assert rows(spark.read.table(name), "v", "_corrupt_record") == [(1, None), (None, "broken")]
+
+
+def test_frames_read_separately(spark, table):
+    name, location = table()
+    frames = [spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("x", 2)], "a string, b int")]
+    assert ingest_frames(frames, name, location) == 1
+    assert rows(spark.read.table(name)) == [("1", None, 1), ("x", 2, 1)]
+
+
+@pytest.mark.parametrize("text", ["", "\n\n", "broken\n"])
+def test_nothing_readable_is_an_error(spark, table, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(ValueError, match="no "):
+        ingest_snapshot(spark, [str(tmp_path / "a.json")], table()[0])
+
+
+def test_no_files_is_an_error(spark):
+    with pytest.raises(ValueError, match="no files"):
+        ingest_snapshot(spark, [], "t")
+
+
+def test_a_field_named_like_the_index_is_refused(spark, table, tmp_path):
+    (tmp_path / "a.json").write_text('{"batch_index":1}')
+    with pytest.raises(ValueError, match="batch_index"):
+        ingest_snapshot(spark, [str(tmp_path / "a.json")], table()[0])
