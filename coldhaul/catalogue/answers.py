@@ -4,7 +4,7 @@ _EXPIRED = "o_orderdate < TIMESTAMP '2000-01-01' - INTERVAL 7 DAY"
 _K = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
 
 
-def _batches(size: int) -> str:
+def _batches(size: int | str) -> str:
     return f"""SELECT o_orderkey AS job_id,
         CAST((row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // {size} AS INTEGER) AS batch_no
       FROM orders WHERE {_EXPIRED}"""
@@ -75,7 +75,7 @@ ANSWERS = {
         CAST(coalesce(sum(bad), 0) AS BIGINT) AS n_rejected, CAST(coalesce(sum(docs.k), 0) AS BIGINT) AS sum_k
       FROM k LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN docs ON event_id = o_orderkey
       GROUP BY o_orderstatus""",
-    "manifest_gate": f"""WITH k AS ({_batches(2000)})
+    "manifest_gate": f"""WITH k AS ({_batches("CAST(ceil(count(*) OVER () / 8.0) AS BIGINT)")})
       SELECT job_id FROM k WHERE batch_no <> (
         SELECT batch_no FROM k WHERE job_id = (SELECT max(job_id) FROM k))""",
     "archive_sql_view": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag",

@@ -16,9 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldhaul.functions.json_text import infer_with_fallback, unescape_json, with_parsed
+from coldhaul.functions.json_text import infer_with_fallback, rejected_rows, unescape_json, with_parsed
 from coldhaul.metrics import parse_counts, run_summary
-from coldhaul.functions.json_text import rejected_rows
 from coldhaul.operators import keys as K
 from coldhaul.operators import shape
 from coldhaul.operators.conform import conform
@@ -61,9 +60,11 @@ def expired_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Small ranges, so that ranking runs as parallel ranges at every scale.
     keys = _expired(spark, sf_dir)
-    batched = K.assign_batches(keys, "o_orderkey", "o_orderdate", 1_000, one_task_rows=4_000)
+    n = keys.count()
+    # At least eight ranges, so that ranking is distributed on small tables too.
+    rows = min(K.ONE_TASK_ROWS, max(1, n // 8))
+    batched = K.assign_batches(keys, "o_orderkey", "o_orderdate", 1_000, n, one_task_rows=rows)
     return batched.select(F.col("o_orderkey").alias("job_id"), "batch_no")
 
 
@@ -313,6 +314,11 @@ def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, name).groupBy("batch_no").agg(F.count("*").alias("n"))
 
 
+def _share_of_expired(spark: SparkSession, sf_dir: str, batches: int) -> int:
+    """Batch size that splits the expired orders into that many batches."""
+    return max(1, K.ceil_division(_expired(spark, sf_dir).count(), batches))
+
+
 def archive_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix, location = _new_table(spark, "archive")
     orders, items, events = (load(spark, sf_dir, t) for t in ("orders", "lineitem", "events"))
@@ -333,8 +339,10 @@ def archive_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         table("documents", events.select("event_id", text.alias("doc")), "event_id", JsonColumn("doc")),
         table("trace", items.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey"),
     ]
+    size = max(10_000, _share_of_expired(spark, sf_dir, 50))
+    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=size)
     ledger = Ledger(prefix, location)
-    archive(spark, "run", RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None), tables, ledger)
+    archive(spark, "run", scope, tables, ledger)
     jobs, details, documents, trace = (archived(spark, t.target, ledger) for t in tables)
     # Counted per key before the joins, so a key with many rows stays one row.
     n_details = details.groupBy("l_orderkey").agg(F.count("*").alias("n_details"))
@@ -365,7 +373,8 @@ def manifest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ArchiveTable(name, rows, "o_orderkey", f"{prefix}_{name}", None, f"{location}/{name}")
 
     tables = [table("jobs", orders.select("o_orderkey", "o_orderstatus")), table("prices", prices)]
-    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=2_000)
+    size = _share_of_expired(spark, sf_dir, 8)
+    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=size)
     ledger = Ledger(prefix, location)
     try:
         archive(spark, "run", scope, tables, ledger)

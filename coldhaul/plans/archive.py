@@ -62,7 +62,11 @@ class ArchiveTable:
 
 @dataclass(frozen=True)
 class RunScope:
-    """Which keys a run takes. The defaults are one night's work."""
+    """Which keys a run takes. The defaults are one night's work.
+
+    Each batch becomes a partition of every archive table, so a larger ``limit``
+    wants a larger ``batch_size``.
+    """
 
     source: DataFrame
     key: str
@@ -118,6 +122,7 @@ class _TableWriter:
         reserved = set(BATCH) & set(self.rows.columns)
         if reserved:
             raise ValueError(f"{table.name} already has columns {sorted(reserved)}")
+        self.staged: DataFrame | None = None
         if table.json:
             self._stage_documents(table.json)
 
@@ -140,7 +145,10 @@ class _TableWriter:
         table, spec = self.table, self.table.json
         run_id = F.lit(self.run_id).alias("run_id")
         if spec is None:
-            rows = with_batch(self.rows, self.run, table.key, self.run.frame.where(batches))
+            if self.staged is not None:
+                rows = self.staged.where(batches)
+            else:
+                rows = with_batch(self.rows, self.run, table.key, self.run.frame.where(batches))
             return fill_empty_strings(rows).select("*", run_id)
         docs = self.documents.where(batches)
         keep = [table.key, *spec.keep, "batch_no"]
@@ -158,6 +166,19 @@ class _TableWriter:
             add_missing_columns(self.spark, target, incoming)
         return self.spark.read.table(target).schema
 
+    def stage_rows(self) -> None:
+        """Copy the run's rows by batch, so that retries do not scan the whole source."""
+        if self.table.json or self.staged is not None:
+            return
+        path = scratch_path(self.spark, "rows")
+        rows = with_batch(self.rows, self.run, self.table.key)
+        try:
+            rows.hint("rebalance", "batch_no").write.partitionBy("batch_no").parquet(path)
+        except Exception as error:
+            log.warning("%s: retries will read the source: %s", self.table.name, str(error)[:200])
+        else:
+            self.staged = self.spark.read.parquet(path)
+
     def write(self, batches: Column) -> None:
         df, spec = self.frame(batches), self.table.json
         target = self._target_schema(df)
@@ -180,14 +201,19 @@ class _TableWriter:
 
 
 def write_isolated(
-    write: Callable[[Column], None], low: int, high: int, failed: dict[int, str], max_failed: int
+    write: Callable[[Column], None],
+    low: int,
+    high: int,
+    failed: dict[int, str],
+    max_failed: int,
+    before_retry: Callable[[], None] | None = None,
 ) -> None:
     """Write batches ``low`` to ``high - 1`` in one pass, halving the range on failure.
 
     A run without failures costs one pass for all batches; a bad batch is cut
-    out in a number of passes that grows with the logarithm of their count.
-    After ``max_failed`` bad batches the rest is given up and stays at the
-    source.
+    out in a number of passes that grows with the logarithm of their count, and
+    ``before_retry`` runs once ahead of those. After ``max_failed`` bad batches
+    the rest is given up and stays at the source.
     """
     skipped = [b for b in failed if low <= b < high]
     if len(skipped) == high - low:
@@ -203,6 +229,8 @@ def write_isolated(
             failed[low] = str(error)[:500]
             log.error("batch %d failed: %s", low, failed[low])
             return
+        if before_retry is not None:
+            before_retry()
         middle = (low + high) // 2
         write_isolated(write, low, middle, failed, max_failed)
         write_isolated(write, middle, high, failed, max_failed)
@@ -228,8 +256,10 @@ def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataF
     batches = spark.read.parquet(path)
     if batches.isEmpty():
         return
-    keys = spark.read.table(ledger.keys).join(batches, BATCH, "left_semi")
-    delete(keys.select("key"))
+    # One entry per pending run, so that only their partitions are read.
+    runs = [r["run_id"] for r in batches.select("run_id").distinct().collect()]
+    keys = spark.read.table(ledger.keys).where(F.col("run_id").isin(runs))
+    delete(keys.join(batches, BATCH, "left_semi").select("key"))
     ledger.record_deletes(batches)
 
 
@@ -282,7 +312,7 @@ def _copy(
     blame: dict[int, str] = {}
     for table in tables:
         writer = _TableWriter(spark, table, run, run_id)
-        write_isolated(writer.write, 0, run.n_batches, failed, max_failed)
+        write_isolated(writer.write, 0, run.n_batches, failed, max_failed, writer.stage_rows)
         for batch in failed:
             blame.setdefault(batch, table.name)
         exists = spark.catalog.tableExists(table.target)
