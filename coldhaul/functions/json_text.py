@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldhaul.functions.types import merge_repeated
 from coldhaul.session import scratch_path
 
 CORRUPT = "_corrupt_record"
@@ -49,6 +51,22 @@ def is_corrupt_only(schema: T.StructType) -> bool:
     return schema.fieldNames() == [CORRUPT]
 
 
+def schema_of_json_files(spark: SparkSession, paths: str | list[str], **options: str) -> T.StructType:
+    """Inferred schema of JSON-lines files.
+
+    The reader refuses files in which one object repeats a key. They are then
+    inferred from their lines, and the repeated fields merged, as parsing takes
+    the last of them.
+    """
+    try:
+        return spark.read.options(**options).json(paths).schema
+    except AnalysisException as error:
+        if error.getCondition() != "COLUMN_ALREADY_EXISTS":
+            raise
+    lines = spark.read.options(**options).text(paths)
+    return merge_repeated(spark.read.json(lines.rdd.map(lambda row: row.value)).schema)
+
+
 def infer_json_schema(docs: DataFrame, text: Column, sample: int | None = None) -> T.StructType:
     """Schema of a JSON text column.
 
@@ -61,12 +79,10 @@ def infer_json_schema(docs: DataFrame, text: Column, sample: int | None = None)
     texts = docs.select(text.alias("value")).where("value IS NOT NULL")
     if sample is not None:
         lines = [row.value for row in texts.take(sample)]
-        schema = spark.read.json(spark.sparkContext.parallelize(lines)).schema
-    else:
-        path = scratch_path(spark, "infer")
-        texts.write.option("lineSep", _RECORD_SEPARATOR).text(path)
-        schema = spark.read.option("lineSep", _RECORD_SEPARATOR).json(path).schema
-    return schema
+        return merge_repeated(spark.read.json(spark.sparkContext.parallelize(lines)).schema)
+    path = scratch_path(spark, "infer")
+    texts.write.option("lineSep", _RECORD_SEPARATOR).text(path)
+    return schema_of_json_files(spark, path, lineSep=_RECORD_SEPARATOR)
 
 
 def infer_with_fallback(

@@ -90,3 +90,13 @@ def common_schema(schemas: list[T.StructType]) -> T.StructType:
         for f in schema.fields:
             merged[f.name] = common_type(merged[f.name], f.dataType) if f.name in merged else f.dataType
     return T.StructType([T.StructField(n, t, True) for n, t in merged.items()])
+
+
+def merge_repeated(data_type: T.DataType) -> T.DataType:
+    """The type with same-named fields of a struct merged into one."""
+    if isinstance(data_type, T.ArrayType):
+        return T.ArrayType(merge_repeated(data_type.elementType), data_type.containsNull)
+    if isinstance(data_type, T.StructType):
+        fields = [T.StructType([T.StructField(f.name, merge_repeated(f.dataType))]) for f in data_type.fields]
+        return common_schema(fields)
+    return data_type

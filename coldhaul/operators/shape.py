@@ -43,13 +43,16 @@ def flatten_structs(df: DataFrame, separator: str = "__") -> DataFrame:
     return df.select(*[F.col(".".join(map(quote, p))).alias(n) for p, n in zip(paths, names)])
 
 
-def expand_struct(df: DataFrame, struct: str, keep: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+def expand_struct(
+    df: DataFrame, struct: str, keep: Sequence[str], drop: Sequence[str] = (), reserved: Sequence[str] = ()
+) -> DataFrame:
     """The kept columns plus the first level of one struct column.
 
-    A field named like a kept column gets the struct's name in front.
+    A field with a kept or reserved name gets the struct's name in front.
     """
     fields = [f for f in df.schema[struct].dataType.fieldNames() if f not in drop]
-    names = [f"{struct}__{f}" if f in keep else f for f in fields]
+    taken = {*keep, *reserved}
+    names = [f"{struct}__{f}" if f in taken else f for f in fields]
     inner = [F.col(quote(struct)).getField(f).alias(n) for f, n in zip(fields, names)]
     return df.select(*[F.col(quote(k)) for k in keep], *inner)
 

@@ -105,7 +105,8 @@ def spread_documents(df: DataFrame, spec: JsonColumn, schema: T.StructType, deco
     keep = [*keep, spec.column, "parse_status"]
     if not schema.fields:
         return empty_documents(parsed, keep)
-    return cast_columns(expand_struct(parsed, PARSED, keep, drop=[CORRUPT]), spec.casts)
+    reserved = [*BATCH, "rejected_text"]
+    return cast_columns(expand_struct(parsed, PARSED, keep, [CORRUPT], reserved), spec.casts)
 
 
 def _refuse_loss(df: DataFrame, lossy: Column, target: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from coldhaul.functions.json_text import schema_of_json_files
 from coldhaul.session import scratch_path
 
 LINES_PER_CHUNK = 1_000
@@ -19,7 +20,7 @@ def read_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Handles what the JSON reader decodes itself: plain, gzip, bzip2, zstd.
     """
-    return spark.read.json(paths)
+    return spark.read.schema(schema_of_json_files(spark, paths)).json(paths)
 
 
 def _lines(content: bytes) -> Iterator[str]:

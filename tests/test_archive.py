@@ -232,6 +232,15 @@ def test_blank_documents_give_the_fixed_shape(source):
     assert docs.count() == 40
 
 
+def test_fields_named_like_our_columns_are_set_apart(source):
+    doc = '{"job":"j","run_id":"r","batch_no":"b","rejected_text":"t","parse_status":"p","doc":"d"}'
+    source.run("r1", docs=source.docs.withColumn("doc", F.lit(doc)))
+    docs = source.archived("docs")
+    names = ["job", "run_id", "batch_no", "rejected_text", "parse_status", "doc"]
+    assert rows(docs.select(*[f"document__{n}" for n in names]).distinct()) == [("j", "r", "b", "t", "p", "d")]
+    assert keys_of(docs) == list(range(40))
+
+
 def test_no_documents_at_all(source):
     source.run("r1", docs=source.docs.where("job < 0"))
     assert keys_of(source.archived("jobs")) == list(range(40))

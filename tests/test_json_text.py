@@ -143,6 +143,10 @@ class TestInference:
         schema = self.infer(spark, ['{"a":1,"b":{"c":1}}', '{"a":"x","b":"y"}'], sample)
         assert {f.name: f.dataType for f in schema} == {"a": T.StringType(), "b": T.StringType()}
 
+    def test_repeated_keys(self, spark, sample):
+        schema = self.infer(spark, ['{"a":1,"a":{"x":1,"x":2.5},"b":1.0}', '{"c":{"d":1,"d":2}}'], sample)
+        assert schema.simpleString() == "struct<a:string,b:double,c:struct<d:bigint>>"
+
     def test_line_breaks_inside_a_document(self, spark, sample):
         assert self.infer(spark, ['{\n"a":1,\r\n"b":"x"\n}'], sample).fieldNames() == ["a", "b"]
 

@@ -40,6 +40,13 @@ def test_malformed_lines_are_kept(spark, table, tmp_path):
     assert rows(spark.read.table(name), "v", "_corrupt_record") == [(1, None), (None, "broken")]
 
 
+def test_a_line_that_repeats_a_key_takes_the_last(spark, table, tmp_path):
+    name, location = table()
+    (tmp_path / "a.json").write_text('{"v":1,"v":2,"w":1.0}\n{"v":3}\n')
+    ingest_snapshot(spark, [str(tmp_path / "a.json")], name, location)
+    assert rows(spark.read.table(name), "v", "w") == [(2, 1.0), (3, None)]
+
+
 def test_frames_read_separately(spark, table):
     name, location = table()
     frames = [spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([("x", 2)], "a string, b int")]
