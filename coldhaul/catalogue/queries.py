@@ -23,6 +23,7 @@ from coldhaul.operators import shape
 from coldhaul.operators.conform import conform
 from coldhaul.operators.restrict import restrict_to_keys, rows_left
 from coldhaul.plans.archive import (
+    PASS_NAME_FIELDS,
     ArchiveFailed,
     ArchiveTable,
     JsonColumn,
@@ -184,13 +185,13 @@ def preferred_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.col("event_id") % 2 == 1
     doc = F.to_json(
         F.struct(
-            F.when(odd, F.col("event_type")).alias("LPMPassName"),
-            F.when(~odd, F.col("event_type")).alias("LPMPASSNAME"),
+            F.when(odd, F.col("event_type")).alias(PASS_NAME_FIELDS[0]),
+            F.when(~odd, F.col("event_type")).alias(PASS_NAME_FIELDS[1]),
         )
     )
     docs = load(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
     schema, decode = infer_with_fallback(docs, "doc")
-    name = shape.prefer_values(schema, ["LPMPassName", "LPMPASSNAME"], "j")
+    name = shape.prefer_values(schema, PASS_NAME_FIELDS, "j")
     return with_parsed(docs, "doc", schema, decode).select("event_id", name.alias("pass_name"))
 
 

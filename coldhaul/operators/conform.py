@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from coldhaul.functions.types import COMPLEX, quote, same_type
+from coldhaul.functions.types import COMPLEX, common_type, quote, same_type
 
 _NUMERIC_LIKE = (T.NumericType, T.BooleanType)
 _INSTANTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -58,6 +58,15 @@ def _castable(src: T.DataType, dst: T.DataType) -> bool:
     return isinstance(src, T.NumericType) and isinstance(dst, T.TimestampType)
 
 
+def _widens(src: T.DataType, dst: T.DataType) -> bool:
+    """Whether every number of one type is one of the other."""
+    if not (isinstance(src, T.NumericType) and isinstance(dst, T.NumericType)):
+        return False
+    if isinstance(dst, T.DoubleType) and isinstance(src, (T.LongType, T.DecimalType)):
+        return False
+    return same_type(common_type(src, dst), dst)
+
+
 def _cast(c: Column, src: T.DataType, dst: T.DataType) -> Column:
     if isinstance(dst, T.StringType):
         return c.cast(dst)
@@ -126,7 +135,7 @@ def loses_value(c: Column, src: T.DataType, dst: T.DataType) -> Column | None:
         return F.coalesce(
             F.exists(F.map_values(c), lambda v: loses_value(v, src.valueType, dst.valueType)), F.lit(False)
         )
-    if isinstance(dst, T.StringType):
+    if isinstance(dst, T.StringType) or _widens(src, dst):
         return None
     if isinstance(src, COMPLEX) or isinstance(dst, COMPLEX):
         return c.isNotNull()
@@ -165,6 +174,25 @@ def lossy_rows(incoming: T.StructType, table: T.StructType, ignore: tuple[str, .
     return F.lit(False) if condition is None else condition
 
 
+def lost_values(incoming: T.StructType, table: T.StructType) -> Column | None:
+    """JSON text of a row's values that do not fit their column in the table.
+
+    NULL for rows without such values; None when no row can have any.
+    """
+    kept = {f.name: f.dataType for f in table.fields}
+    lost = {}
+    for f in incoming.fields:
+        if f.name in kept:
+            c = F.col(quote(f.name))
+            condition = loses_value(c, f.dataType, kept[f.name])
+            if condition is not None:
+                lost[f.name] = F.when(condition, converted(c, f.dataType, T.StringType()))
+    if not lost:
+        return None
+    text = F.to_json(F.struct(*[c.alias(n) for n, c in lost.items()]))
+    return F.when(F.coalesce(*lost.values()).isNotNull(), text)
+
+
 def conform(df: DataFrame, table: T.StructType) -> tuple[DataFrame, SchemaReport]:
     """The frame with exactly the table's columns, and what had to change."""
     return df.select(*conform_columns(df.schema, table)), compare_schemas(df.schema, table)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.operators.keys import RunKeys
+from coldhaul.session import setting
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# A filter of this many keys takes 20 MB.
+BLOOM_KEYS = 20_000_000
 _KEY_BYTES = {T.StringType: 128}
 
 
@@ -29,6 +35,24 @@ def hinted(keys: DataFrame, n_keys: int | None) -> DataFrame:
     return keys
 
 
+@contextmanager
+def sized_bloom_filter(spark: SparkSession, run: RunKeys) -> Iterator[None]:
+    """Size Spark's runtime filter for a run whose keys are too many to broadcast.
+
+    Rows of other keys then mostly leave the scan before the join shuffles
+    them. The default size suits a million keys and lets nearly all rows pass
+    for many more.
+    """
+    with ExitStack() as stack:
+        if BLOOM_KEYS >= run.n_keys and not fits_broadcast(run.n_keys, run.frame.schema):
+            bits = 8 * run.n_keys
+            sizes = {"expectedNumItems": run.n_keys, "maxNumItems": run.n_keys, "numBits": bits, "maxNumBits": bits}
+            for name, value in {**sizes, "creationSideThreshold": "10GB"}.items():
+                full = f"spark.sql.optimizer.runtime.bloomFilter.{name}"
+                stack.enter_context(setting(spark, full, str(value)))
+        yield
+
+
 def _renamed(keys: DataFrame, key: str, keys_key: str | None) -> DataFrame:
     return keys.select(F.col(keys_key or key).alias(key))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from coldhaul.functions.json_text import CORRUPT, infer_with_fallback, unescape_json, with_parsed
 from coldhaul.operators.conform import conform, lossy_rows
 from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, expired_keys
-from coldhaul.operators.restrict import rows_left, with_batch
+from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings
 from coldhaul.plans.ledger import BATCH, Ledger
 from coldhaul.session import scratch_path
@@ -22,8 +23,11 @@ from coldhaul.sinks.tables import add_missing_columns, create_table, overwrite_p
 
 log = logging.getLogger(__name__)
 
-# Fixed value: the column that stands in when no document has any field.
+# The spellings of one document field, preferred first; the column
+# that stands in when no document has any field; the field whose type drifts.
+PASS_NAME_FIELDS = ("LPMPassName", "LPMPASSNAME")
 EMPTY_SHAPE_COLUMN = "LPMPASSNAME"
+PINNED_TYPES = {"HYXRunMergeID": "string"}
 PARSED = "document"
 
 
@@ -32,14 +36,15 @@ class JsonColumn:
     """A JSON text column to spread into wide columns.
 
     ``sample`` bounds schema inference; by default all documents of the run
-    count. ``keep`` names further source columns to carry along. ``evolve``
-    adds new fields to the target; otherwise they are left out of it.
+    count. ``casts`` pins the types of fields that exist. ``keep`` names further
+    source columns to carry along. ``evolve`` adds new fields to the target;
+    otherwise they are left out of it, and documents having them are marked.
     """
 
     column: str
     decode: Callable[[Column], Column] = unescape_json
     sample: int | None = None
-    casts: Mapping[str, str] = field(default_factory=dict)
+    casts: Mapping[str, str] = field(default_factory=lambda: dict(PINNED_TYPES))
     keep: tuple[str, ...] = ()
     evolve: bool = True
 
@@ -132,7 +137,8 @@ class _TableWriter:
         # of the source once rather than selecting it twice.
         path = scratch_path(self.spark, "documents")
         wanted = self.rows.select(self.table.key, spec.column, *spec.keep)
-        with_batch(wanted, self.run, self.table.key).write.parquet(path)
+        with sized_bloom_filter(self.spark, self.run):
+            with_batch(wanted, self.run, self.table.key).write.parquet(path)
         self.documents = self.spark.read.parquet(path)
         try:
             self.schema, self.decode = infer_with_fallback(
@@ -163,8 +169,10 @@ class _TableWriter:
         fields.sort(key=lambda f: f.name in BATCH)
         incoming, target = T.StructType(fields), self.table.target
         create_table(self.spark, target, incoming, BATCH, self.table.location, if_missing=True)
-        if spec is None or spec.evolve:
-            add_missing_columns(self.spark, target, incoming)
+        if spec is not None and not spec.evolve:
+            ours = (*spec.keep, "parse_status", "rejected_text")
+            incoming = T.StructType([f for f in fields if f.name in ours])
+        add_missing_columns(self.spark, target, incoming)
         return self.spark.read.table(target).schema
 
     def stage_rows(self) -> None:
@@ -174,7 +182,8 @@ class _TableWriter:
         path = scratch_path(self.spark, "rows")
         rows = with_batch(self.rows, self.run, self.table.key)
         try:
-            rows.hint("rebalance", "batch_no").write.partitionBy("batch_no").parquet(path)
+            with sized_bloom_filter(self.spark, self.run):
+                rows.hint("rebalance", "batch_no").write.partitionBy("batch_no").parquet(path)
         except Exception as error:
             log.warning("%s: retries will read the source: %s", self.table.name, str(error)[:200])
         else:
@@ -193,12 +202,20 @@ class _TableWriter:
         out, report = conform(df, target)
         if not report.identical:
             log.info("%s: %s", self.table.target, report)
-        overwrite_partitions(out, self.table.target, cluster_by=["batch_no"])
+        with sized_bloom_filter(self.spark, self.run):
+            overwrite_partitions(out, self.table.target, cluster_by=["batch_no"])
 
     def landed(self) -> dict[int, int]:
-        """Rows per batch as found in the written files."""
+        """Rows per batch as found in the written files; logs parse outcomes."""
         mine = self.spark.read.table(self.table.target).where(F.col("run_id") == self.run_id)
-        return {r["batch_no"]: r["n"] for r in mine.groupBy("batch_no").agg(F.count("*").alias("n")).collect()}
+        status = F.col("parse_status") if "parse_status" in mine.columns else F.lit("rows")
+        found = mine.groupBy("batch_no", status.alias("status")).agg(F.count("*").alias("n")).collect()
+        rows, outcomes = Counter(), Counter()
+        for r in found:
+            rows[r["batch_no"]] += r["n"]
+            outcomes[r["status"]] += r["n"]
+        log.info("%s: %s", self.table.name, dict(outcomes))
+        return dict(rows)
 
 
 def write_isolated(

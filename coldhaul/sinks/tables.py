@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.functions.types import columns_ddl, quote
-from coldhaul.operators.conform import SchemaReport, conform
+from coldhaul.operators.conform import SchemaReport, conform, lost_values
 from coldhaul.operators.restrict import rows_left
 from coldhaul.operators.shape import old_columns_first
 from coldhaul.session import scratch_path, setting
@@ -75,7 +75,11 @@ def append_or_create(
 
 
 def conform_append(df: DataFrame, name: str, files: int | None = None) -> SchemaReport:
-    """Append data whose schema drifted, cast to the table; extra columns are dropped."""
+    """Append data cast to the table's columns only.
+
+    Extra columns and values that cannot be cast are left out; the report names
+    the columns. ``evolve_append`` leaves nothing out.
+    """
     out, report = conform(df, df.sparkSession.read.table(name).schema)
     append(out, name, files)
     return report
@@ -90,10 +94,20 @@ def add_missing_columns(spark: SparkSession, name: str, schema: T.StructType) ->
     return [f.name for f in fresh]
 
 
-def evolve_append(df: DataFrame, name: str, files: int | None = None) -> SchemaReport:
-    """Append, adding new columns to the table and casting drifted ones."""
+def evolve_append(
+    df: DataFrame, name: str, files: int | None = None, lost_column: str = "lost_values"
+) -> SchemaReport:
+    """Append, adding new columns to the table and casting drifted ones.
+
+    Values that a cast would drop or change are kept as text in ``lost_column``,
+    which exists once types have drifted that far.
+    """
     spark = df.sparkSession
-    incoming = old_columns_first(df, spark.read.table(name).columns)
+    table = spark.read.table(name).schema
+    incoming = old_columns_first(df, table.fieldNames())
+    lost = lost_values(incoming.schema, table)
+    if lost is not None:
+        incoming = incoming.withColumn(lost_column, lost)
     add_missing_columns(spark, name, incoming.schema)
     return conform_append(incoming, name, files)
 

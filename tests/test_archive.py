@@ -221,8 +221,11 @@ def test_casts_kept_columns_and_fixed_targets(source):
     tables = [source.table("docs", docs, spec)]
     archive(source.spark, "r", RunScope(source.jobs, "job", "seen", NOW), tables, source.ledger)
     out = source.archived("docs")
-    assert set(out.columns) == {"job", "num", "run_id", "batch_no"}
+    ours = {"parse_status", "rejected_text", "kind", "run_id", "batch_no"}
+    assert set(out.columns) == {"job", "num"} | ours
     assert out.where("num IS NOT NULL").count() == 20
+    left_out = out.where("parse_status = 'lossy'")
+    assert left_out.where("rejected_text LIKE '%LPMPassName%'").count() == left_out.count() == 20
 
 
 def test_blank_documents_give_the_fixed_shape(source):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from coldhaul.metrics import run_summary
 from coldhaul.operators import keys as K
 from coldhaul.operators import restrict
-from coldhaul.operators.restrict import fits_broadcast, restrict_to_keys, rows_left
+from coldhaul.operators.restrict import fits_broadcast, restrict_to_keys, rows_left, sized_bloom_filter, with_batch
+from coldhaul.session import setting
 from coldhaul.sources.jdbc import key_cuts
 from tests.conftest import rows
 
@@ -139,6 +140,27 @@ def test_a_key_with_a_third_of_the_rows_is_split(spark, tmp_path, shuffled_joins
     assert kept.count() == children.where("k < 500").count()
 
 
+def test_rows_of_many_keys_are_filtered_and_split_before_the_write(spark, tmp_path, shuffled_joins):
+    path = str(tmp_path / "rows")
+    key = F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 1_000)
+    text = F.md5(F.col("id").cast("string"))
+    spark.range(0, 60_000, 1, 12).select(key.alias("ck"), text.alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    staged = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 2).cast("int").alias("batch_no"))
+    staged.write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys")).where("batch_no >= 0")
+    run = K.RunKeys(keys, "k", 15_000_000, 2)
+    with setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0"):
+        with sized_bloom_filter(spark, run):
+            out = with_batch(df, run, "ck").hint("rebalance", "batch_no")
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "bloom_filter_agg(xxhash64(ck" in plan and "15000000, 120000000" in plan
+    assert "SortMergeJoin(skew=true)" in plan
+    assert out.count() == df.where("ck < 500").count()
+    assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.numBits") == "8388608"
+
+
 @pytest.mark.parametrize("bound", [64 * 1024 * 1024, 0])
 def test_summary_is_the_same_on_both_paths(spark, monkeypatch, bound):
     monkeypatch.setattr(restrict, "BROADCAST_BYTES", bound)

@@ -16,11 +16,11 @@ def test_snapshots_grow_and_evolve(spark, table, tmp_path):
     assert ingest_snapshot(spark, [str(first)], name, location) == 1
     assert ingest_snapshot(spark, [str(second)], name) == 2
     df = spark.read.table(name)
-    assert set(df.columns) == {"host", "cpu__n", "cpu__flags", "os__name", "batch_index"}
-    assert rows(df, "batch_index", "host", "cpu__n", "os__name") == [
-        (1, "h1", 4, None),
-        (1, "h2", None, None),
-        (2, "7", 4, "l"),
+    assert set(df.columns) == {"host", "cpu__n", "cpu__flags", "os__name", "lost_values", "batch_index"}
+    assert rows(df, "batch_index", "host", "cpu__n", "os__name", "lost_values") == [
+        (1, "h1", 4, None, None),
+        (1, "h2", None, None, None),
+        (2, "7", 4, "l", '{"cpu__n":"4.5"}'),
     ]
     assert df.where("batch_index = 0").isEmpty()
 

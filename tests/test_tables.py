@@ -85,6 +85,21 @@ def test_evolving_append(spark, table):
     assert [m[0] for m in report.mismatched] == ["k", "v"]
 
 
+def test_evolving_append_keeps_values_that_do_not_fit(spark, table):
+    name, location = table()
+    lake.append_or_create(spark.createDataFrame([(1, 1, [1])], "k int, v bigint, l array<int>"), name, location=location)
+    drifted = spark.createDataFrame(
+        [(2, 2.5, ["7", "x"]), (3, 3.0, ["8"]), (4, None, None)], "k int, v double, l array<string>"
+    )
+    lake.evolve_append(drifted, name)
+    assert rows(spark.read.table(name)) == [
+        (1, 1, [1], None),
+        (2, 2, [7, None], '{"v":"2.5","l":"[\\"7\\",\\"x\\"]"}'),
+        (3, 3, [8], None),
+        (4, None, None, None),
+    ]
+
+
 def test_conforming_append_drops_extra_columns(spark, table):
     name, location = table()
     lake.append_or_create(spark.createDataFrame([(1,)], "k bigint"), name, location=location)
