@@ -97,9 +97,9 @@ def infer_with_fallback(
     is inferred and later parsed as it is.
     """
     raw = F.col(column)
-    if docs.where(raw.isNotNull()).isEmpty():
-        raise ValueError(f"cannot infer a schema: column {column!r} has no documents")
     schema = infer_json_schema(docs, decode(raw), sample)
+    if not schema.fields and docs.where(raw.isNotNull()).isEmpty():
+        raise ValueError(f"cannot infer a schema: column {column!r} has no documents")
     if is_corrupt_only(schema):
         return data_schema(infer_json_schema(docs, raw, sample)), lambda c: c
     return data_schema(schema), decode

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from coldhaul.functions.json_text import CORRUPT, infer_with_fallback, unescape_json, with_parsed
 from coldhaul.operators.conform import conform, lossy_rows
-from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, expired_keys
+from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, ceil_division, expired_keys
 from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
-from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings
+from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings, union_all
 from coldhaul.plans.ledger import BATCH, Ledger
 from coldhaul.session import scratch_path
 from coldhaul.sinks.tables import add_missing_columns, create_table, overwrite_partitions
@@ -205,17 +205,23 @@ class _TableWriter:
         with sized_bloom_filter(self.spark, self.run):
             overwrite_partitions(out, self.table.target, cluster_by=["batch_no"])
 
-    def landed(self) -> dict[int, int]:
-        """Rows per batch as found in the written files; logs parse outcomes."""
-        mine = self.spark.read.table(self.table.target).where(F.col("run_id") == self.run_id)
-        status = F.col("parse_status") if "parse_status" in mine.columns else F.lit("rows")
-        found = mine.groupBy("batch_no", status.alias("status")).agg(F.count("*").alias("n")).collect()
-        rows, outcomes = Counter(), Counter()
-        for r in found:
-            rows[r["batch_no"]] += r["n"]
-            outcomes[r["status"]] += r["n"]
-        log.info("%s: %s", self.table.name, dict(outcomes))
-        return dict(rows)
+
+def _landed(spark: SparkSession, run_id: str, tables: Sequence[ArchiveTable]) -> dict[str, dict[int, int]]:
+    """Rows per table and batch as found in the written files; logs parse outcomes."""
+    counted = []
+    for table in tables:
+        if spark.catalog.tableExists(table.target):
+            mine = spark.read.table(table.target).where(F.col("run_id") == run_id)
+            status = F.col("parse_status") if table.json else F.lit("rows")
+            groups = mine.groupBy(F.lit(table.name).alias("name"), "batch_no", status.alias("status"))
+            counted.append(groups.agg(F.count("*").alias("n")))
+    rows = {table.name: Counter() for table in tables}
+    outcomes = {table.name: Counter() for table in tables}
+    for r in union_all(counted).collect() if counted else []:
+        rows[r["name"]][r["batch_no"]] += r["n"]
+        outcomes[r["name"]][r["status"]] += r["n"]
+    log.info("run %s: %s", run_id, {name: dict(c) for name, c in outcomes.items()})
+    return rows
 
 
 def write_isolated(
@@ -262,9 +268,11 @@ def _run_keys(spark: SparkSession, run_id: str, scope: RunScope, ledger: Ledger)
     if not ledger.pending(spark).isEmpty():
         source = rows_left(source, ledger.deletable_keys(spark), scope.key, "key")
     keys = expired_keys(source, scope.key, scope.ts, scope.as_of, scope.age_days, scope.limit, scope.one_task_rows)
-    batched, _ = batched_keys(keys, scope.key, scope.ts, scope.batch_size, scope.one_task_rows)
+    batched, n_keys = batched_keys(keys, scope.key, scope.ts, scope.batch_size, scope.one_task_rows)
+    if not n_keys:
+        return None
     ledger.save_keys(run_id, batched, scope.key)
-    return ledger.load_keys(spark, run_id)
+    return RunKeys(ledger.keys_of(spark, run_id), "key", n_keys, ceil_division(n_keys, scope.batch_size))
 
 
 def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataFrame], None]) -> None:
@@ -272,10 +280,10 @@ def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataF
     path = scratch_path(spark, "deleting")
     ledger.pending(spark).write.parquet(path)
     batches = spark.read.parquet(path)
-    if batches.isEmpty():
-        return
     # One entry per pending run, so that only their partitions are read.
     runs = [r["run_id"] for r in batches.select("run_id").distinct().collect()]
+    if not runs:
+        return
     keys = spark.read.table(ledger.keys).where(F.col("run_id").isin(runs))
     delete(keys.join(batches, BATCH, "left_semi").select("key"))
     ledger.record_deletes(batches)
@@ -326,20 +334,17 @@ def _copy(
 ) -> dict[int, str]:
     """Write every table of a run and its manifest; returns the failed batches."""
     failed: dict[int, str] = {}
-    outcomes: dict[str, dict[int, int]] = {}
     blame: dict[int, str] = {}
     for table in tables:
         writer = _TableWriter(spark, table, run, run_id)
         write_isolated(writer.write, 0, run.n_batches, failed, max_failed, writer.stage_rows)
         for batch in failed:
             blame.setdefault(batch, table.name)
-        exists = spark.catalog.tableExists(table.target)
-        outcomes[table.name] = writer.landed() if exists else {}
     manifest = []
-    for batch in range(run.n_batches):
-        for name, landed in outcomes.items():
+    for name, landed in _landed(spark, run_id, tables).items():
+        for batch in range(run.n_batches):
             bad = batch in failed
             error = failed[batch] if bad and blame[batch] == name else None
-            manifest.append((batch, name, "failed" if bad else "ok", landed.get(batch, 0), error))
+            manifest.append((batch, name, "failed" if bad else "ok", landed[batch], error))
     ledger.save_manifest(spark, run_id, manifest)
     return failed

@@ -57,8 +57,11 @@ class Ledger:
         rows = batched.select(F.col(key).alias("key"), "batch_no", F.lit(run_id).alias("run_id"))
         overwrite_partitions(rows, self.keys)
 
+    def keys_of(self, spark: SparkSession, run_id: str) -> DataFrame:
+        return spark.read.table(self.keys).where(F.col("run_id") == run_id).select("key", "batch_no")
+
     def load_keys(self, spark: SparkSession, run_id: str) -> RunKeys | None:
-        frame = spark.read.table(self.keys).where(F.col("run_id") == run_id).select("key", "batch_no")
+        frame = self.keys_of(spark, run_id)
         size = frame.agg(F.count("*").alias("n"), (F.max("batch_no") + 1).alias("batches")).first()
         if not size["n"]:
             return None
