@@ -28,8 +28,8 @@ ANSWERS = {
     "xz_json_lines": _K,
     "json_parse_status": """SELECT CASE event_id % 5 WHEN 0 THEN 'null_input' WHEN 1 THEN 'blank'
         WHEN 2 THEN 'malformed' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1""",
-    "sample_failed_rows": """SELECT event_id, substring('not json ' || repeat(props, 30), 1, 150) AS snippet
-      FROM events WHERE event_id % 5 = 2 ORDER BY event_id LIMIT 3""",
+    "sample_failed_rows": """SELECT event_id, substring('not json ' || repeat(props, 30), 1, 150) AS snippet,
+        'not json ' || repeat(props, 30) AS text FROM events WHERE event_id % 5 = 2 ORDER BY event_id LIMIT 3""",
     "json_infer_flatten": """SELECT o_orderkey AS id,
         CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS meta__pri FROM orders""",
     "json_infer_fallback": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,

@@ -145,7 +145,7 @@ def json_parse_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample_failed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rejected = rejected_rows(_troubled(spark, sf_dir), "props")
-    return rejected.orderBy("event_id").limit(3).select("event_id", "snippet")
+    return rejected.orderBy("event_id").limit(3).select("event_id", "snippet", F.col("props").alias("text"))
 
 
 def _write_lines(df: DataFrame, label: str) -> str:
@@ -367,13 +367,17 @@ def manifest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix, location = _new_table(spark, "gate")
     orders = load(spark, sf_dir, "orders")
     newest = _expired(spark, sf_dir).agg(F.max("o_orderkey").alias("key")).first()["key"]
-    broken = F.when(F.col("o_orderkey") == newest, F.raise_error(F.lit("unreadable row")).cast("double"))
-    prices = orders.select("o_orderkey", broken.otherwise(F.col("o_totalprice")).alias("price"))
+    price = F.when(F.col("o_orderkey") == newest, "unknown").otherwise(F.col("o_totalprice").cast("string"))
+    prices = orders.select("o_orderkey", price.alias("price"))
 
     def table(name: str, rows: DataFrame) -> ArchiveTable:
         return ArchiveTable(name, rows, "o_orderkey", f"{prefix}_{name}", None, f"{location}/{name}")
 
     tables = [table("jobs", orders.select("o_orderkey", "o_orderstatus")), table("prices", prices)]
+    # The archive holds numbers, so one text makes its batch fail to be written.
+    columns = T.StructType().add("o_orderkey", "long").add("price", "double")
+    columns = columns.add("run_id", "string").add("batch_no", "integer")
+    lake.create_table(spark, tables[1].target, columns, ["run_id", "batch_no"], tables[1].location)
     size = _share_of_expired(spark, sf_dir, 8)
     scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=size)
     ledger = Ledger(prefix, location)

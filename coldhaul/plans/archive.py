@@ -115,8 +115,10 @@ def spread_documents(df: DataFrame, spec: JsonColumn, schema: T.StructType, deco
 
 
 def _refuse_loss(df: DataFrame, lossy: Column, target: str) -> DataFrame:
-    stop = F.raise_error(F.lit(f"a value does not fit its column in {target}")).cast("boolean")
-    return df.where(F.when(lossy, stop).otherwise(F.lit(True)))
+    # Naming the batch keeps the check behind the join with the keys; pushed
+    # below it, rows outside the batches being written would fail them too.
+    text = F.concat(F.lit(f"a value does not fit its column in {target}, batch "), F.col("batch_no"))
+    return df.where(F.when(lossy, F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))
 
 
 class _TableWriter:

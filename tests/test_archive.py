@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from coldhaul import ArchiveFailed, ArchiveTable, JsonColumn, Ledger, RunScope, archive, archived
+from coldhaul.operators import restrict
 from coldhaul.plans import archive as plan
+from coldhaul.session import setting
 from coldhaul.sinks.tables import create_table
 from tests.conftest import rows
 
@@ -208,6 +210,27 @@ def test_plain_rows_that_do_not_fit_fail_their_batch(source):
     assert source.jobs.count() == 35
 
 
+@pytest.mark.parametrize("bound", [restrict.BROADCAST_BYTES, 0])
+def test_only_rows_of_the_batch_can_fail_it(source, monkeypatch, bound):
+    monkeypatch.setattr(restrict, "BROADCAST_BYTES", bound)
+    location = f"{source.location}/trace"
+    create_table(
+        source.spark,
+        source.target("trace"),
+        source.trace.select("job", "line", F.lit(0).alias("batch_no"), F.lit("").alias("run_id")).schema,
+        ["run_id", "batch_no"],
+        location,
+    )
+    outside = source.spark.createDataFrame([(41, "text"), (25, "text")], "job bigint, line string")
+    lines = source.trace.withColumn("line", F.col("line").cast("string")).union(outside)
+    with setting(source.spark, "spark.sql.autoBroadcastJoinThreshold", "-1" if not bound else "10MB"):
+        with pytest.raises(ArchiveFailed) as failure:
+            source.run("r1", trace=lines)
+    assert list(failure.value.result.failed) == [2]
+    assert "batch 2" in failure.value.result.failed[2]
+    assert source.archived("trace").count() == 90
+
+
 def test_casts_kept_columns_and_fixed_targets(source):
     create_table(
         source.spark,
