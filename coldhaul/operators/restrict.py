@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from coldhaul.operators.keys import RunKeys
 from coldhaul.session import setting
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 # A filter of this many keys takes 20 MB.
 BLOOM_KEYS = 20_000_000
 _KEY_BYTES = {T.StringType: 128}

@@ -18,6 +18,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Join without sorting the large side when each part of the small one is
+    # measured to fit in a task.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128MB",
 }
 
 _local_scratch: str | None = None

@@ -1,3 +1,4 @@
+from contextlib import ExitStack
 from datetime import datetime, timedelta
 
 import pytest
@@ -113,17 +114,17 @@ def test_broadcast_only_below_the_bound(spark, tmp_path):
 def shuffled_joins(spark):
     """Joins beyond the broadcast bound, with skew limits sized for test data."""
     small = {
+        "spark.sql.shuffle.partitions": "8",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
     }
-    for name, value in small.items():
-        spark.conf.set(name, value)
-    yield
-    for name in small:
-        spark.conf.unset(name)
+    with ExitStack() as stack:
+        for name, value in small.items():
+            stack.enter_context(setting(spark, name, value))
+        yield
 
 
 def test_a_key_with_a_third_of_the_rows_is_split(spark, tmp_path, shuffled_joins):
@@ -136,7 +137,7 @@ def test_a_key_with_a_third_of_the_rows_is_split(spark, tmp_path, shuffled_joins
     kept = restrict_to_keys(children, keys, "k", n_keys=10**9)
     kept.collect()
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin(skew=true)" in plan
+    assert "ShuffledHashJoin(skew=true)" in plan
     assert kept.count() == children.where("k < 500").count()
 
 
@@ -156,7 +157,7 @@ def test_rows_of_many_keys_are_filtered_and_split_before_the_write(spark, tmp_pa
             out.collect()
             plan = out._jdf.queryExecution().executedPlan().toString()
     assert "bloom_filter_agg(xxhash64(ck" in plan and "15000000, 120000000" in plan
-    assert "SortMergeJoin(skew=true)" in plan
+    assert "ShuffledHashJoin(skew=true)" in plan
     assert out.count() == df.where("ck < 500").count()
     assert spark.conf.get("spark.sql.optimizer.runtime.bloomFilter.numBits") == "8388608"
 
