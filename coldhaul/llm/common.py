@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from coldhaul.session import scratch_path
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
+KEY_BITS = 42
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +34,25 @@ def numbered(df: DataFrame, label: str) -> DataFrame:
     return stored(df.withColumn("row", F.monotonically_increasing_id()), label)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a distinct whole-number ``key`` in the order of doc_id.
+
+    Ids that are distinct whole numbers are their own key. Otherwise the rows are
+    sorted by id, nulls first, and numbered once.
+    """
+    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or doc_id < 0 or n > 1")
+        top = docs.agg(F.max("doc_id")).first()[0]
+        if not ids.take(1) and (top is None or top < 1 << KEY_BITS):
+            return docs.withColumn("key", F.col("doc_id").cast("long"))
+    ordered = numbered(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "keyed-documents")
+    # 18 bits for the task and 24 for its rows; checked, not cut.
+    compact = F.expr("shiftright(row, 33) * 16777216 + (row & 8589934591)")
+    sound = F.expr("(row & 8589934591) < 16777216 and shiftright(row, 33) < 262144")
+    key = F.when(sound, compact).otherwise(F.raise_error(F.lit("more than 2^24 rows in a partition")).cast("long"))
+    return ordered.withColumn("key", key).drop("row")
+
+
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rank`` from 0 without gaps inside each combination of ``keys``.
 
