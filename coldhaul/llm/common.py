@@ -53,6 +53,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return ordered.withColumn("key", key).drop("row")
 
 
+def least_hash_sample(docs: DataFrame, n: int) -> DataFrame:
+    """(text) of the ``n`` distinct texts of least hash, fewer if there are fewer; null is empty.
+
+    Only hashes are sorted and sent; the texts are then picked by the n-th hash.
+    """
+    texts = docs.select(whole_text(docs).alias("text")).withColumn("h", F.xxhash64("text"))
+    least = texts.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if least is None:
+        return texts.select("text").limit(0)
+    return texts.where(F.col("h") <= least).groupBy("h").agg(F.first("text").alias("text")).select("text")
+
+
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rank`` from 0 without gaps inside each combination of ``keys``.
 

@@ -68,6 +68,10 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 13, rare_t
         .select("item_key", "s", "term", (F.col("s") + F.col("j")).alias("q"))
     )
     rarest = stored(rarest, "phrase-rarest")
+    # Windows of 13 words are broadcast up to a counted number, joined by key beyond it;
+    # without a shuffle by item, one that is found everywhere does not fill a task.
+    few = rarest.count() <= BROADCAST_ROWS // 4
+    hint = F.broadcast if few else lambda df: df
 
     looked_up = rarest.select("term").distinct()
     postings = tokens.select("key", F.posexplode("w").alias("p", "term")).join(small(looked_up, "term"), "term")
@@ -75,21 +79,21 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 13, rare_t
 
     anchors = rarest.select("term", "item_key", "q").distinct()
     aligned = (
-        index.join(anchors, "term")
+        index.join(hint(anchors), "term")
         .groupBy("key", "item_key", (F.col("p") - F.col("q")).alias("delta"))
         .agg(F.collect_set("q").alias("qs"))
     )
     wanted = rarest.groupBy("item_key", "s").agg(F.collect_list("q").alias("need"))
     wanted = wanted.groupBy("item_key").agg(F.collect_list(F.struct("s", "need")).alias("windows"))
     met = (
-        aligned.join(wanted, "item_key")
+        aligned.join(hint(wanted), "item_key")
         .withColumn("met", F.expr("filter(windows, x -> size(array_except(x.need, qs)) = 0)"))
         .where("size(met) > 0")
         .select("key", "item_key", "delta", F.explode("met.s").alias("s"))
     )
     phrase = starts.select("item", "item_key", "s", "width", F.expr("slice(iw, s + 1, width)").alias("phrase"))
     candidates = (
-        met.join(phrase, ["item_key", "s"])
+        met.join(hint(phrase), ["item_key", "s"])
         .where("delta + s >= 0")
         .groupBy("key")
         .agg(F.collect_set(F.struct("item", (F.col("delta") + F.col("s")).alias("at"), "width", "phrase")).alias("c"))

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldhaul.llm.common import whole_text
+from coldhaul.llm.common import least_hash_sample, whole_text
 
 # The patterns of the base rule.
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -83,13 +83,12 @@ def log_ratio(counts: list[tuple[str, int, int, int]]) -> list[int]:
 
 
 def train(docs: DataFrame, sample_docs: int = 5_000) -> list[int]:
-    """The table of log ratios, from a bounded sample of ``sample_docs`` texts by least hash.
+    """The table of log ratios, from a bounded sample of ``sample_docs`` distinct texts of least hash.
 
     Each sampled text labels its own strings: values of base spans are random, its
     other words ordinary; each distinct string counts once. The driver gets at most 2 * 68 * 68 counts.
     """
-    chosen = docs.select(F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    chosen = chosen.withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(sample_docs).drop("h")
+    chosen = least_hash_sample(docs, sample_docs)
     base = with_base_spans(chosen, [])
     random = base.select(F.lit("random").alias("label"), F.explode("base.value").alias("word"))
     rest = F.array_except(F.expr(f"regexp_extract_all(t, {json.dumps(WORD)}, 0)"), F.col("base.value"))

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldhaul.llm.common import stored
+from coldhaul.llm.common import least_hash_sample, stored
 from coldhaul.llm.tokens import encoder
 from coldhaul.session import scratch_path
 
@@ -95,13 +95,12 @@ def _id_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, size: int) -> bytes:
-    """A dictionary from the ids of at most ``sample_docs`` texts of least hash.
+    """A dictionary from the ids of at most ``sample_docs`` distinct texts of least hash.
 
     A sample is at most 4,096 ids long, so the driver gets a bounded amount. If there is
     too little to train on, the samples themselves are the dictionary.
     """
-    chosen = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    chosen = chosen.orderBy("h", "text").limit(sample_docs).select("text")
+    chosen = least_hash_sample(docs, sample_docs)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

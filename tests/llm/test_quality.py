@@ -1,0 +1,99 @@
+import re
+from collections import Counter
+
+import pytest
+
+from coldhaul.llm import quality
+from coldhaul.llm.common import stored
+from llm_data import DOC_SCHEMA, clashing, messy, rows_of, sf_documents
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)}
+    n, repeats = len(words), len(covered)
+    return (
+        n,
+        sum(map(len, words)),
+        sum(c in "#*$%&|<>" for c in text),
+        len(lines) - len(set(lines)),
+        repeats,
+        n < 50 or 100 * repeats > 50 * n,
+    )
+
+
+COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_counts_equal_brute_force_on_real_and_messy_texts(spark):
+    for docs in (sf_documents(spark), messy(spark)):
+        got = rows_of(quality.quality_rules(docs), *COLUMNS)
+        want = sorted(((r["doc_id"], *brute(r["text"])) for r in docs.collect()), key=repr)
+        assert got == want
+
+
+def fence_by_hand(values, least, below=False, width=6):
+    def bucket(v):
+        e = max(0, v.bit_length() - 6)
+        return v >> e << e
+
+    ordered = sorted(bucket(v) for v in values)
+    q = [next(v for i, v in enumerate(ordered) if (i + 1) * 100 >= len(ordered) * p) for p in (25, 50, 75)]
+    spread = max(q[2] - q[1] if below else q[1] - q[0], least)
+    return q[1] - width * spread if below else q[1] + width * spread
+
+
+def test_verdict_follows_the_fences_of_the_group(spark):
+    plain = " ".join(f"word{i}" for i in range(60))
+    marked = " ".join(f"word{i}" + "*" * (i % 3) for i in range(60))
+    rows = [(i, plain + f" a{i}", "en", "clean") for i in range(60)] + [(100, marked, "en", "clean")]
+    rows += [(200 + i, marked + f" a{i}", "en", "marks") for i in range(60)] + [(300, plain, "en", "marks")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert not got[100] and all(got[i] for i in range(60))
+    # Where marks are usual they are no reason to reject.
+    assert all(got[200 + i] for i in range(60)) and got[300]
+
+
+def test_bounds_equal_a_computation_by_hand(spark):
+    docs = sf_documents(spark)
+    rows = stored(quality.with_measures(quality.measure(docs, ["doc_id", "lang", "source"])), "test")
+    bounds = quality.fences(quality.sketch(rows), min_docs=1)
+    good = [r for r in rows.collect() if not r["base_failed"]]
+    for b in bounds.collect():
+        group = [r for r in good if (r["lang"], r["source"]) == (b["lang"], b["source"])]
+        for f in quality.FENCES:
+            name = f"{'low' if f.below else 'high'}_{f.measure}"
+            assert b[name] == fence_by_hand([r[f.measure] for r in group], f.least, f.below)
+
+
+def test_sketches_merge_by_adding_counts(spark):
+    rows = stored(quality.with_measures(quality.measure(sf_documents(spark), ["doc_id", "lang", "source"])), "test")
+    whole = quality.sketch(rows)
+    parts = quality.sketch(rows.where("doc_id % 3 = 0")).unionByName(quality.sketch(rows.where("doc_id % 3 <> 0")))
+    assert rows_of(quality.quantiles(whole, ["lang"])) == rows_of(quality.quantiles(parts, ["lang"]))
+
+
+def test_stage_keeps_all_columns_of_kept_documents(spark):
+    docs = clashing(messy(spark))
+    kept = quality.kept_documents(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(ids)
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], DOC_SCHEMA)
+    assert quality.quality_rules(empty).collect() == []
+    assert quality.kept_documents(empty).collect() == []
+
+
+@pytest.mark.parametrize("min_docs", [1, 10**6])
+def test_a_corpus_too_small_has_no_bounds(spark, min_docs):
+    text = " ".join(f"w{i}#####" for i in range(60))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}{k}" for k in range(60)), None, None) for i in range(20)] + [(99, text, None, None)], DOC_SCHEMA)
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, min_docs).collect()}
+    assert kept[99] == (min_docs > 1)
