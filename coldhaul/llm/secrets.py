@@ -70,16 +70,24 @@ def transitions(words: DataFrame) -> DataFrame:
     return each.groupBy("label", "x.f", "x.t").agg(F.count("*").alias("n"))
 
 
-def log_ratio(counts: list[tuple[str, int, int, int]]) -> list[int]:
-    """Thousandths of log P(random) - log P(ordinary) for each transition, add-one smoothing."""
-    n = {label: [[1] * STATES for _ in range(STATES)] for label in ("random", "ordinary")}
-    for label, f, t, k in counts:
-        n[label][f][t] += k
-    out = []
-    for f in range(STATES):
-        a, b = n["random"][f], n["ordinary"][f]
-        out += [round(1000 * (math.log(x / sum(a)) - math.log(y / sum(b)))) for x, y in zip(a, b)]
-    return out
+def log_ratio(counts: list[tuple[str, int, int, int]], weight: int = 10) -> list[int]:
+    """Thousandths of log P(random) - log P(ordinary) for each transition.
+
+    A transition is smoothed with ``weight`` observations of how common the character
+    is anywhere, which itself is smoothed by one.
+    """
+    logs = {}
+    for label in ("random", "ordinary"):
+        n = [[0] * STATES for _ in range(STATES)]
+        for name, f, t, k in counts:
+            if name == label:
+                n[f][t] += k
+        any_from = [1 + sum(n[f][t] for f in range(STATES)) for t in range(STATES)]
+        total = sum(any_from)
+        logs[label] = [
+            math.log((n[f][t] + weight * any_from[t] / total) / (sum(n[f]) + weight)) for f in range(STATES) for t in range(STATES)
+        ]
+    return [round(1000 * (a - b)) for a, b in zip(logs["random"], logs["ordinary"])]
 
 
 def train(docs: DataFrame, sample_docs: int = 5_000) -> list[int]:

@@ -1,8 +1,14 @@
 """Token ids of whole texts with a public tokenizer, inside Spark tasks.
 
-Both vocabularies used here never join characters across a space that stands between
-two other visible characters, so a text is cut there and each distinct piece is
-encoded once per worker. The result equals encoding the whole text.
+Most of the work is in words that come again and again, so a text is cut into pieces
+that the tokenizer never joins, and each distinct piece is encoded once per worker.
+
+A vocabulary that keeps white space gives a visible character the space before it, and
+any longer run of white space to itself. A text may then be cut before a space that a
+visible character follows, and after a line break that a visible character precedes. A
+piece that shows another kind of white space sends its text down the slow way, which
+only cuts at single spaces. A vocabulary that drops white space allows a cut at every
+space and line break. The result equals encoding the whole text.
 """
 
 from __future__ import annotations
@@ -12,12 +18,26 @@ import re
 from collections.abc import Callable
 
 VISIBLE_GAP = re.compile(r"(?<=\S)(?= \S)")
-DOUBLE_SPACE = re.compile(r"\s\s|^\s|\s$")
-CACHED_PIECES = 400_000
+PLAIN = re.compile(r" ?\S+")
+CACHED_PIECES = 500_000
+TEXTS_AT_ONCE = 128
+PIECES_AT_ONCE = 64
 
 _encoders: dict[tuple[str, bool], Callable[[list[str]], list[bytes]]] = {}
 
 
+class Known(dict[str, bytes | bytearray]):
+    """Ids by piece; an unknown piece gets an empty buffer that is filled when it is encoded."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> bytearray:
+        found = self[piece] = bytearray()
+        self.new.append(piece)
+        return found
+
+
 def encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to little-endian unsigned 32-bit ids, kept for the life of the worker.
 
@@ -28,6 +48,15 @@ def encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes]
     return _encoders[path, spaces_matter]
 
 
+def unsafe(piece: str) -> bool:
+    """Whether white space beyond one space in front or one line break behind decides the cut."""
+    return (
+        piece in (" ", "\n")
+        or (len(piece) > 1 and piece[0] == " " and piece[1].isspace())
+        or (len(piece) > 1 and piece[-1] == "\n" and piece[-2].isspace())
+    )
+
+
 def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import numpy as np
@@ -35,26 +64,56 @@ def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {}
+    between = "\n" if spaces_matter else " \x01 "
+    mark = tokenizer.encode(between, add_special_tokens=False).ids
+    known = Known()
+
+    def ids_of(piece: str) -> bytes:
+        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(pieces: list[str]) -> None:
+        def put(piece: str, ids: bytes) -> None:
+            known[piece].extend(ids)
+            known[piece] = ids
+
+        plain = [p for p in pieces if PLAIN.fullmatch(p) and "\x01" not in p] if len(mark) == 1 else []
+        for at in range(0, len(plain), PIECES_AT_ONCE):
+            some = plain[at : at + PIECES_AT_ONCE]
+            found = np.array(tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u4")
+            edges = [*np.flatnonzero(found == mark[0]).tolist(), len(found)]
+            if len(edges) != len(some):
+                raise ValueError("the separator is not a token of its own")
+            raw, start = found.tobytes(), 0
+            for piece, edge in zip(some, edges):
+                put(piece, raw[4 * start : 4 * edge])
+                start = edge + 1
+        for piece in set(pieces).difference(plain):
+            put(piece, ids_of(piece))
 
-    def pieces(text: str) -> list[str]:
+    def cut(text: str) -> list[str]:
         if not spaces_matter:
-            return text.split(" ")
-        if DOUBLE_SPACE.search(text):
+            return text.replace("\n", " ").split(" ")
+        if "\0" in text:
             return VISIBLE_GAP.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else VISIBLE_GAP.split(text)
+        return text.replace(" ", "\0 ").replace("\n", "\n\0").split("\0")
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(known) > CACHED_PIECES:
-            known.clear()
-        out = []
-        for text in texts:
-            parts = pieces(text)
-            new = list(set(parts).difference(known))
-            if new:
-                for part, found in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                    known[part] = np.array(found.ids, "<u4").tobytes()
-            out.append(b"".join([known[p] for p in parts]))
+        out: list[bytes] = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            some = texts[at : at + TEXTS_AT_ONCE]
+            if len(known) > CACHED_PIECES:
+                known.clear()
+            found = [list(map(known.__getitem__, cut(t))) for t in some]
+            new, known.new = known.new, []
+            slow = {p for p in new if unsafe(p)} if spaces_matter else set()
+            for piece in slow:
+                del known[piece]
+            learn([p for p in new if p not in slow])
+            for text, parts in zip(some, found):
+                if slow and not slow.isdisjoint(cut(text)):
+                    out.append(b"".join([ids_of(p) for p in VISIBLE_GAP.split(text)]))
+                else:
+                    out.append(b"".join(parts))
         return out
 
     return encode

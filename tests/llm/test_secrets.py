@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 from coldhaul.llm import secrets
@@ -50,7 +51,7 @@ def trained(spark):
     base64ish = ["".join(alphabet[b % 62] for b in k[:24]) for k in key]
     words = "internationalization configuration_manager get_user_settings_by_name the quick brown fox handler response_builder"
     rows = [(i, f"secret={v} {words} seen{i}", "en", "a") for i, v in enumerate(random + base64ish)]
-    return spark.createDataFrame(rows, DOC_SCHEMA)
+    return spark.createDataFrame(rows, DOC_SCHEMA).unionByName(sf_documents(spark).select("doc_id", "text", "lang", "source"))
 
 
 def test_models_tell_random_strings_from_identifiers(spark):
@@ -81,7 +82,9 @@ def test_added_spans_leave_the_base_spans_and_do_not_touch_them(spark):
 def test_log_ratio_by_hand():
     table = secrets.log_ratio([("random", 1, 2, 9), ("ordinary", 1, 3, 9)])
     row = table[secrets.STATES : 2 * secrets.STATES]
-    assert row[2] > 2000 and row[3] == -row[2] and row[4] == 0
+    other = 1 / (secrets.STATES + 9)
+    assert row[2] == round(1000 * math.log((9 + 100 * other) / (10 * other)))
+    assert row[3] == -row[2] and row[4] == 0
 
 
 def test_masking_removes_spans_and_keeps_columns(spark):
