@@ -11,9 +11,9 @@
    and candidates to verify. Two sets are compared if they share as many prefix
    shingles as the smaller of their l.
 3. In a group of many near copies not all pairs are formed. Every set is first verified
-   against two members of each posting list; the links give components. Only pairs that
-   lie in different components by then are counted and verified, so no link between
-   components is lost.
+   against the most central sets among its posting lists, in a family of copies the
+   original; the links give components. Only pairs that lie in different components by
+   then are counted and verified, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -188,8 +188,11 @@ def _candidates(indexed: DataFrame) -> DataFrame:
         read = f"aggregate(slice(freqs, 1, size(freqs) - cast(need as int) + {i}), 0L, (a, x) -> a + x - 1)"
         costs.append(f"if({i} <= need, struct({read} * (1 + {VERIFY_COST} * n / {SHINGLE} / {i}) as cost, {i} as matches), null)")
     best = F.expr(f"array_min(filter(array({', '.join(costs)}), x -> x is not null)).matches")
+    # How usual the shingles of a set are among all sets: in a family of copies the
+    # original is the most central.
+    central = F.expr("aggregate(freqs, 0L, (a, x) -> a + x) / n")
     return ordered.withColumn("matches", best).select(
-        "set", "n", "matches", "tokens", F.expr("slice(tokens, 1, size(tokens) - cast(need as int) + matches)").alias("prefix")
+        "set", "n", "matches", "tokens", central.alias("central"), F.expr("slice(tokens, 1, size(tokens) - cast(need as int) + matches)").alias("prefix")
     )
 
 
@@ -202,6 +205,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where("100 * o >= 80 * (nu + nv - o)").select("u", "v")
 
 
+def _leader_links(rows: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between sets and the leaders of their posting lists.
+
+    Each set is compared with two of its leaders at most: the one it meets most often
+    and the most central.
+    """
+    met = rows.join(leaders, "token").where("set <> leader").groupBy("set", "leader")
+    met = met.agg(F.count("*").alias("met"), F.max("leading").alias("leading"))
+    chosen = met.groupBy("set").agg(F.max_by("leader", "met").alias("a"), F.max_by("leader", "leading").alias("b"))
+    pairs = chosen.select("set", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    pairs = pairs.select(F.least("set", "v").alias("u"), F.greatest("set", "v").alias("v")).distinct()
+    return stored(_verified(pairs, sets), "links")
+
+
+def _placed(postings: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components so far, and the postings of lists that still hold several of them.
+
+    ``main`` is the component of the most central set of a list.
+    """
+    found = components(links)
+    placed = postings.join(found.withColumnRenamed("u", "set"), "set", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "set"))
+    mixed = placed.groupBy("token").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", "central").alias("main")
+    )
+    return found, stored(placed.join(mixed.where("low < high").select("token", "main"), "token"), "shingle-placed")
+
+
 def near_copy_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles and the smallest doc_id its links reach.
 
@@ -213,25 +244,29 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     """
     indexed = stored(_indexed(_packed(docs.select("doc_id", "text"))), "shingle-index")
     sets = stored(_candidates(indexed), "shingle-sets")
-    postings = stored(sets.select("set", "n", "matches", F.explode("prefix").alias("token")), "shingle-postings")
+    # place: where a shingle stands in the order of its set, after those no other set has.
+    m = F.size("tokens").alias("m")
+    postings = sets.select("set", "n", m, "matches", "central", F.posexplode("prefix").alias("i", "token"))
+    postings = stored(postings.withColumn("place", F.expr("n - m + i + 1")).drop("i"), "shingle-postings")
     sets = sets.select("set", "n", "tokens")
 
-    ends = postings.groupBy("token").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low < high")
-    near = postings.join(ends, "token").select("set", F.explode(F.array("low", "high")).alias("v"))
-    near = near.where("set <> v").select(F.least("set", "v").alias("u"), F.greatest("set", "v").alias("v")).distinct()
-    links = stored(_verified(near, sets), "links")
-    found = components(links)
+    most = [F.max_by("set", "central").alias("leader"), F.max("central").alias("leading")]
+    links = _leader_links(postings, postings.groupBy("token").agg(*most), sets)
+    found, placed = _placed(postings, links)
+    # Once more among the sets that are not with the most central one of a list.
+    others = placed.where("component <> main")
+    links = links.unionByName(_leader_links(others, others.groupBy("token").agg(*most), sets))
+    found, several = _placed(postings, links)
 
-    placed = postings.join(found.withColumnRenamed("u", "set"), "set", "left")
-    placed = stored(placed.withColumn("component", F.coalesce("component", "set")), "shingle-placed")
-    mixed = placed.groupBy("token").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "set").alias("main")
-    ).where("low < high").select("token", "main")
-    several = placed.join(mixed, "token")
-    a = several.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "matches", "component")])
-    b = several.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "matches", "component")])
+    # Linked sets share o >= 4/9 (n_a + n_b), so both hold that many shared shingles, and
+    # their prefixes of n - o + l shingles have l in common.
+    sides = ("set", "n", "m", "matches", "component", "place")
+    a = several.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in sides])
+    b = several.select("token", "main", *[F.col(c).alias(f"{c}_b") for c in sides])
     across = a.join(b, "token").where(
-        "component_a <> component_b and (component_b = main or set_a < set_b) and 5 * n_a >= 4 * n_b and 5 * n_b >= 4 * n_a"
+        "component_a <> component_b and (component_b = main or set_a < set_b) and 9 * least(m_a, m_b) >= 4 * (n_a + n_b)"
+        " and place_a <= n_a - (4 * (n_a + n_b) + 8) div 9 + least(matches_a, matches_b)"
+        " and place_b <= n_b - (4 * (n_a + n_b) + 8) div 9 + least(matches_a, matches_b)"
     )
     counted = across.groupBy(F.least("set_a", "set_b").alias("u"), F.greatest("set_a", "set_b").alias("v")).agg(
         F.count("*").alias("met"), F.first(F.least("matches_a", "matches_b")).alias("matches")
