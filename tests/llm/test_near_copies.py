@@ -1,0 +1,92 @@
+import random
+import re
+from collections import defaultdict
+
+from coldhaul.llm import near_copies
+from coldhaul.llm.components import components
+from llm_data import DOC_SCHEMA, clashing, messy, rows_of, sf_documents
+
+FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows):
+    sets = []
+    for r in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate(FOLD))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    for pair in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        a, b = pair
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+            up[top(a)] = top(b)
+    least = {}
+    for i, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            least[top(i)] = min(least.get(top(i), r["doc_id"]), r["doc_id"])
+    out = [(r["doc_id"], len(s), least.get(top(i)) if s else r["doc_id"]) for i, (r, s) in enumerate(zip(rows, sets))]
+    return sorted(out, key=repr)
+
+
+def family(rng, first, n, words, changed, shared=()):
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), changed(i)):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        rows.append((first + i, " ".join(copy[: words // 2] + list(shared) + copy[words // 2 :]), "en", "s"))
+    return rows
+
+
+def test_equals_brute_force(spark):
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(50)]
+    rows = family(rng, 0, 40, 200, lambda i: i % 12)  # many at the edge of similarity
+    rows += family(rng, 1000, 30, 60, lambda i: i % 3, passage) + family(rng, 2000, 30, 60, lambda i: i % 4, passage)
+    rows += family(rng, 3000, 20, 9, lambda i: i % 2)
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(4000 + i, " ".join(chain[i * 12 : i * 12 + 150]), "en", "s") for i in range(20)]  # neighbours only
+    rows += [(5000 + i, "Same Text in five words or more", "en", "s") for i in range(30)]
+    rows += [(6000, "short one", "", ""), (6001, "SHORT  one", "", ""), (6002, "short one more", "", "")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, DOC_SCHEMA).repartition(3)
+    assert rows_of(near_copies.near_copy_components(docs)) == brute(docs.collect())
+
+
+def test_real_and_messy_rows_equal_brute_force(spark):
+    for docs in (sf_documents(spark), messy(spark)):
+        assert rows_of(near_copies.near_copy_components(docs)) == brute(docs.collect())
+
+
+def test_one_of_each_keeps_columns_and_one_document(spark):
+    docs = clashing(messy(spark))
+    out = near_copies.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    # Three rows and the null id have one text; -5 is a near copy of it or not by brute force.
+    wordy = [g for g in got if g[1] and g[1].strip()]
+    assert len({component for _, n, component in brute(docs.collect()) if n}) == len(wordy)
+    assert sum(not (t or "").strip() for _, t in got) == 3
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (301, 300)]
+    got = rows_of(components(spark.createDataFrame(edges, "u long, v long")))
+    want = [(i, 0) for i in range(1, 41)] + [(100 + i, 100) for i in range(1, 30)] + [(301, 300)]
+    assert got == sorted(want, key=repr)
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], DOC_SCHEMA)
+    assert near_copies.near_copy_components(empty).collect() == [] and near_copies.one_of_each(empty).collect() == []

@@ -1,0 +1,70 @@
+import random
+from collections import defaultdict
+
+from coldhaul.llm import sentence_spans
+from llm_data import DOC_SCHEMA, clashing, messy, sf_documents
+
+
+def brute(rows):
+    """Rows (order, doc_id, text) in order; the first place of each span stays."""
+    first, spans = {}, defaultdict(list)
+    for at, (_, text) in enumerate(rows):
+        parts = sentence_spans.sentences(text or "")
+        for h, a, b in sentence_spans.spans(parts):
+            key = tuple(tuple(p.lower().split()) for p in parts[a:b] if p.split())
+            spans[at].append((key, a, b))
+            first[key] = min(first.get(key, (at, a)), (at, a))
+    out = []
+    for at, (doc_id, text) in enumerate(rows):
+        parts = sentence_spans.sentences(text or "")
+        gone = {i for key, a, b in spans[at] if first[key] != (at, a) for i in range(a, b)}
+        left = text if not gone else "".join(p for i, p in enumerate(parts) if i not in gone)
+        out.append((doc_id, len(parts), len(gone), left))
+    return sorted(out, key=repr)
+
+
+def test_sentences_are_the_whole_text():
+    for text in ("", "a", "a. b!  c?\n\nd", "...", "\n", " x\ty. \n z", "no end", "a.b.c", "é。ñ! ?"):
+        assert "".join(sentence_spans.sentences(text)) == text
+
+
+def test_equals_brute_force(spark):
+    for docs in (sf_documents(spark), messy(spark)):
+        # Rows with one id are in no given order, but these have one text.
+        rows = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        got = sentence_spans.remove_repeated_spans(docs).select("doc_id", "n_sentences", "n_removed", "text").collect()
+        assert sorted((tuple(r) for r in got), key=repr) == brute(rows)
+
+
+def test_passages_stay_once_and_clean_texts_whole(spark):
+    rng = random.Random(3)
+
+    def prose(n):
+        return " ".join(" ".join(f"w{rng.randrange(10**7)}" for _ in range(rng.randint(3, 14))) + "." for _ in range(n))
+
+    passages = [prose(8), " ".join(f"long{i}" for i in range(60)) + ".", prose(9).replace(".", ",") + "."]
+    rows = [(i, prose(5) + "\n" + passages[i % 3] + "\n" + prose(5)) for i in range(30)] + [(100 + i, prose(20)) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOC_SCHEMA)
+    left = {r["doc_id"]: r["text"] for r in sentence_spans.remove_repeated_spans(docs).collect()}
+    for k, passage in enumerate(passages):
+        assert [i for i in range(30) if passage in left[i]] == [k]
+    for i, text in rows:
+        own = text if i >= 100 or i < 3 else text.replace(passages[i % 3], "")
+        assert left[i].split() == own.split()
+
+
+def test_the_first_copy_of_each_sentence_is_never_lost(spark):
+    docs = sf_documents(spark)
+    out = sentence_spans.remove_repeated_spans(docs)
+
+    def all_sentences(rows):
+        return {tuple(s.lower().split()) for r in rows for s in sentence_spans.sentences(r["text"] or "")}
+
+    assert all_sentences(out.collect()) | {()} == all_sentences(docs.collect()) | {()}
+
+
+def test_clashing_columns_and_empty_table(spark):
+    docs = clashing(messy(spark))
+    out = sentence_spans.remove_repeated_spans(docs)
+    assert out.columns == ["doc_id", "n_sentences", "n_removed", "text"] and out.count() == docs.count()
+    assert sentence_spans.remove_repeated_spans(spark.createDataFrame([], DOC_SCHEMA)).collect() == []

@@ -1,0 +1,71 @@
+import html
+import re
+
+import pytest
+
+from coldhaul.llm import site_style
+from llm_data import SF, clashing
+
+PAGE = "page_id long, url string, html string"
+NONE = frozenset()
+
+CASES = [
+    ("", ""),
+    ("plain &amp; text &lt;b&gt; &nbsp; &#233;", "plain & text <b> é"),
+    ("<p>a<p>b</p>c", "a b c"),
+    ("<div>one <b>two</b>three<br>four</div>", "one twothree four"),
+    ("<nav>menu</nav><article><h1>T</h1><p>x  \n y</p><aside>no</aside></article><footer>f</footer>", "T x y"),
+    ("<article><p><b>x<br><p>y</p><form>f <input value='z'></form><script>var a='</p>';</script><p>z</article>tail", "x y z"),
+    ("<article>main</article><article class='comment'>reader</article><div id=comments>c</div>", "main"),
+    ("<main><div class='cookie-notice'>c</div>text<!-- no --></main><div class=sidebar>s</div>", "text"),
+    ("<body><header>top</header><div class='ad'>buy</div><p>body &copy;</p><p hidden>h</p><style>p{}</style></body>", "body ©"),
+    ("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>", "a b 1 2 3"),
+    ("<p>1 < 2 and <unclosed", "1 < 2 and <unclosed"),
+    ("<!-- open <p>x", ""),
+    ("<SCRIPT>x</SCRIPT><P CLASS=x>Y</P>", "Y"),
+]
+
+
+@pytest.mark.parametrize(("source", "text"), CASES)
+def test_text_of_small_pages(source, text):
+    assert site_style.main_text(source, NONE) == text
+
+
+def test_articles_of_the_test_pages_are_whole(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r["page_id"]: r for r in site_style.extract_main_text(clashing(pages)).collect()}
+    for p in pages.collect():
+        article = re.search(r"<article>(.*)</article>", p["html"], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"</?(?:p|h1|br)>", " ", re.sub(r"</?b>", "", article))).split())
+        r = got[p["page_id"]]
+        assert (r["text"], r["n_chars"], r["url"]) == (want, len(want), p["url"])
+
+
+def plain_pages(host, n):
+    """Pages without any telling name: only what comes back on every page marks the frame."""
+    out = []
+    for i in range(n):
+        body = "".join(f"<p>story {host} {i} part {k} text</p>" for k in range(4))
+        out.append(f"<div class=t1><span>Home</span> <span>About us</span></div><div class=t2>{body}</div><div class=t3><p>All rights</p></div>")
+    return out
+
+
+def test_branches_that_come_back_on_every_page_of_a_host_go(spark):
+    rows = [(i, f"http://User@Big.Example.com:80/{i}", h) for i, h in enumerate(plain_pages("big", 30))]
+    rows += [(100 + i, f"https://few.example.com/{i}", h) for i, h in enumerate(plain_pages("few", 2))]
+    got = {r["page_id"]: r["text"] for r in site_style.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    for i in range(30):
+        assert got[i] == " ".join(f"story big {i} part {k} text" for k in range(4))
+    # Two pages are too few to judge by.
+    assert got[100].startswith("Home About us story few 0") and got[100].endswith("All rights")
+
+
+def test_copies_of_an_article_are_kept_and_messy_rows(spark):
+    page = "<nav>n</nav><article><p>the same</p></article>"
+    rows = [(1, "http://a.b/", page)] * 20 + [(2, None, page), (None, "no url", None), (3, "", ""), (3, "http://a.b/x", "<p>" + "long word " * 20_000)]
+    out = site_style.extract_main_text(clashing(spark.createDataFrame(rows, PAGE)))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(((r["page_id"], r["text"]) for r in out.collect()), key=repr)
+    want = [(1, "the same")] * 20 + [(2, "the same"), (None, ""), (3, ""), (3, ("long word " * 20_000).strip())]
+    assert got == sorted(want, key=repr)
+    assert site_style.extract_main_text(spark.createDataFrame([], PAGE)).collect() == []
