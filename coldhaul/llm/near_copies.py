@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,9 @@ TOKEN_BITS = 48
 RANGE_BITS = 11
 MATCHES = (1, 2, 4, 8)
 VERIFY_COST = 4
+SHARED = np.dtype([("local", "<u2"), ("token", "<u8"), ("freq", "<u4")])
+#: Leaders stand for sets of about their own size; a band is this ratio wide.
+BAND = 1.15
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -100,13 +104,16 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def _indexed(packed: DataFrame) -> DataFrame:
-    """kind 0 as it came; kind 1: shingles of a set that other sets of other blocks or this one share."""
+    """kind 0 as it came; kind 1: per block and range, the shingles that more than one set has.
+
+    A row of kind 1 holds parallel arrays: local number of the set, shingle, frequency.
+    """
     id_type = packed.schema["doc_id"].dataType.simpleString()
-    schema = f"kind int, block long, local int, doc_id {id_type}, set long, n int, tokens array<long>, freqs array<int>"
+    schema = f"kind int, block long, local int, doc_id {id_type}, set long, n int, shared binary"
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, holders = [], []
-        names = ["kind", "block", "local", "doc_id", "set", "n", "tokens", "freqs"]
+        names = ["kind", "block", "local", "doc_id", "set", "n", "shared"]
         id_arrow = None
         for batch in batches:
             id_arrow = batch.schema.field("doc_id").type
@@ -116,7 +123,7 @@ def _indexed(packed: DataFrame) -> DataFrame:
                 k = docs.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [docs.column(c) for c in ("kind", "block", "local", "doc_id", "set", "n")]
-                    + [pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.int32()))],
+                    + [pa.nulls(k, pa.binary())],
                     names,
                 )
             lists = batch.filter(pa.array(np.asarray(kinds) == 1))
@@ -146,23 +153,21 @@ def _indexed(packed: DataFrame) -> DataFrame:
         every, holder, freq = every[order], holder[order], freq[order]
         if not len(every):
             return
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(holder)) + 1, [len(holder)]))
-        for a in range(0, len(edge) - 1, 5000):
-            cut = edge[a : a + 5001]
-            k = len(cut) - 1
-            who = holder[cut[:-1]]
-            offsets = pa.array((cut - cut[0]).astype(np.int32))
-            span = slice(cut[0], cut[-1])
+        rows = np.empty(len(every), SHARED)
+        rows["local"], rows["token"], rows["freq"] = holder & 0xFFFF, every, freq
+        edge = np.searchsorted(holder >> 16, np.arange(len(blocks) + 1))
+        for a in range(0, len(blocks), 64):
+            some = [i for i in range(a, min(a + 64, len(blocks))) if edge[i] < edge[i + 1]]
+            k = len(some)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.ones(k, np.int32)),
-                    pa.array(blocks[who >> 16].astype(np.int64)),
-                    pa.array((who & 0xFFFF).astype(np.int32)),
+                    pa.array(blocks[some].astype(np.int64)),
+                    pa.nulls(k, pa.int32()),
                     pa.nulls(k, id_arrow),
                     pa.nulls(k, pa.int64()),
                     pa.nulls(k, pa.int32()),
-                    pa.ListArray.from_arrays(offsets, pa.array(every[span].astype(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(freq[span].astype(np.int32))),
+                    pa.array([rows[edge[i] : edge[i + 1]].tobytes() for i in some], pa.binary()),
                 ],
                 names,
             )
@@ -170,13 +175,34 @@ def _indexed(packed: DataFrame) -> DataFrame:
     return packed.repartition("range").mapInArrow(index, schema)
 
 
+def _lists(indexed: DataFrame) -> DataFrame:
+    """One row per set of a block: its shared shingles and their frequencies."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), SHARED) for x in table.column("shared")])
+        rows = rows[np.argsort(rows["local"], kind="stable")]
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(rows["local"])) + 1, [len(rows)]))
+        offsets = pa.array(edge.astype(np.int32))
+        k = len(edge) - 1
+        return pa.table(
+            {
+                "block": pa.array(np.full(k, table.column("block")[0].as_py()), pa.int64()),
+                "local": pa.array(rows["local"][edge[:-1]].astype(np.int32)),
+                "tokens": pa.ListArray.from_arrays(offsets, pa.array(rows["token"].astype(np.int64))),
+                "freqs": pa.ListArray.from_arrays(offsets, pa.array(rows["freq"].astype(np.int32))),
+            }
+        )
+
+    # A block is some MB of text, so its group is small whatever the corpus.
+    blocks = indexed.where("kind = 1").select("block", "shared").groupBy("block")
+    return blocks.applyInArrow(gather, "block long, local int, tokens array<long>, freqs array<int>")
+
+
 def _candidates(indexed: DataFrame) -> DataFrame:
     """One row per set that can have a partner: its shared shingles by frequency, its l and prefix length."""
     sets = indexed.where("kind = 0 and n > 0").select("block", "local", "set", "n").distinct()
-    lists = indexed.where("kind = 1").groupBy("block", "local")
-    lists = lists.agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("freqs")).alias("freqs"))
     # A partner shares at least ceil(0.8 n) shingles.
-    able = lists.join(sets, ["block", "local"]).withColumn("need", F.expr("(4 * n + 4) div 5")).where("size(tokens) >= need")
+    able = _lists(indexed).join(sets, ["block", "local"]).withColumn("need", F.expr("(4 * n + 4) div 5")).where("size(tokens) >= need")
     one = able.groupBy("set", "n").agg(
         F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs"), F.first("need").alias("need")
     )
@@ -205,13 +231,16 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return shared.where("100 * o >= 80 * (nu + nv - o)").select("u", "v")
 
 
-def _leader_links(rows: DataFrame, leaders: DataFrame, sets: DataFrame) -> DataFrame:
+def _leader_links(rows: DataFrame, sets: DataFrame, shift: float) -> DataFrame:
     """Links between sets and the leaders of their posting lists.
 
-    Each set is compared with two of its leaders at most: the one it meets most often
-    and the most central.
+    A leader is the most central set of a list within a band of sizes. Each set is
+    compared with two of its leaders at most: the one it meets most often and the most
+    central.
     """
-    met = rows.join(leaders, "token").where("set <> leader").groupBy("set", "leader")
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / math.log(BAND) + shift))
+    leaders = rows.groupBy("token", "band").agg(F.max_by("set", "central").alias("leader"), F.max("central").alias("leading"))
+    met = rows.join(leaders, ["token", "band"]).where("set <> leader").groupBy("set", "leader")
     met = met.agg(F.count("*").alias("met"), F.max("leading").alias("leading"))
     chosen = met.groupBy("set").agg(F.max_by("leader", "met").alias("a"), F.max_by("leader", "leading").alias("b"))
     pairs = chosen.select("set", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
@@ -250,12 +279,10 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     postings = stored(postings.withColumn("place", F.expr("n - m + i + 1")).drop("i"), "shingle-postings")
     sets = sets.select("set", "n", "tokens")
 
-    most = [F.max_by("set", "central").alias("leader"), F.max("central").alias("leading")]
-    links = _leader_links(postings, postings.groupBy("token").agg(*most), sets)
+    links = _leader_links(postings, sets, 0.0)
     found, placed = _placed(postings, links)
-    # Once more among the sets that are not with the most central one of a list.
-    others = placed.where("component <> main")
-    links = links.unionByName(_leader_links(others, others.groupBy("token").agg(*most), sets))
+    # Once more with other bands, where a list still holds several components.
+    links = links.unionByName(_leader_links(placed, sets, 0.5))
     found, several = _placed(postings, links)
 
     # Linked sets share o >= 4/9 (n_a + n_b), so both hold that many shared shingles, and

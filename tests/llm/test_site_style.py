@@ -46,7 +46,7 @@ def plain_pages(host, n):
     out = []
     for i in range(n):
         body = "".join(f"<p>story {host} {i} part {k} text</p>" for k in range(4))
-        out.append(f"<div class=t1><span>Home</span> <span>About us</span></div><div class=t2>{body}</div><div class=t3><p>All rights</p></div>")
+        out.append(f"<div class=top><span>Home</span> <span>About us</span></div><div class=mid>{body}</div><div class=end><p>All rights</p></div>")
     return out
 
 
