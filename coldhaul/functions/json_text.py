@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.functions.types import merge_repeated
-from coldhaul.session import scratch_path
 
 CORRUPT = "_corrupt_record"
 
@@ -19,10 +19,6 @@ CORRUPT = "_corrupt_record"
 # have been stored with its escapes escaped once more.
 ESCAPE_MARKS = ("\\n", '\\"', "\\t", "\\\\")
 
-# Separates documents in files written for inference. A raw control character
-# is not legal inside JSON, while line breaks between tokens are.
-_RECORD_SEPARATOR = "\x1e"
-
 
 def unescape_json(text: Column) -> Column:
     """Undo one level of escaping; the empty string becomes NULL.
@@ -63,33 +59,26 @@ def schema_of_json_files(spark: SparkSession, paths: str | list[str], **options:
     except AnalysisException as error:
         if error.getCondition() != "COLUMN_ALREADY_EXISTS":
             raise
-    lines = spark.read.options(**options).text(paths)
-    return merge_repeated(spark.read.json(lines.rdd.map(lambda row: row.value)).schema)
+    return infer_json_schema(spark.read.options(**options).text(paths), F.col("value"))
 
 
-def infer_json_schema(docs: DataFrame, text: Column, sample: int | None = None) -> T.StructType:
-    """Schema of a JSON text column.
+def infer_json_schema(docs: DataFrame, text: Column) -> T.StructType:
+    """Schema of a JSON text column; every document counts.
 
-    By default every document counts: the texts are written once to the shared
-    folder and inferred by the JSON reader, so no document passes through
-    Python. ``sample`` bounds the work to that many arbitrary documents, at the
-    price of missing fields that none of them has.
+    The JSON reader takes the texts as a Dataset of strings inside the JVM, so no
+    document is copied or passes through Python. Needs a classic session.
     """
     spark = docs.sparkSession
-    texts = docs.select(text.alias("value")).where("value IS NOT NULL")
-    if sample is not None:
-        lines = [row.value for row in texts.take(sample)]
-        return merge_repeated(spark.read.json(spark.sparkContext.parallelize(lines)).schema)
-    path = scratch_path(spark, "infer")
-    texts.write.option("lineSep", _RECORD_SEPARATOR).text(path)
-    return schema_of_json_files(spark, path, lineSep=_RECORD_SEPARATOR)
+    texts = docs.select(text.cast("string").alias("value")).where("value IS NOT NULL")
+    strings = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    found = spark._jsparkSession.read().json(strings).schema().json()
+    return merge_repeated(T.StructType.fromJson(json.loads(found)))
 
 
 def infer_with_fallback(
     docs: DataFrame,
     column: str,
     decode: Callable[[Column], Column] = unescape_json,
-    sample: int | None = None,
 ) -> tuple[T.StructType, Callable[[Column], Column]]:
     """Schema and the decoder to use with it.
 
@@ -97,11 +86,11 @@ def infer_with_fallback(
     is inferred and later parsed as it is.
     """
     raw = F.col(column)
-    schema = infer_json_schema(docs, decode(raw), sample)
+    schema = infer_json_schema(docs, decode(raw))
     if not schema.fields and docs.where(raw.isNotNull()).isEmpty():
         raise ValueError(f"cannot infer a schema: column {column!r} has no documents")
     if is_corrupt_only(schema):
-        return data_schema(infer_json_schema(docs, raw, sample)), lambda c: c
+        return data_schema(infer_json_schema(docs, raw)), lambda c: c
     return data_schema(schema), decode
 
 

@@ -34,7 +34,6 @@ SHINGLE = 5
 TOKEN_BITS = 48
 RANGE_BITS = 11
 MATCHES = (1, 2, 4, 8)
-VERIFY_COST = 4
 SHARED = np.dtype([("local", "<u2"), ("token", "<u8"), ("freq", "<u4")])
 #: Leaders stand for sets of about their own size; a band is this ratio wide.
 BAND = 1.15
@@ -209,10 +208,13 @@ def _candidates(indexed: DataFrame) -> DataFrame:
     ordered = one.select("set", "n", "need", F.expr("sort_array(arrays_zip(freqs, tokens))").alias("z")).select(
         "set", "n", "need", F.col("z.tokens").alias("tokens"), F.col("z.freqs").alias("freqs")
     )
+    # A partner of the same size shares at least ceil(8/9 n), which leaves this part of
+    # the prefix to read; about one in l of what is read there becomes a candidate.
     costs = []
     for i in MATCHES:
-        read = f"aggregate(slice(freqs, 1, size(freqs) - cast(need as int) + {i}), 0L, (a, x) -> a + x - 1)"
-        costs.append(f"if({i} <= need, struct({read} * (1 + {VERIFY_COST} * n / {SHINGLE} / {i}) as cost, {i} as matches), null)")
+        part = f"greatest(0, size(freqs) - cast((8 * n + 8) div 9 as int) + {i})"
+        read = f"aggregate(slice(freqs, 1, {part}), 0L, (a, x) -> a + x - 1)"
+        costs.append(f"if({i} <= need, struct({read} * (1 + n / {SHINGLE} / {i}) as cost, {i} as matches), null)")
     best = F.expr(f"array_min(filter(array({', '.join(costs)}), x -> x is not null)).matches")
     # How usual the shingles of a set are among all sets: in a family of copies the
     # original is the most central.

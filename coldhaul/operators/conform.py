@@ -135,15 +135,15 @@ def loses_value(c: Column, src: T.DataType, dst: T.DataType) -> Column | None:
         return F.coalesce(
             F.exists(F.map_values(c), lambda v: loses_value(v, src.valueType, dst.valueType)), F.lit(False)
         )
-    if isinstance(dst, T.StringType) or _widens(src, dst):
+    if isinstance(dst, T.StringType):
+        return ~F.is_valid_utf8(c.cast("string")) if isinstance(src, T.BinaryType) else None
+    if _widens(src, dst):
         return None
     if isinstance(src, COMPLEX) or isinstance(dst, COMPLEX):
         return c.isNotNull()
+    # Kept only if the way back gives the same value; for text, the same text.
     out = _cast(c, src, dst)
-    lost = c.isNotNull() & out.isNull()
-    if isinstance(src, T.NumericType) and isinstance(dst, T.NumericType):
-        lost = lost | F.coalesce(out.try_cast(src) != c, F.lit(False))
-    return lost
+    return c.isNotNull() & F.coalesce(_cast(out, dst, src) != c, F.lit(True))
 
 
 def conform_columns(incoming: T.StructType, table: T.StructType) -> list[Column]:
@@ -159,6 +159,14 @@ def conform_columns(incoming: T.StructType, table: T.StructType) -> list[Column]
     ]
 
 
+def may_lose(incoming: T.StructType, table: T.StructType) -> bool:
+    """Whether any row could lose a value; from the schemas alone."""
+    kept = {f.name: f.dataType for f in table.fields}
+    return any(
+        f.name not in kept or loses_value(F.col(quote(f.name)), f.dataType, kept[f.name]) is not None for f in incoming.fields
+    )
+
+
 def lossy_rows(incoming: T.StructType, table: T.StructType, ignore: tuple[str, ...] = ()) -> Column:
     """True for rows of which conforming drops or changes a value."""
     kept = {f.name: f.dataType for f in table.fields}

@@ -13,14 +13,15 @@ from coldhaul.operators.keys import RunKeys
 from coldhaul.session import setting
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-# A filter of this many keys takes 20 MB.
-BLOOM_KEYS = 20_000_000
-_KEY_BYTES = {T.StringType: 128}
+# A filter of 2 ** 31 bits takes 256 MB; it has 8 bits a key up to 268 million keys,
+# and fewer beyond, where it lets more rows pass.
+BLOOM_BITS = 1 << 31
+_FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
 def fits_broadcast(n_rows: int, schema: T.StructType) -> bool:
     """Whether a key frame of known length is small enough to send everywhere."""
-    row = sum(_KEY_BYTES.get(type(f.dataType), 16) for f in schema.fields)
+    row = sum(16 if isinstance(f.dataType, _FIXED_WIDTH) else 128 for f in schema.fields)
     return n_rows * row <= BROADCAST_BYTES
 
 
@@ -44,8 +45,8 @@ def sized_bloom_filter(spark: SparkSession, run: RunKeys) -> Iterator[None]:
     for many more.
     """
     with ExitStack() as stack:
-        if BLOOM_KEYS >= run.n_keys and not fits_broadcast(run.n_keys, run.frame.schema):
-            bits = 8 * run.n_keys
+        if not fits_broadcast(run.n_keys, run.frame.schema):
+            bits = min(8 * run.n_keys, BLOOM_BITS)
             sizes = {"expectedNumItems": run.n_keys, "maxNumItems": run.n_keys, "numBits": bits, "maxNumBits": bits}
             for name, value in {**sizes, "creationSideThreshold": "10GB"}.items():
                 full = f"spark.sql.optimizer.runtime.bloomFilter.{name}"

@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import logging
-from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from py4j.protocol import Py4JNetworkError
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.functions.json_text import CORRUPT, infer_with_fallback, unescape_json, with_parsed
-from coldhaul.operators.conform import conform, lossy_rows
+from coldhaul.functions.types import quote
+from coldhaul.operators.conform import conform, lossy_rows, may_lose
 from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, ceil_division, expired_keys
 from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings, union_all
 from coldhaul.plans.ledger import BATCH, Ledger
 from coldhaul.session import scratch_path
-from coldhaul.sinks.tables import add_missing_columns, create_table, overwrite_partitions
+from coldhaul.sinks.tables import add_missing_columns, create_table, drop_partitions, overwrite_partitions
 
 log = logging.getLogger(__name__)
 
@@ -35,17 +37,16 @@ PARSED = "document"
 class JsonColumn:
     """A JSON text column to spread into wide columns.
 
-    ``sample`` bounds schema inference; by default all documents of the run
-    count. ``casts`` pins the types of fields that exist. ``keep`` names further
-    source columns to carry along. ``evolve`` adds new fields to the target;
-    otherwise they are left out of it, and documents having them are marked.
+    All documents of the run count for the schema. ``casts`` pins the types of
+    fields that exist. ``keep`` names the source columns to carry along beside the
+    key, by default all. ``evolve`` adds new fields to the target; otherwise they
+    are left out of it, and documents having them are marked.
     """
 
     column: str
     decode: Callable[[Column], Column] = unescape_json
-    sample: int | None = None
     casts: Mapping[str, str] = field(default_factory=lambda: dict(PINNED_TYPES))
-    keep: tuple[str, ...] = ()
+    keep: tuple[str, ...] | None = None
     evolve: bool = True
 
 
@@ -67,7 +68,7 @@ class ArchiveTable:
 
 @dataclass(frozen=True)
 class RunScope:
-    """Which keys a run takes. The defaults are one night's work.
+    """Which keys a run takes: all that are old enough, or the ``limit`` oldest.
 
     Each batch becomes a partition of every archive table, so a larger ``limit``
     wants a larger ``batch_size``.
@@ -78,7 +79,7 @@ class RunScope:
     ts: str
     as_of: datetime | str
     age_days: int = 7
-    limit: int | None = 500_000
+    limit: int | None = None
     batch_size: int = 10_000
     one_task_rows: int = ONE_TASK_ROWS
 
@@ -105,8 +106,8 @@ def empty_documents(df: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def spread_documents(df: DataFrame, spec: JsonColumn, schema: T.StructType, decode, keep: Sequence[str]) -> DataFrame:
-    """One row per non-NULL document: kept columns, parse outcome, fields."""
-    parsed = with_parsed(df.where(F.col(spec.column).isNotNull()), spec.column, schema, decode, PARSED)
+    """One row per document, NULL ones included: kept columns, parse outcome, fields."""
+    parsed = with_parsed(df, spec.column, schema, decode, PARSED)
     keep = [*keep, spec.column, "parse_status"]
     if not schema.fields:
         return empty_documents(parsed, keep)
@@ -131,21 +132,40 @@ class _TableWriter:
         if reserved:
             raise ValueError(f"{table.name} already has columns {sorted(reserved)}")
         self.staged: DataFrame | None = None
+        self.scratch: list[str] = []
+        self.parts: list[str] = []
         if table.json:
-            self._stage_documents(table.json)
-
-    def _stage_documents(self, spec: JsonColumn) -> None:
-        # Inference and parsing each read the documents, so copy the run's part
-        # of the source once rather than selecting it twice.
-        path = scratch_path(self.spark, "documents")
-        wanted = self.rows.select(self.table.key, spec.column, *spec.keep)
+            self._prepare_documents(table.json)
+
+    def _prepare_documents(self, spec: JsonColumn) -> None:
+        others = [c for c in self.rows.columns if c not in (self.table.key, spec.column)]
+        self.keep = others if spec.keep is None else list(spec.keep)
+        ours = {"parse_status", "rejected_text"} & {self.table.key, spec.column, *self.keep}
+        if ours:
+            raise ValueError(f"{self.table.name} already has columns {sorted(ours)}")
+        self.document_path = scratch_path(self.spark, "documents")
+        self.scratch.append(self.document_path)
+        wanted = self.rows.select(*[F.col(quote(c)) for c in (self.table.key, spec.column, *self.keep)])
+        self.wanted = with_batch(wanted, self.run, self.table.key)
+        # An empty first part, so that the copy has its columns whatever fails later.
+        self.wanted.limit(0).write.parquet(self.document_path)
+
+    def stage_documents(self, batches: Column) -> None:
+        """Copy documents of some batches; inference and parsing each read them."""
+        part = scratch_path(self.spark, "documents-part")
+        self.scratch.append(part)
+        keys = self.run.frame.where(batches)
+        wanted = self.rows.select(*[F.col(quote(c)) for c in (self.table.key, self.table.json.column, *self.keep)])
         with sized_bloom_filter(self.spark, self.run):
-            with_batch(wanted, self.run, self.table.key).write.parquet(path)
-        self.documents = self.spark.read.parquet(path)
+            with_batch(wanted, self.run, self.table.key, keys).write.parquet(part)
+        self.parts.append(part)
+
+    def infer(self) -> None:
+        """Read what was copied and find the schema of its documents."""
+        spec = self.table.json
+        self.documents = self.spark.read.schema(self.wanted.schema).parquet(self.document_path, *self.parts)
         try:
-            self.schema, self.decode = infer_with_fallback(
-                self.documents, spec.column, spec.decode, spec.sample
-            )
+            self.schema, self.decode = infer_with_fallback(self.documents, spec.column, spec.decode)
         except ValueError:
             log.warning("%s: no documents in run %s", self.table.name, self.run_id)
             self.schema, self.decode = T.StructType([]), spec.decode
@@ -160,7 +180,7 @@ class _TableWriter:
                 rows = with_batch(self.rows, self.run, table.key, self.run.frame.where(batches))
             return fill_empty_strings(rows).select("*", run_id)
         docs = self.documents.where(batches)
-        keep = [table.key, *spec.keep, "batch_no"]
+        keep = [table.key, *self.keep, "batch_no"]
         return spread_documents(docs, spec, self.schema, self.decode, keep).select("*", run_id)
 
     def _target_schema(self, df: DataFrame) -> T.StructType:
@@ -172,7 +192,7 @@ class _TableWriter:
         incoming, target = T.StructType(fields), self.table.target
         create_table(self.spark, target, incoming, BATCH, self.table.location, if_missing=True)
         if spec is not None and not spec.evolve:
-            ours = (*spec.keep, "parse_status", "rejected_text")
+            ours = (*self.keep, "parse_status", "rejected_text")
             incoming = T.StructType([f for f in fields if f.name in ours])
         add_missing_columns(self.spark, target, incoming)
         return self.spark.read.table(target).schema
@@ -182,15 +202,32 @@ class _TableWriter:
         if self.table.json or self.staged is not None:
             return
         path = scratch_path(self.spark, "rows")
+        self.scratch.append(path)
         rows = with_batch(self.rows, self.run, self.table.key)
         try:
             with sized_bloom_filter(self.spark, self.run):
                 rows.hint("rebalance", "batch_no").write.partitionBy("batch_no").parquet(path)
         except Exception as error:
-            log.warning("%s: retries will read the source: %s", self.table.name, str(error)[:200])
+            log.warning("%s: retries will read the source: %s", self.table.name, error)
         else:
             self.staged = self.spark.read.parquet(path)
 
+    def lossy_batches(self) -> list[int]:
+        """Batches with a value that does not fit the target, found in one pass.
+
+        JSON tables mark such documents instead. Where the types allow no loss,
+        nothing is read.
+        """
+        if self.table.json:
+            return []
+        df = self.frame(F.lit(True))
+        lossy = lossy_rows(df.schema, self._target_schema(df))
+        plan = df.where(lossy).select("batch_no").distinct()
+        if not may_lose(df.schema, self.spark.read.table(self.table.target).schema):
+            return []
+        with sized_bloom_filter(self.spark, self.run):
+            return [r["batch_no"] for r in plan.collect()]
+
     def write(self, batches: Column) -> None:
         df, spec = self.frame(batches), self.table.json
         target = self._target_schema(df)
@@ -199,7 +236,7 @@ class _TableWriter:
         else:
             lossy = lossy_rows(df.schema, target, ignore=(spec.column,))
             status = F.when((F.col("parse_status") == "ok") & lossy, "lossy").otherwise(F.col("parse_status"))
-            text = F.when(F.col("parse_status") != "ok", F.col(spec.column))
+            text = F.when(F.col("parse_status") != "ok", F.col(quote(spec.column)))
             df = df.withColumn("parse_status", status).withColumn("rejected_text", text).drop(spec.column)
         out, report = conform(df, target)
         if not report.identical:
@@ -207,23 +244,26 @@ class _TableWriter:
         with sized_bloom_filter(self.spark, self.run):
             overwrite_partitions(out, self.table.target, cluster_by=["batch_no"])
 
+    def remove_scratch(self) -> None:
+        """Delete the copies this writer made in the scratch folder."""
+        jvm = self.spark._jvm.org.apache.hadoop.fs.Path
+        for path in self.scratch:
+            where = jvm(path)
+            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
-def _landed(spark: SparkSession, run_id: str, tables: Sequence[ArchiveTable]) -> dict[str, dict[int, int]]:
-    """Rows per table and batch as found in the written files; logs parse outcomes."""
-    counted = []
-    for table in tables:
-        if spark.catalog.tableExists(table.target):
-            mine = spark.read.table(table.target).where(F.col("run_id") == run_id)
-            status = F.col("parse_status") if table.json else F.lit("rows")
-            groups = mine.groupBy(F.lit(table.name).alias("name"), "batch_no", status.alias("status"))
-            counted.append(groups.agg(F.count("*").alias("n")))
-    rows = {table.name: Counter() for table in tables}
-    outcomes = {table.name: Counter() for table in tables}
-    for r in union_all(counted).collect() if counted else []:
-        rows[r["name"]][r["batch_no"]] += r["n"]
-        outcomes[r["name"]][r["status"]] += r["n"]
-    log.info("run %s: %s", run_id, {name: dict(c) for name, c in outcomes.items()})
-    return rows
+    def expected(self) -> DataFrame:
+        """Rows of each batch at the source."""
+        return with_batch(self.rows.select(self.table.key), self.run, self.table.key)
+
+
+def _counts(frames: Mapping[str, DataFrame], count: str) -> DataFrame:
+    """(batch_no, table, count) over frames with a batch number."""
+    each = [df.groupBy("batch_no").agg(F.count("*").alias(count)).withColumn("table", F.lit(n)) for n, df in frames.items()]
+    return union_all(each)
+
+
+# Errors of the session, the plan or the cluster say nothing about a batch.
+_NOT_ABOUT_ROWS = (AnalysisException, ParseException, Py4JNetworkError, ConnectionError, KeyboardInterrupt)
 
 
 def write_isolated(
@@ -231,35 +271,33 @@ def write_isolated(
     low: int,
     high: int,
     failed: dict[int, str],
-    max_failed: int,
     before_retry: Callable[[], None] | None = None,
 ) -> None:
     """Write batches ``low`` to ``high - 1`` in one pass, halving the range on failure.
 
     A run without failures costs one pass for all batches; a bad batch is cut
     out in a number of passes that grows with the logarithm of their count, and
-    ``before_retry`` runs once ahead of those. After ``max_failed`` bad batches
-    the rest is given up and stays at the source.
+    ``before_retry`` runs once ahead of those. Every healthy batch is written, however
+    many are bad. Errors that are not about rows are raised at once.
     """
     skipped = [b for b in failed if low <= b < high]
     if len(skipped) == high - low:
         return
-    if len(failed) >= max_failed:
-        failed.update({b: "not attempted" for b in range(low, high) if b not in failed})
-        return
     batches = F.col("batch_no").between(low, high - 1)
     try:
         write(batches & ~F.col("batch_no").isin(skipped) if skipped else batches)
+    except _NOT_ABOUT_ROWS:
+        raise
     except Exception as error:
         if high - low == 1:
-            failed[low] = str(error)[:500]
+            failed[low] = str(error)
             log.error("batch %d failed: %s", low, failed[low])
             return
         if before_retry is not None:
             before_retry()
         middle = (low + high) // 2
-        write_isolated(write, low, middle, failed, max_failed)
-        write_isolated(write, middle, high, failed, max_failed)
+        write_isolated(write, low, middle, failed)
+        write_isolated(write, middle, high, failed)
 
 
 def _run_keys(spark: SparkSession, run_id: str, scope: RunScope, ledger: Ledger) -> RunKeys | None:
@@ -298,7 +336,6 @@ def archive(
     tables: Sequence[ArchiveTable],
     ledger: Ledger,
     delete: Callable[[DataFrame], None] | None = None,
-    max_failed: int = 10,
 ) -> ArchiveResult:
     """Copy the run's rows of every table, commit whole batches, delete their keys.
 
@@ -310,11 +347,14 @@ def archive(
     one call may be active at a time.
     """
     ledger.create(spark, scope.source.schema[scope.key].dataType)
-    ledger.abandon_unfinished(spark, run_id)
+    for closed in ledger.abandon_unfinished(spark, run_id):
+        for table in tables:
+            if spark.catalog.tableExists(table.target):
+                drop_partitions(spark, table.target, spark.createDataFrame([(closed,)], "run_id string"))
     failed = ledger.outcome(spark, run_id)
     if failed is None:
         run = _run_keys(spark, run_id, scope, ledger)
-        failed = _copy(spark, run_id, run, tables, ledger, max_failed) if run else {}
+        failed = _copy(spark, run_id, run, tables, ledger) if run else {}
     else:
         run = ledger.load_keys(spark, run_id)
     if delete is not None:
@@ -332,21 +372,49 @@ def _copy(
     run: RunKeys,
     tables: Sequence[ArchiveTable],
     ledger: Ledger,
-    max_failed: int,
 ) -> dict[int, str]:
-    """Write every table of a run and its manifest; returns the failed batches."""
+    """Write every table of a run and its manifest; returns the failed batches.
+
+    A batch counts only if each table has as many rows of it as its source. Rows of
+    the others leave the targets again.
+    """
     failed: dict[int, str] = {}
     blame: dict[int, str] = {}
+    writers = []
     for table in tables:
         writer = _TableWriter(spark, table, run, run_id)
-        write_isolated(writer.write, 0, run.n_batches, failed, max_failed, writer.stage_rows)
+        writers.append(writer)
+        if table.json:
+            write_isolated(writer.stage_documents, 0, run.n_batches, failed)
+            writer.infer()
+        text = f"a value does not fit its column in {table.target}"
+        for batch in writer.lossy_batches():
+            failed.setdefault(batch, f"{text}, batch {batch}")
+        write_isolated(writer.write, 0, run.n_batches, failed, writer.stage_rows)
         for batch in failed:
             blame.setdefault(batch, table.name)
-    manifest = []
-    for name, landed in _landed(spark, run_id, tables).items():
-        for batch in range(run.n_batches):
-            bad = batch in failed
-            error = failed[batch] if bad and blame[batch] == name else None
-            manifest.append((batch, name, "failed" if bad else "ok", landed[batch], error))
-    ledger.save_manifest(spark, run_id, manifest)
+    landed = {t.name: spark.read.table(t.target).where(F.col("run_id") == run_id) for t in tables}
+    errors = [(b, blame[b], e) for b, e in failed.items()]
+    bad = spark.createDataFrame(errors, "batch_no int, blamed string, error string")
+    manifest = (
+        run.frame.select("batch_no").distinct()
+        .select("batch_no", F.explode(F.array(*[F.lit(t.name) for t in tables])).alias("table"))
+        .join(_counts({w.table.name: w.expected() for w in writers}, "expected"), ["batch_no", "table"], "left")
+        .join(_counts(landed, "rows"), ["batch_no", "table"], "left")
+        .join(bad, "batch_no", "left")
+        .fillna(0, ["expected", "rows"])
+        .withColumn("short", F.col("blamed").isNull() & (F.col("rows") != F.col("expected")))
+    )
+    error = F.when(F.col("blamed") == F.col("table"), F.col("error")).when(
+        F.col("short"), F.concat("rows", F.lit(" of "), "expected", F.lit(" rows arrived"))
+    )
+    status = F.when(F.col("blamed").isNotNull() | F.col("short"), "failed").otherwise("ok")
+    ledger.save_manifest(spark, run_id, manifest.withColumns({"error": error, "status": status}))
+    failed = ledger.outcome(spark, run_id) or {}
+    if failed:
+        gone = spark.createDataFrame([(run_id, b) for b in failed], "run_id string, batch_no int")
+        for table in tables:
+            drop_partitions(spark, table.target, gone)
+    for writer in writers:
+        writer.remove_scratch()
     return failed

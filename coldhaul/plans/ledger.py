@@ -67,11 +67,10 @@ class Ledger:
             return None
         return RunKeys(frame, "key", size["n"], size["batches"])
 
-    def save_manifest(self, spark: SparkSession, run_id: str, rows: list[tuple]) -> None:
-        """Rows are (batch, table, status, row count, error): a few per batch."""
-        if rows:
-            df = spark.createDataFrame([(*r, run_id) for r in rows], _MANIFEST)
-            overwrite_partitions(df.coalesce(1), self.manifest)
+    def save_manifest(self, spark: SparkSession, run_id: str, outcome: DataFrame) -> None:
+        """``outcome`` has batch_no, table, status, rows and error, a row per batch and table."""
+        rows = outcome.select("batch_no", "table", "status", "rows", "error", F.lit(run_id).alias("run_id"))
+        overwrite_partitions(rows, self.manifest, cluster_by=["run_id"])
 
     def committed(self, spark: SparkSession) -> DataFrame:
         """Batches of which every table was written."""
@@ -95,14 +94,13 @@ class Ledger:
     def outcome(self, spark: SparkSession, run_id: str) -> dict[int, str] | None:
         """Failed batches of a finished run and their errors; None if unfinished."""
         mine = spark.read.table(self.manifest).where(F.col("run_id") == run_id)
-        worst = mine.groupBy("batch_no").agg(
-            F.bool_and(F.col("status") == "ok").alias("whole"), F.max("error").alias("error")
-        )
-        rows = worst.collect()
-        return {r["batch_no"]: r["error"] or "failed" for r in rows if not r["whole"]} if rows else None
+        if mine.isEmpty():
+            return None
+        bad = mine.where("status <> 'ok'").groupBy("batch_no").agg(F.max("error").alias("error"))
+        return {r["batch_no"]: r["error"] or "failed" for r in bad.collect()}
 
-    def abandon_unfinished(self, spark: SparkSession, current: str) -> None:
-        """Close runs that stopped before their manifest was written.
+    def abandon_unfinished(self, spark: SparkSession, current: str) -> list[str]:
+        """Close runs that stopped before their manifest was written; returns them.
 
         A later run takes their keys again, so they must not be resumed after it.
         """
@@ -119,7 +117,8 @@ class Ledger:
         )
         rows = [tuple(r) for r in marks.collect()]
         if rows:
-            append(spark.createDataFrame(rows, _MANIFEST).coalesce(1), self.manifest)
+            append(spark.createDataFrame(rows, _MANIFEST), self.manifest)
+        return [r[-1] for r in rows]
 
 
 def archived(spark: SparkSession, target: str, ledger: Ledger) -> DataFrame:

@@ -7,15 +7,17 @@ writer refuses to append to, use the V1 writer with the same by-name semantics.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.functions.types import columns_ddl, quote
 from coldhaul.operators.conform import SchemaReport, conform, lost_values
-from coldhaul.operators.restrict import rows_left
+from coldhaul.operators.restrict import restrict_to_keys, rows_left
 from coldhaul.operators.shape import old_columns_first
 from coldhaul.session import scratch_path, setting
 
@@ -48,13 +50,14 @@ def create_table(
 def append(df: DataFrame, name: str, files: int | None = None) -> None:
     """Append by column name; the columns must be the table's.
 
-    ``files`` bounds the number of writing tasks where a job's output is small.
+    ``files`` bounds the number of writing tasks where a job's output is small; what
+    comes before them keeps its own parallelism.
     """
     spark = df.sparkSession
     table = spark.read.table(name).columns
     if set(df.columns) != set(table):
         raise ValueError(f"columns {df.columns} are not those of {name}: {table}")
-    out = df.coalesce(files) if files else df
+    out = df.repartition(files) if files else df
     if in_v2_catalog(spark, name):
         out.writeTo(name).append()
     else:
@@ -100,9 +103,12 @@ def evolve_append(
     """Append, adding new columns to the table and casting drifted ones.
 
     Values that a cast would drop or change are kept as text in ``lost_column``,
-    which exists once types have drifted that far.
+    which exists once types have drifted that far. The name is reserved: data that
+    has such a column is refused.
     """
     spark = df.sparkSession
+    if lost_column in df.columns:
+        raise ValueError(f"the data has a column named {lost_column}, which is kept for values that do not fit")
     table = spark.read.table(name).schema
     incoming = old_columns_first(df, table.fieldNames())
     lost = lost_values(incoming.schema, table)
@@ -158,26 +164,85 @@ def delete_keys(
 ) -> None:
     """Remove the rows of the given keys from a lake table.
 
-    V2 tables take a row-level DELETE. A session-catalog table is rewritten
-    without the keys at a new location before its name moves there, so a failed
-    rewrite changes nothing.
+    V2 tables take a row-level DELETE. Of a partitioned session-catalog table only
+    the partitions that hold a key are rewritten, in place and from a staged copy;
+    repeating a delete that stopped half way completes it. A table without
+    partitions is rewritten beside its own folder before its location moves there,
+    so a failed rewrite changes nothing; the old folder stays for the caller to
+    remove. Name and properties do not change.
     """
     if in_v2_catalog(spark, name):
         view = "coldhaul_deleted_keys"
         keys.select(F.col(keys_key or key).alias(key)).createOrReplaceTempView(view)
         spark.sql(f"DELETE FROM {name} WHERE {quote(key)} IN (SELECT {quote(key)} FROM {view})")
         return
-    table = spark.read.table(name)
     partition_by = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-    location = location or scratch_path(spark, "kept")
-    kept = rows_left(table, keys, key, keys_key, n_keys).select(*map(quote, table.columns))
-    if partition_by:
-        kept = kept.hint("rebalance", *partition_by)
-    kept.write.parquet(location, partitionBy=partition_by or None)
     if partition_by:
-        spark.sql(f"DROP TABLE {name}")
-        create_table(spark, name, table.schema, partition_by, location)
-        spark.catalog.recoverPartitions(name)
+        _delete_in_partitions(spark, name, keys, key, keys_key, n_keys, partition_by)
     else:
+        table = spark.read.table(name)
+        location = location or f"{table_location(spark, name).rstrip('/')}__{uuid.uuid4().hex}"
+        kept = rows_left(table, keys, key, keys_key, n_keys).select(*map(quote, table.columns))
+        kept.write.parquet(location)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
         spark.catalog.refreshTable(name)
+
+
+def table_location(spark: SparkSession, name: str) -> str:
+    return spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
+
+
+def _delete_in_partitions(
+    spark: SparkSession,
+    name: str,
+    keys: DataFrame,
+    key: str,
+    keys_key: str | None,
+    n_keys: int | None,
+    partition_by: list[str],
+) -> None:
+    """Rewrite the partitions that hold one of the keys from a staged copy; drop those left empty."""
+    table = spark.read.table(name)
+    path = scratch_path(spark, "hit-partitions")
+    hit = restrict_to_keys(table, keys, key, keys_key, n_keys).select(*map(quote, partition_by)).distinct()
+    hit.write.parquet(path)
+    hit = spark.read.schema(hit.schema).parquet(path)
+
+    def in_partitions(df: DataFrame, parts: DataFrame, how: str) -> DataFrame:
+        parts = parts.select(*[F.col(quote(c)).alias(f"hit_{i}") for i, c in enumerate(partition_by)])
+        same = [F.col(quote(c)).eqNullSafe(F.col(f"hit_{i}")) for i, c in enumerate(partition_by)]
+        return df.join(parts, reduce(Column.__and__, same), how)
+
+    staged = scratch_path(spark, "kept-rows")
+    kept = rows_left(in_partitions(table, hit, "left_semi"), keys, key, keys_key, n_keys)
+    kept.select(*map(quote, table.columns)).write.parquet(staged)
+    kept = spark.read.schema(table.schema).parquet(staged)
+    overwrite_partitions(kept, name, cluster_by=partition_by)
+    left = kept.select(*map(quote, partition_by)).distinct()
+    drop_partitions(spark, name, in_partitions(hit, left, "left_anti"))
+
+
+def drop_partitions(spark: SparkSession, name: str, partitions: DataFrame) -> None:
+    """Drop the listed partitions, one statement for each; V2 tables delete their rows.
+
+    ``partitions`` holds values of some or all partition columns. It is read on the
+    driver: partitions to drop are few, as they failed or lost their last row.
+    """
+    v2 = in_v2_catalog(spark, name)
+    for row in partitions.toLocalIterator():
+        values = row.asDict()
+        if v2:
+            tests = " AND ".join(f"{quote(c)} <=> {_literal(v)}" for c, v in values.items())
+            spark.sql(f"DELETE FROM {name} WHERE {tests}")
+        else:
+            spec = ", ".join(f"{quote(c)} = {_literal(v)}" for c, v in values.items())
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+    spark.catalog.refreshTable(name)
+
+
+def _literal(value: object) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, (int, float)):
+        return str(value)
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"

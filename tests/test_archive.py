@@ -314,19 +314,18 @@ def test_isolation_tries_few_ranges(bad):
 
     original, plan.F = plan.F, Functions
     try:
-        plan.write_isolated(write, 0, 7, failed, max_failed=10)
+        plan.write_isolated(write, 0, 7, failed)
     finally:
         plan.F = original
     assert set(failed) == bad and written == set(range(7)) - bad
     assert len(tries) <= 1 + 2 * 3 * max(1, len(bad))
 
 
-def test_isolation_gives_up_after_enough_failures():
-    failed = {}
-
+def test_errors_that_are_not_about_rows_are_raised():
     def write(_):
-        raise RuntimeError("cluster away")
+        raise ConnectionError("cluster away")
 
-    plan.write_isolated(write, 0, 100, failed, max_failed=3)
-    assert len(failed) == 100
-    assert sum(e == "not attempted" for e in failed.values()) == 97
+    failed = {}
+    with pytest.raises(ConnectionError):
+        plan.write_isolated(write, 0, 100, failed)
+    assert failed == {}
