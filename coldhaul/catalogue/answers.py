@@ -19,7 +19,8 @@ ANSWERS = {
       WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED})""",
     "retained_anti": f"""SELECT * FROM lineitem
       WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED})""",
-    "delete_by_key": f"SELECT o_orderkey, o_custkey FROM orders WHERE NOT ({_EXPIRED})",
+    "delete_by_key": f"""SELECT kind, orders.*, CAST(year(o_orderdate) AS INTEGER) AS year
+      FROM orders, (VALUES ('whole'), ('by year')) t(kind) WHERE NOT ({_EXPIRED})""",
     "run_summary": f"""WITH k AS ({_batches(1000)})
       SELECT batch_no, count(DISTINCT job_id) AS n_jobs, count(l_orderkey) AS n_trace
       FROM k LEFT JOIN lineitem ON l_orderkey = job_id GROUP BY batch_no""",
@@ -60,23 +61,33 @@ ANSWERS = {
         CASE WHEN p_partkey % 2 = 1 THEN p_size END AS size FROM part""",
     "next_batch_index": """SELECT 'empty' AS state, 1 AS next_index
       UNION ALL SELECT 'loaded', CAST(max(l_linenumber) + 1 AS INTEGER) FROM lineitem""",
-    "batch_index_append": """SELECT CAST(event_id % 3 + 1 AS INTEGER) AS batch_index, count(*) AS n
+    "batch_index_append": """SELECT CAST(event_id % 3 + 1 AS INTEGER) AS batch_index, count(*) AS n,
+        CAST(sum(event_id) AS BIGINT) AS sum_event_id, CAST(sum(user_id) AS BIGINT) AS sum_user_id
       FROM events GROUP BY 1""",
-    "idempotent_append": """SELECT CAST(o_orderkey % 4 AS INTEGER) AS batch_no, count(*) AS n
+    "idempotent_append": """SELECT CAST(o_orderkey % 4 AS INTEGER) AS batch_no, count(*) AS n,
+        CAST(sum(o_orderkey) AS BIGINT) AS sum_o_orderkey, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey
       FROM orders GROUP BY 1""",
     "archive_end_to_end": f"""WITH k AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE {_EXPIRED}),
       items AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
-      docs AS (SELECT event_id, CASE WHEN event_id % 5 = 2 THEN 1 ELSE 0 END AS bad,
-          CASE WHEN event_id % 5 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
-        FROM events WHERE event_id % 5 <> 0)
-      SELECT o_orderstatus, count(*) AS n_jobs,
+      docs AS (SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN 1 ELSE 0 END AS bad,
+          CASE WHEN event_id % 5 NOT IN (0, 2) THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k
+        FROM events)
+      SELECT 'archived ' || o_orderstatus AS part, count(*) AS n_jobs,
         CAST(coalesce(sum(n), 0) AS BIGINT) AS n_details, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_trace,
         CAST(coalesce(sum(qty), 0) AS BIGINT) AS qty, count(event_id) AS n_docs,
         CAST(coalesce(sum(bad), 0) AS BIGINT) AS n_rejected, CAST(coalesce(sum(docs.k), 0) AS BIGINT) AS sum_k
       FROM k LEFT JOIN items ON l_orderkey = o_orderkey LEFT JOIN docs ON event_id = o_orderkey
-      GROUP BY o_orderstatus""",
-    "manifest_gate": f"""WITH k AS ({_batches("CAST(ceil(count(*) OVER () / 8.0) AS BIGINT)")})
-      SELECT job_id FROM k WHERE batch_no <> (
-        SELECT batch_no FROM k WHERE job_id = (SELECT max(job_id) FROM k))""",
-    "archive_sql_view": "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+      GROUP BY o_orderstatus
+      UNION ALL SELECT 'jobs', count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE NOT ({_EXPIRED})
+      UNION ALL SELECT t, count(*), NULL, NULL, NULL, NULL, NULL, NULL
+        FROM lineitem, (VALUES ('details'), ('trace')) v(t)
+        WHERE l_orderkey NOT IN (SELECT o_orderkey FROM k) GROUP BY t
+      UNION ALL SELECT 'documents', count(*), NULL, NULL, NULL, NULL, NULL, NULL
+        FROM events WHERE event_id NOT IN (SELECT o_orderkey FROM k)""",
+    "manifest_gate": f"""WITH k AS ({_batches("CAST(ceil(count(*) OVER () / 24.0) AS BIGINT)")})
+      SELECT job_id FROM k WHERE batch_no NOT IN (
+        SELECT batch_no FROM k JOIN orders ON o_orderkey = job_id
+        WHERE (month(o_orderdate) <= 6 AND day(o_orderdate) = 1) OR job_id = (SELECT max(job_id) FROM k))""",
+    "archive_sql_view": """SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS sum_key,
+        CAST(sum(l_partkey) AS BIGINT) AS sum_part FROM lineitem GROUP BY l_returnflag""",
 }

@@ -85,10 +85,14 @@ def retained_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delete_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, location = _new_table(spark, "delete")
-    copy = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lake.append_or_create(copy, name, location=location)
-    lake.delete_keys(spark, name, _expired(spark, sf_dir), "o_orderkey")
-    return read_table(spark, name)
+    orders = load(spark, sf_dir, "orders").select("*", F.year("o_orderdate").alias("year"))
+    left = []
+    for kind, partition_by in (("whole", []), ("by year", ["year"])):
+        name, location = _new_table(spark, "delete")
+        lake.append_or_create(orders, name, partition_by, location)
+        lake.delete_keys(spark, name, _expired(spark, sf_dir), "o_orderkey")
+        left.append(read_table(spark, name).select(F.lit(kind).alias("kind"), *orders.columns))
+    return left[0].union(left[1])
 
 
 def summary_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,7 +306,8 @@ def batch_index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     for snapshot in range(3):
         path = _write_lines(events.where(F.col("event_id") % 3 == snapshot), "snapshot")
         ingest_snapshot(spark, [path], name, location)
-    return read_table(spark, name).groupBy("batch_index").agg(F.count("*").alias("n"))
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("event_id", "user_id")]
+    return read_table(spark, name).groupBy("batch_index").agg(F.count("*").alias("n"), *sums)
 
 
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +317,8 @@ def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     lake.create_table(spark, name, orders.schema, ["batch_no"], location)
     for _ in range(2):
         lake.overwrite_partitions(orders, name, cluster_by=["batch_no"])
-    return read_table(spark, name).groupBy("batch_no").agg(F.count("*").alias("n"))
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("o_orderkey", "o_custkey")]
+    return read_table(spark, name).groupBy("batch_no").agg(F.count("*").alias("n"), *sums)
 
 
 def _share_of_expired(spark: SparkSession, sf_dir: str, batches: int) -> int:
@@ -331,19 +337,33 @@ def archive_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("props"))
     )
 
-    def table(name: str, rows: DataFrame, key: str, json: JsonColumn | None = None) -> ArchiveTable:
-        return ArchiveTable(name, rows, key, f"{prefix}_{name}", json, f"{location}/{name}")
+    documents = events.withColumn("doc", text).drop("props")
+    sources = {
+        "jobs": (orders, "o_orderkey"),
+        "details": (items, "l_orderkey"),
+        "documents": (documents, "event_id"),
+        "trace": (items, "l_orderkey"),
+    }
+    tables = []
+    for name, (rows, key) in sources.items():
+        # Lake copies, as the archived keys are deleted from them.
+        lake.append_or_create(rows, f"{prefix}_from_{name}", location=f"{location}/from_{name}")
+        copy = read_table(spark, f"{prefix}_from_{name}")
+        json = JsonColumn("doc") if name == "documents" else None
+        tables.append(ArchiveTable(name, copy, key, f"{prefix}_{name}", json, f"{location}/{name}"))
+
+    def delete(keys: DataFrame) -> None:
+        for name, (_, key) in sources.items():
+            lake.delete_keys(spark, f"{prefix}_from_{name}", keys, key, "key")
 
-    tables = [
-        table("jobs", orders, "o_orderkey"),
-        table("details", items.select("l_orderkey", "l_shipdate", "l_returnflag"), "l_orderkey"),
-        table("documents", events.select("event_id", text.alias("doc")), "event_id", JsonColumn("doc")),
-        table("trace", items.select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey"),
-    ]
     size = max(10_000, _share_of_expired(spark, sf_dir, 50))
-    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=size)
+    scope = RunScope(tables[0].rows, "o_orderkey", "o_orderdate", AS_OF, batch_size=size)
     ledger = Ledger(prefix, location)
-    archive(spark, "run", scope, tables, ledger)
+    archive(spark, "run", scope, tables, ledger, delete)
+    left = [
+        read_table(spark, f"{prefix}_from_{name}").select(F.lit(name).alias("part")).groupBy("part").agg(F.count("*").alias("n_jobs"))
+        for name in sources
+    ]
     jobs, details, documents, trace = (archived(spark, t.target, ledger) for t in tables)
     # Counted per key before the joins, so a key with many rows stays one row.
     n_details = details.groupBy("l_orderkey").agg(F.count("*").alias("n_details"))
@@ -360,26 +380,33 @@ def archive_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sums = ["n_details", "n_trace", "qty", "n_docs", "n_rejected", "sum_k"]
     totals = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in sums]
-    return per_job.groupBy("o_orderstatus").agg(F.count("*").alias("n_jobs"), *totals)
+    moved = per_job.groupBy(F.concat(F.lit("archived "), "o_orderstatus").alias("part"))
+    moved = moved.agg(F.count("*").alias("n_jobs"), *totals)
+    return shape.union_all([moved, *left])
 
 
 def manifest_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     prefix, location = _new_table(spark, "gate")
     orders = load(spark, sf_dir, "orders")
     newest = _expired(spark, sf_dir).agg(F.max("o_orderkey").alias("key")).first()["key"]
-    price = F.when(F.col("o_orderkey") == newest, "unknown").otherwise(F.col("o_totalprice").cast("string"))
+    # About half of the batches hold such a day, and one an unreadable document.
+    bad_day = (F.month("o_orderdate") <= 6) & (F.dayofmonth("o_orderdate") == 1)
+    price = F.when(bad_day, "unknown").otherwise(F.col("o_totalprice").cast("string"))
     prices = orders.select("o_orderkey", price.alias("price"))
+    unreadable = F.raise_error(F.lit("unreadable document")).cast("string")
+    doc = F.when(F.col("o_orderkey") == newest, unreadable).otherwise(F.to_json(F.struct("o_orderstatus")))
 
-    def table(name: str, rows: DataFrame) -> ArchiveTable:
-        return ArchiveTable(name, rows, "o_orderkey", f"{prefix}_{name}", None, f"{location}/{name}")
+    def table(name: str, rows: DataFrame, json: JsonColumn | None = None) -> ArchiveTable:
+        return ArchiveTable(name, rows, "o_orderkey", f"{prefix}_{name}", json, f"{location}/{name}")
 
-    tables = [table("jobs", orders.select("o_orderkey", "o_orderstatus")), table("prices", prices)]
+    documents = table("documents", orders.withColumn("doc", doc), JsonColumn("doc"))
+    tables = [table("jobs", orders), table("prices", prices), documents]
     # The archive holds numbers, so one text makes its batch fail to be written.
     columns = T.StructType().add("o_orderkey", "long").add("price", "double")
     columns = columns.add("run_id", "string").add("batch_no", "integer")
     lake.create_table(spark, tables[1].target, columns, ["run_id", "batch_no"], tables[1].location)
-    size = _share_of_expired(spark, sf_dir, 8)
-    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, limit=None, batch_size=size)
+    size = _share_of_expired(spark, sf_dir, 24)
+    scope = RunScope(orders, "o_orderkey", "o_orderdate", AS_OF, batch_size=size)
     ledger = Ledger(prefix, location)
     try:
         archive(spark, "run", scope, tables, ledger)
@@ -392,7 +419,8 @@ def archive_sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, location = _new_table(spark, "sql")
     lake.append_or_create(load(spark, sf_dir, "lineitem"), name, location=location)
     register_views(spark, {"archived_lineitem": read_table(spark, name)})
-    return spark.sql("SELECT l_returnflag, count(*) AS n FROM archived_lineitem GROUP BY l_returnflag")
+    return spark.sql("""SELECT l_returnflag, count(*) AS n, sum(l_orderkey) AS sum_key,
+      sum(l_partkey) AS sum_part FROM archived_lineitem GROUP BY l_returnflag""")
 
 
 def _configured(query: Query) -> Query:

@@ -88,7 +88,8 @@ def test_documents_become_columns_and_rejects_keep_their_text(source):
     assert set(docs.columns) == {
         "job", "parse_status", "LPMPassName", "num", "rejected_text", "run_id", "batch_no",
     }
-    assert docs.count() == 30
+    assert docs.count() == 40
+    assert keys_of(docs.where("parse_status = 'null_input'")) == [k for k in range(40) if k % 4 == 0]
     good = docs.where("parse_status = 'ok'")
     assert keys_of(good, "num") == keys_of(good) == [k for k in range(40) if k % 4 > 1]
     assert {r.rejected_text for r in docs.where("parse_status = 'malformed'").collect()} == {"broken"}
@@ -194,7 +195,7 @@ def test_drifting_documents(source):
     docs = source.archived("docs")
     assert {"LPMPASSNAME", "LPMPassName", "deep"} <= set(docs.columns)
     assert dict(docs.dtypes)["num"] == "bigint"
-    late = docs.where("job >= 20").collect()
+    late = docs.where("job >= 20 and parse_status <> 'null_input'").collect()
     assert len(late) == 10
     assert {(r.parse_status, r.LPMPASSNAME, r.LPMPassName) for r in late} == {("lossy", "z", None)}
     assert all(f'"n{r.job}"' in r.rejected_text and r.deep.a == [1] for r in late)
@@ -321,6 +322,40 @@ def test_isolation_tries_few_ranges(bad):
     assert len(tries) <= 1 + 2 * 3 * max(1, len(bad))
 
 
+def test_all_columns_beside_a_document_are_kept(source):
+    source.run("r1", docs=source.docs.withColumn("origin", F.col("job") * 2))
+    assert rows(source.archived("docs"), "job", "origin") == [(k, 2 * k) for k in range(40)]
+
+
+def test_an_unreadable_document_fails_its_batch_alone(source):
+    broken = F.when(F.col("job") == 17, F.raise_error(F.lit("unreadable"))).otherwise(F.col("doc"))
+    with pytest.raises(ArchiveFailed) as failure:
+        source.run("r1", docs=source.docs.withColumn("doc", broken))
+    assert list(failure.value.result.failed) == [1]
+    for name in ("jobs", "trace", "docs"):
+        assert set(keys_of(source.archived(name))) == {k for k in range(40) if k // 10 != 1}
+        # Rows of the failed batch are not in the raw table either.
+        raw = source.spark.read.table(source.target(name))
+        assert raw.where("job div 10 = 1").isEmpty()
+
+
+def test_many_bad_batches_leave_every_healthy_one(spark, table):
+    big = Source(spark, table, n=400)
+    bad = {b for b in range(40) if b % 2}
+    line = F.when((F.col("job") / 10).cast("int") % 2 == 1, "text").otherwise(F.col("line").cast("string"))
+    create_table(
+        spark,
+        big.target("trace"),
+        big.trace.select("job", "line", F.lit(0).alias("batch_no"), F.lit("").alias("run_id")).schema,
+        ["run_id", "batch_no"],
+        f"{big.location}/trace",
+    )
+    with pytest.raises(ArchiveFailed) as failure:
+        big.run("r1", trace=big.trace.withColumn("line", line))
+    assert set(failure.value.result.failed) == bad
+    assert keys_of(big.archived("docs")) == [k for k in range(400) if k // 10 not in bad]
+
+
 def test_errors_that_are_not_about_rows_are_raised():
     def write(_):
         raise ConnectionError("cluster away")

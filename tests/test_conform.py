@@ -1,3 +1,6 @@
+from datetime import date
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,6 +89,14 @@ def test_every_pair_gives_the_table_type_and_reports_losses(spark, source):
         ("struct<a:bigint,z:int>", "named_struct('a', 1L, 'z', 2)", "struct<a:bigint>", (1,), True),
         ("string", "'x'", "struct<a:bigint>", None, True),
         ("boolean", "true", "bigint", 1, False),
+        ("bigint", "5L", "boolean", True, True),
+        ("string", "'007'", "bigint", 7, True),
+        ("string", "'1.239'", "decimal(10,2)", Decimal("1.24"), True),
+        ("string", "'2020-01-01 10:11:12'", "date", date(2020, 1, 1), True),
+        ("timestamp_ntz", "TIMESTAMP_NTZ '2020-01-01 10:11:12'", "date", date(2020, 1, 1), True),
+        ("timestamp_ntz", "TIMESTAMP_NTZ '2020-01-01 00:00:00'", "date", date(2020, 1, 1), False),
+        ("string", "'12345678901234567890123'", "double", 1.2345678901234568e22, True),
+        ("binary", "X'6869'", "string", "hi", False),
         ("bigint", "1L", "date", None, True),
     ],
 )
@@ -95,6 +106,11 @@ def test_values(spark, source, value, target, expected, lost):
     assert (got, first.lost) == (expected, lost)
 
 
+def test_bytes_that_are_no_text_are_flagged(spark):
+    df = spark.sql("SELECT X'FFFE41' AS c")
+    assert df.select(lossy_rows(df.schema, T.StructType.fromDDL("c string"))).first()[0]
+
+
 def test_missing_extra_and_order(spark):
     df = spark.createDataFrame([(1, "x", None)], "b int, extra string, unused string")
     schema = T.StructType.fromDDL("a double, b bigint")
