@@ -1,3 +1,78 @@
 """Answers in SQL for the queries that SQL can express, over the same tables."""
 
-ANSWERS: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_QUALITY = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, [x for x in string_split_regex(t, '[\x20\x09-\x0D]+') if x <> ''] AS w,
+    [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM t),
+windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+counts AS (SELECT w.rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN word_chars = 0 THEN 0 ELSE 1000 * n_symbols // word_chars END AS symbols,
+    CASE WHEN n_lines = 0 THEN 0 ELSE 1000 * n_dup_lines // n_lines END AS dups,
+    CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_repeat_words // n_words END AS repeats,
+    CASE WHEN n_words = 0 THEN 0 ELSE 100 * word_chars // n_words END AS centi FROM counts),
+long AS (SELECT lang, source, m, v, greatest(0, length(bin(v)) - 6) AS e
+  FROM (UNPIVOT (SELECT lang, source, symbols, dups, repeats, centi FROM judged WHERE NOT base_failed)
+    ON symbols, dups, repeats, centi INTO NAME m VALUE v)),
+cells AS (SELECT lang, source, m, (v >> e) << e AS b, count(*) AS n FROM long GROUP BY ALL),
+levels AS (SELECT 0 AS lv, lang, source, m, b, n FROM cells
+  UNION ALL SELECT 1, lang, NULL, m, b, sum(n) FROM cells GROUP BY lang, m, b
+  UNION ALL SELECT 2, NULL, NULL, m, b, sum(n) FROM cells GROUP BY m, b),
+reached AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, m ORDER BY b) AS upto,
+  sum(n) OVER (PARTITION BY lv, lang, source, m) AS docs FROM levels),
+q AS (SELECT lv, lang, source, m, min(b) FILTER (WHERE upto * 100 >= docs * 25) AS q25,
+    min(b) FILTER (WHERE upto * 100 >= docs * 50) AS q50, min(b) FILTER (WHERE upto * 100 >= docs * 75) AS q75
+  FROM reached GROUP BY lv, lang, source, m HAVING max(docs) >= 50),
+picked AS (SELECT g.lang, g.source, g.m, coalesce(a.q25, b.q25, c.q25) AS q25,
+    coalesce(a.q50, b.q50, c.q50) AS q50, coalesce(a.q75, b.q75, c.q75) AS q75
+  FROM (SELECT DISTINCT lang, source, m FROM cells) g
+  LEFT JOIN q a ON a.lv = 0 AND a.m = g.m AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN q b ON b.lv = 1 AND b.m = g.m AND b.lang IS NOT DISTINCT FROM g.lang
+  LEFT JOIN q c ON c.lv = 2 AND c.m = g.m),
+bounds AS (SELECT lang, source,
+    max(CASE WHEN m = 'symbols' THEN q50 + 6 * greatest(q50 - q25, 5) END) AS symbols_to,
+    max(CASE WHEN m = 'dups' THEN q50 + 6 * greatest(q50 - q25, 100) END) AS dups_to,
+    max(CASE WHEN m = 'repeats' THEN q50 + 6 * greatest(q50 - q25, 70) END) AS repeats_to,
+    max(CASE WHEN m = 'centi' THEN q50 + 6 * greatest(q50 - q25, 40) END) AS centi_to,
+    max(CASE WHEN m = 'centi' THEN q50 - 6 * greatest(q75 - q50, 40) END) AS centi_from
+  FROM picked GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(symbols <= symbols_to, true) AND coalesce(dups <= dups_to, true)
+    AND coalesce(repeats <= repeats_to, true) AND coalesce(centi <= centi_to, true)
+    AND coalesce(centi >= centi_from, true) AS kept
+FROM judged j LEFT JOIN bounds b ON j.lang IS NOT DISTINCT FROM b.lang AND j.source IS NOT DISTINCT FROM b.source
+"""
+
+_DECONTAMINATION = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+items AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT item, w, least(13, len(w)) AS k FROM items WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+grams AS (SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM d, (SELECT DISTINCT k FROM sized) WHERE len(w) >= k)),
+found AS (SELECT rid, item, grams.k AS k, i FROM grams JOIN phrases USING (k, g)),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM found) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+ANSWERS: dict[str, str] = {"op2_quality_rules": _QUALITY, "op5_decontamination": _DECONTAMINATION}
