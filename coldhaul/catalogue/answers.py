@@ -88,6 +88,7 @@ ANSWERS = {
       SELECT job_id FROM k WHERE batch_no NOT IN (
         SELECT batch_no FROM k JOIN orders ON o_orderkey = job_id
         WHERE (month(o_orderdate) <= 6 AND day(o_orderdate) = 1) OR job_id = (SELECT max(job_id) FROM k))""",
-    "archive_sql_view": """SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS sum_key,
-        CAST(sum(l_partkey) AS BIGINT) AS sum_part FROM lineitem GROUP BY l_returnflag""",
+    "archive_sql_view": f"""SELECT l_returnflag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS sum_key,
+        CAST(sum(l_partkey) AS BIGINT) AS sum_part FROM lineitem
+      WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED}) GROUP BY l_returnflag""",
 }
