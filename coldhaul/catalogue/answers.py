@@ -58,7 +58,9 @@ ANSWERS = {
     "create_append_roundtrip": "SELECT * FROM orders UNION ALL SELECT * FROM orders",
     "partitioned_write": "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders",
     "evolve_append": """SELECT p_partkey AS key, p_name AS name,
-        CASE WHEN p_partkey % 2 = 1 THEN p_size END AS size FROM part""",
+        CASE WHEN p_partkey % 10 <> 5 THEN p_size END AS size,
+        CASE WHEN p_partkey % 2 = 1 THEN p_type END AS type,
+        CASE WHEN p_partkey % 10 = 5 THEN '{"size":"unknown"}' END AS lost_values FROM part""",
     "next_batch_index": """SELECT 'empty' AS state, 1 AS next_index
       UNION ALL SELECT 'loaded', CAST(max(l_linenumber) + 1 AS INTEGER) FROM lineitem""",
     "batch_index_append": """SELECT CAST(event_id % 3 + 1 AS INTEGER) AS batch_index, count(*) AS n,

@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ from coldhaul.plans.ledger import Ledger, archived
 from coldhaul.plans.snapshot import ingest_snapshot
 from coldhaul.session import configure, scratch_path
 from coldhaul.sinks import tables as lake
-from coldhaul.sources.json_lines import decode_xz_lines, read_json_lines
+from coldhaul.sources.json_lines import read_json_lines
 from coldhaul.sources.tables import read_table, register_archives
 
 AS_OF = "2000-01-01 00:00:00"
@@ -116,18 +117,25 @@ def json_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _k_of(events.withColumn("props", mixed), unescape_json)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = "\n".join(batch.column("value").to_pylist())
-        yield pa.record_batch([pa.array([lzma.compress(text.encode(), preset=1)])], names=["content"])
-
-
 def xz_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write xz files of JSON lines, ingest them as a snapshot, and read the table back."""
     lines = load(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "props")).alias("value"))
-    files = lines.mapInArrow(_pack, "content binary")
-    row = F.from_json("value", "event_id bigint, props string")
-    rows = decode_xz_lines(files).select(row.alias("r")).select("r.*")
-    return _k_of(rows, lambda c: c)
+    folder = scratch_path(spark, "xz")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            name = f"part-{uuid.uuid4().hex}.xz"
+            text = "\n".join(batch.column("value").to_pylist())
+            with store.open_output_stream(f"{root}/{name}", compression=None) as out:
+                out.write(lzma.compress(text.encode(), preset=1))
+            yield pa.record_batch([pa.array([f"{folder}/{name}"])], names=["path"])
+
+    paths = [r["path"] for r in lines.mapInArrow(pack, "path string").collect()]
+    name, location = _new_table(spark, "xz")
+    ingest_snapshot(spark, paths, name, location)
+    return _k_of(read_table(spark, name).drop("batch_index"), lambda c: c)
 
 
 def _troubled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,12 +289,13 @@ def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolve_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, location = _new_table(spark, "evolve")
-    part = load(spark, sf_dir, "part").select(
-        F.col("p_name").alias("name"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size")
-    )
+    columns = {"p_name": "name", "p_partkey": "key", "p_size": "size", "p_type": "type"}
+    part = load(spark, sf_dir, "part").select(*[F.col(a).alias(b) for a, b in columns.items()])
     odd = F.col("key") % 2 == 1
-    lake.append_or_create(part.where(~odd).select("key", "name"), name, location=location)
-    lake.evolve_append(part.where(odd), name)
+    lake.append_or_create(part.where(~odd).select("key", "name", "size"), name, location=location)
+    # A new column, and a type that drifts with values that do not fit.
+    size = F.when(F.col("key") % 5 == 0, "unknown").otherwise(F.col("size").cast("string"))
+    lake.evolve_append(part.where(odd).withColumn("size", size), name)
     return read_table(spark, name)
 
 
