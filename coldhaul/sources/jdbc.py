@@ -84,7 +84,7 @@ def read_run_rows(
     run: RunKeys,
     staging_table: str,
     properties: Mapping[str, str],
-    partitions: int = 1,
+    partitions: int,
     slices: tuple[str, int] | None = None,
 ) -> DataFrame:
     """The run's rows of a source table, selected inside the database.
