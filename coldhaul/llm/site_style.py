@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldhaul.llm.common import stored
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?[A-Za-z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S
 )
@@ -263,7 +265,8 @@ def extract_main_text(pages: DataFrame, threshold: float = 0.35, min_pages: int
         "page_id", "url", F.col("html").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), HOST, 1), F.lit(""))).alias("host"),
     )
-    branches = low_branches(hosted, threshold, min_pages)
+    # Stored, so that the join has a shuffle of its own and a host with very many pages is split.
+    branches = stored(low_branches(hosted, threshold, min_pages), "low-branches")
     joined = hosted.join(branches, hosted["host"] == branches["of_host"], "left").select("page_id", "url", "html", "removed")
     types = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
