@@ -98,6 +98,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, window: int = 13, rare_t
         .groupBy("key")
         .agg(F.collect_set(F.struct("item", (F.col("delta") + F.col("s")).alias("at"), "width", "phrase")).alias("c"))
     )
+    # Stored, so that the join has a shuffle of its own and a text with many copies is split.
+    candidates = stored(candidates, "phrase-candidates")
     # n_words and the comparison both use the words, so they are split once per text.
     found = texts.withColumn("key", F.md5("t")).join(candidates, "key", "left").select("doc", "c", words(F.col("t")).alias("w"))
     found = found.select(

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldhaul.llm.common import KEY_BITS, keyed
+from coldhaul.llm.common import KEY_BITS, keyed, stored
 
 SENTENCES, WORDS, LONG = 3, 12, 40
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[^\S\n]*\n?|\n|\Z)")
@@ -99,7 +99,9 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
     every = _span_rows(rows)
     repeated = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
-    later = every.join(repeated.select("hash", "first"), "hash").where("place <> first")
+    # Stored, so that the join has a shuffle of its own and a very common span is split.
+    repeated = stored(repeated.select("hash", "first"), "repeated-spans")
+    later = every.join(repeated, "hash").where("place <> first")
     low = (1 << PLACE_BITS) - 1
     removals = (
         later.select(

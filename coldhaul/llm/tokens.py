@@ -19,7 +19,7 @@ from collections.abc import Callable
 
 VISIBLE_GAP = re.compile(r"(?<=\S)(?= \S)")
 PLAIN = re.compile(r" ?\S+")
-CACHED_PIECES = 500_000
+CACHED_PIECES = 1_000_000
 TEXTS_AT_ONCE = 128
 PIECES_AT_ONCE = 64
 
