@@ -118,37 +118,36 @@ def test_documents_are_parsed_once(spark, tmp_path):
     assert plan.count("from_json(") == 1
 
 
-@pytest.mark.parametrize("sample", [None, 1_000])
 class TestInference:
-    def infer(self, spark, texts, sample):
+    def infer(self, spark, texts):
         df = spark.createDataFrame([(t,) for t in texts], "doc string")
-        return infer_json_schema(df, F.col("doc"), sample)
+        return infer_json_schema(df, F.col("doc"))
 
-    def test_all_bad_gives_the_corrupt_column_only(self, spark, sample):
-        assert is_corrupt_only(self.infer(spark, ["nope", "{"], sample))
+    def test_all_bad_gives_the_corrupt_column_only(self, spark):
+        assert is_corrupt_only(self.infer(spark, ["nope", "{"]))
 
-    def test_bad_line_among_good(self, spark, sample):
-        schema = self.infer(spark, ['{"a":1}', "nope"], sample)
+    def test_bad_line_among_good(self, spark):
+        schema = self.infer(spark, ['{"a":1}', "nope"])
         assert set(schema.fieldNames()) == {"_corrupt_record", "a"}
         assert data_schema(schema).fieldNames() == ["a"]
 
-    def test_names_differing_by_case(self, spark, sample):
-        schema = self.infer(spark, ['{"B":1,"a":1,"A":[1]}'], sample)
+    def test_names_differing_by_case(self, spark):
+        schema = self.infer(spark, ['{"B":1,"a":1,"A":[1]}'])
         assert schema.fieldNames() == ["A", "B", "a"]
         df = spark.createDataFrame([('{"B":1,"a":7,"A":[1]}',)], "doc string")
         wide = expand_struct(with_parsed(df, "doc", schema), "j", [], ["_corrupt_record"])
         assert wide.select("a").first()[0] == 7
 
-    def test_conflicting_kinds_become_string(self, spark, sample):
-        schema = self.infer(spark, ['{"a":1,"b":{"c":1}}', '{"a":"x","b":"y"}'], sample)
+    def test_conflicting_kinds_become_string(self, spark):
+        schema = self.infer(spark, ['{"a":1,"b":{"c":1}}', '{"a":"x","b":"y"}'])
         assert {f.name: f.dataType for f in schema} == {"a": T.StringType(), "b": T.StringType()}
 
-    def test_repeated_keys(self, spark, sample):
-        schema = self.infer(spark, ['{"a":1,"a":{"x":1,"x":2.5},"b":1.0}', '{"c":{"d":1,"d":2}}'], sample)
+    def test_repeated_keys(self, spark):
+        schema = self.infer(spark, ['{"a":1,"a":{"x":1,"x":2.5},"b":1.0}', '{"c":{"d":1,"d":2}}'])
         assert schema.simpleString() == "struct<a:string,b:double,c:struct<d:bigint>>"
 
-    def test_line_breaks_inside_a_document(self, spark, sample):
-        assert self.infer(spark, ['{\n"a":1,\r\n"b":"x"\n}'], sample).fieldNames() == ["a", "b"]
+    def test_line_breaks_inside_a_document(self, spark):
+        assert self.infer(spark, ['{\n"a":1,\r\n"b":"x"\n}']).fieldNames() == ["a", "b"]
 
 
 def test_rare_fields_are_found_without_a_sample(spark):
