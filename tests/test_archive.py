@@ -324,7 +324,7 @@ def test_isolation_tries_few_ranges(bad):
 
 def test_all_columns_beside_a_document_are_kept(source):
     source.run("r1", docs=source.docs.withColumn("origin", F.col("job") * 2))
-    assert rows(source.archived("docs"), "job", "origin") == [(k, 2 * k) for k in range(40)]
+    assert set(rows(source.archived("docs"), "job", "origin")) == {(k, 2 * k) for k in range(40)}
 
 
 def test_an_unreadable_document_fails_its_batch_alone(source):
