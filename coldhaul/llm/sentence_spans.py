@@ -18,11 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coldhaul.llm.common import KEY_BITS, keyed, stored
+from coldhaul.llm.common import keyed, stored
 
 SENTENCES, WORDS, LONG = 3, 12, 40
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[^\S\n]*\n?|\n|\Z)")
-PLACE_BITS = 62 - KEY_BITS
 
 
 def sentences(text: str) -> list[str]:
@@ -62,30 +61,30 @@ def spans(parts: list[str]) -> list[tuple[int, int, int]]:
 
 
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """(hash, place, length) of every span; a place is the key and the number of the sentence."""
+    """(hash, key, at, length, again) of every span; ``again``: the same text has the span before."""
 
     def hash_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, places, lengths = [], [], []
+            rows: list[tuple[int, int, int, int, bool]] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = sentences(text or "")
-                if len(parts) >> PLACE_BITS:
-                    raise ValueError(f"a text has {len(parts)} sentences")
-                for h, a, b in spans(parts):
-                    hashes.append(h)
-                    places.append(key << PLACE_BITS | a)
-                    lengths.append(b - a)
-                if len(hashes) > 200_000:
-                    yield _batch(hashes, places, lengths)
-                    hashes, places, lengths = [], [], []
-            yield _batch(hashes, places, lengths)
-
-    return docs.select("key", F.col("text").cast("string")).mapInArrow(hash_spans, "hash long, place long, length int")
+                seen = set()
+                for h, a, b in spans(sentences(text or "")):
+                    rows.append((h, key, a, b - a, h in seen))
+                    seen.add(h)
+                    if len(rows) > 200_000:
+                        yield _batch(rows)
+                        rows = []
+            yield _batch(rows)
+
+    return docs.select("key", F.col("text").cast("string")).mapInArrow(
+        hash_spans, "hash long, key long, at int, length int, again boolean"
+    )
 
 
-def _batch(hashes: list[int], places: list[int], lengths: list[int]) -> pa.RecordBatch:
+def _batch(rows: list[tuple[int, int, int, int, bool]]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
     return pa.RecordBatch.from_arrays(
-        [pa.array(hashes, pa.int64()), pa.array(places, pa.int64()), pa.array(lengths, pa.int32())], ["hash", "place", "length"]
+        [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], ["hash", "key", "at", "length", "again"]
     )
 
 
@@ -93,24 +92,17 @@ def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed and the text that is left.
 
     A null text stays null and has no sentences; texts without a span are left as they
-    are. Of equal rows the first keeps its text. An empty table gives no rows, other
-    columns are ignored. The order of the sentences left and their spacing do not change.
+    are; a text may have any number of sentences. Of equal rows the first keeps its text.
+    An empty table gives no rows, other columns are ignored. The order of the sentences
+    left and their spacing do not change.
     """
     rows = keyed(docs.select("doc_id", "text"))
     every = _span_rows(rows)
-    repeated = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    repeated = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
     # Stored, so that the join has a shuffle of its own and a very common span is split.
     repeated = stored(repeated.select("hash", "first"), "repeated-spans")
-    later = every.join(repeated, "hash").where("place <> first")
-    low = (1 << PLACE_BITS) - 1
-    removals = (
-        later.select(
-            F.shiftright("place", PLACE_BITS).alias("key"),
-            F.struct(F.expr(f"cast(place & {low} as int)").alias("a"), "length").alias("run"),
-        )
-        .groupBy("key")
-        .agg(F.collect_set("run").alias("removed"))
-    )
+    later = every.join(repeated, "hash").where("key <> first or again")
+    removals = later.groupBy("key").agg(F.collect_set(F.struct(F.col("at").alias("a"), "length")).alias("removed"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

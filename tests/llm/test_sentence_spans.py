@@ -68,3 +68,12 @@ def test_clashing_columns_and_empty_table(spark):
     out = sentence_spans.remove_repeated_spans(docs)
     assert out.columns == ["doc_id", "n_sentences", "n_removed", "text"] and out.count() == docs.count()
     assert sentence_spans.remove_repeated_spans(spark.createDataFrame([], DOC_SCHEMA)).collect() == []
+
+
+def test_a_text_of_very_many_sentences(spark):
+    words = "some words that stand in both of the texts, more than once. and another sentence of it. and a third one."
+    long = "x\n" * ((1 << 20) + 10) + words + "\n" + "y\n" * 20 + words
+    docs = spark.createDataFrame([(1, words, "en", "s"), (2, long, "en", "s")], DOC_SCHEMA)
+    got = {r["doc_id"]: r for r in sentence_spans.remove_repeated_spans(docs).collect()}
+    assert got[1]["n_removed"] == 0 and got[1]["text"] == words
+    assert got[2]["n_sentences"] > 1 << 20 and words not in got[2]["text"]
