@@ -2,7 +2,7 @@
 
 A span is a run of several consecutive sentences: at least ``SENTENCES`` of them with
 ``WORDS`` words, or fewer when they already hold ``LONG`` words, so that a passage of
-one or two very long sentences is a span as well. From every sentence the shortest
+a single long sentence is a span as well. From every sentence the shortest
 such run forward and the shortest run backward are hashed. Spans with the same words
 (case and white space apart) are joined globally; the first, by doc_id and place, is
 kept, and the sentences under any other are removed.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from coldhaul.llm.common import keyed, stored
 
-SENTENCES, WORDS, LONG = 3, 12, 40
+SENTENCES, WORDS, LONG = 2, 12, 25
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+[^\S\n]*\n?|\n|\Z)")
 
 

@@ -77,3 +77,44 @@ def test_a_text_of_very_many_sentences(spark):
     got = {r["doc_id"]: r for r in sentence_spans.remove_repeated_spans(docs).collect()}
     assert got[1]["n_removed"] == 0 and got[1]["text"] == words
     assert got[2]["n_sentences"] > 1 << 20 and words not in got[2]["text"]
+
+
+def test_repeated_windows_with_whole_sentences_go(spark):
+    """An independent search: 50 words in a row that an earlier text has, and the whole sentences in them."""
+    rng = random.Random(7)
+
+    def sentence(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n - 1)] + [f"w{rng.randrange(10**7)}."]
+
+    def edited(part, at):
+        return part[:at] + ["edited" + str(rng.randrange(10**7))] + part[at + 1 :]
+
+    rows = []
+    for i in range(10):
+        # A near copy: the middle sentences are the same, those around them are edited far from it.
+        for whole in ((9, 9), (8, 5), (30,)):
+            head, middle, tail = sentence(39), [sentence(n) for n in whole], sentence(39)
+            for k in range(2):
+                words = [*(edited(head, 2) if k else head), *(w for s in middle for w in s), *(edited(tail, 36) if k else tail)]
+                rows.append((10 * len(rows) + k, " ".join(words)))
+    rows += [(10_000 + r["doc_id"], r["text"] or "") for r in sf_documents(spark).collect()]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], DOC_SCHEMA)
+    left = {r["doc_id"]: " ".join(r["text"].lower().split()) for r in sentence_spans.remove_repeated_spans(docs).collect()}
+    seen, judged, planted = {}, 0, 0
+    for doc, text in sorted(rows):
+        words, starts = [], [0]
+        for part in sentence_spans.sentences(text):
+            words += part.lower().split()
+            if starts[-1] != len(words):
+                starts.append(len(words))
+        for at in range(len(words) - 49):
+            first, place, bounds = seen.setdefault(tuple(words[at : at + 50]), (doc, at, set(starts)))
+            if first == doc:
+                continue
+            inside = [s for s in starts if at <= s <= at + 50 and s - at + place in bounds]
+            own = [s for s in starts if at <= s <= at + 50]
+            if inside == own and len(own) > 2 and own[-1] - own[0] >= 12 or inside == own and len(own) == 2 and own[1] - own[0] >= 25:
+                judged += 1
+                planted += doc < 10_000
+                assert " ".join(words[own[0] : own[-1]]) not in left[doc]
+    assert planted >= 30 and judged > planted
