@@ -5,8 +5,10 @@ ids). For every path the pages that have it are counted, and for every text belo
 the pages in which it stands there. A text that comes back on all pages has the full
 entropy and carries no information; a text of a single page has none. The importance
 of a branch is one less the mean relative entropy of its texts and of the order of its
-children, and branches of low importance are removed from each page. Paths whose names
-say what they are (a footer, a side bar, an article) have their importance given.
+children, and branches of low importance are removed from each page, inside an article
+as well. Copies of a page count once. What an element calls itself (a footer, a side bar)
+decides unless the tree knows better: an element that bears most of the information of
+its host stays whatever its name, as does one that holds the only article of its page.
 """
 
 from __future__ import annotations
@@ -40,10 +42,11 @@ BLOCKS = frozenset(
 CLOSES_P = BLOCKS - {"br", "html", "head", "body", "title", "option", "optgroup"}
 CLOSED_BY_SAME = {"li": "ul ol menu", "option": "select", "tr": "table", "td": "tr", "th": "tr", "dt": "dl", "dd": "dl"}
 
-NOISE_TAGS = frozenset(
-    "nav footer aside form script style noscript template iframe svg button select textarea input object head title menu"
-    " dialog noembed noframes canvas audio video map datalist".split()
+UNSEEN_TAGS = frozenset(
+    "script style noscript template iframe svg button select textarea input object head title noembed noframes canvas"
+    " audio video map datalist".split()
 )
+NOISE_TAGS = frozenset("nav footer aside form menu dialog".split()) | UNSEEN_TAGS
 NOISE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars menu nav"
     " navbar navigation breadcrumb breadcrumbs footer cookie cookies notice notices consent gdpr comment comments disqus"
@@ -52,16 +55,24 @@ NOISE_NAMES = frozenset(
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAME = re.compile(r"[a-z]+")
+ROOTS = ("html", "body")
 
 
 @dataclass
 class Node:
-    """An element; ``path`` is the hash of its place in the style tree."""
+    """An element; ``path`` is the hash of its place in the style tree.
+
+    ``unseen`` is never text, ``noise`` is what the element says of itself by tag or
+    role, ``named`` by its class or id.
+    """
 
     tag: str
     style: str
     path: int
+    top: bool = False
+    unseen: bool = False
     noise: bool = False
+    named: bool = False
     content: bool = False
     children: list[str] = field(default_factory=list)
 
@@ -90,19 +101,23 @@ def _element(tag: str, source: str, above: list[Node]) -> Node:
     names = _names(given.get("class", "")) | _names(given.get("id", ""))
     style = re.sub(r"\d+", "", ".".join([tag, *sorted(given.get("class", "").split()), given.get("id", "")]))
     node = Node(tag, style, xxhash.xxh3_64_intdigest(f"{above[-1].path if above else 0}/{style}") - (1 << 63))
+    node.top = all(n.tag in ROOTS for n in above)
     role = given.get("role", "").lower()
     inside = any(n.content for n in above)
-    node.noise = (
-        tag in NOISE_TAGS
-        or role in NOISE_ROLES
+    node.unseen = (
+        tag in UNSEEN_TAGS
         or "hidden" in given
         or given.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", "").lower()) is not None
-        or (tag not in ("html", "body", "main", "article") and bool(names & NOISE_NAMES))
+    )
+    node.noise = tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not inside)
+    node.named = (
+        (tag not in ("html", "body", "main", "article") and bool(names & NOISE_NAMES))
         or (tag == "article" and bool(names & {"comment", "comments", "reply", "related", "ad", "promo"}))
-        or ((tag == "header" or "header" in names) and not inside and tag not in ("main", "article", "html", "body"))
+        or ("header" in names and not inside and tag not in ("main", "article", "html", "body"))
     )
-    node.content = not node.noise and (tag in ("article", "main") or role in ("main", "article"))
+    hinted = node.unseen or node.noise or node.named
+    node.content = not hinted and (tag in ("article", "main") or role in ("main", "article"))
     return node
 
 
@@ -179,79 +194,150 @@ def parse(source: str) -> tuple[list[Block], list[Node]]:
             continue
         stack.append(node)
     flush()
+    _free_wrappers(blocks)
     return blocks, nodes
 
 
-def main_text(source: str, removed: frozenset[int]) -> str:
-    """The text of the article, or without one all text outside noise and ``removed`` branches."""
+def _free_wrappers(blocks: list[Block]) -> None:
+    """A wrapper that holds the article is no noise by name.
+
+    Where every article, or without one every other content element, stands in an element
+    with such a name, the wrappers of the one with the most text lose their mark.
+    """
+    sizes: dict[int, int] = {}
+    places: dict[int, tuple[Node, ...]] = {}
+    for kind in ("article", None):
+        for block in blocks:
+            for i, n in enumerate(block.nodes):
+                if n.content and (kind is None or n.tag == kind):
+                    above = block.nodes[:i]
+                    if not any(m.unseen or m.noise for m in block.nodes):
+                        if not any(m.named for m in above):
+                            return
+                        sizes[id(n)] = sizes.get(id(n), 0) + len(block.text)
+                        places[id(n)] = above
+                    break
+        if sizes:
+            for n in places[max(sizes, key=sizes.__getitem__)]:
+                n.named = False
+            return
+
+
+def main_text(source: str, removed: frozenset[int], raised: frozenset[int] = frozenset()) -> str:
+    """The text of the article, or without one all text, outside noise and ``removed`` branches.
+
+    Noise that is in ``raised`` stays. An article is not removed as a whole: where no
+    text of it would be left, it loses no branch.
+    """
     blocks, nodes = parse(source)
     article = any(n.tag == "article" and n.content for n in nodes)
     content = article or any(n.content for n in nodes)
 
-    def stays(block: Block) -> bool:
-        if any(n.noise for n in block.nodes):
-            return False
-        if article:
-            return any(n.tag == "article" and n.content for n in block.nodes)
-        if content:
-            return any(n.content for n in block.nodes)
-        return not any(n.path in removed for n in block.nodes)
+    def start(block: Block) -> int | None:
+        """Where the content begins among the elements of the block."""
+        if not content:
+            return 0
+        return next((i + 1 for i, n in enumerate(block.nodes) if n.content and (n.tag == "article" or not article)), None)
 
-    return " ".join(b.text for b in blocks if stays(b))
+    def seen(block: Block) -> bool:
+        return not any(n.unseen or ((n.noise or n.named) and n.path not in raised) for n in block.nodes)
+
+    inside = [(b, at) for b in blocks if (at := start(b)) is not None and seen(b)]
+    left = [b for b, at in inside if not any(n.path in removed for n in b.nodes[at:])]
+    if content and not left:
+        left = [b for b, _ in inside]
+    return " ".join(b.text for b in left)
 
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-STYLE, TEXT, PAGE = 0, 1, 2
+PAGE, STYLE, TEXT = 0, 1, 2
+HINTED, TOP = 1, 2
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, kind, feature): the pages of a path, the texts below it, the order of its children."""
+    """(host, path, kind, feature, page): the pages of a path, the texts below it, the order of its children.
+
+    ``kind`` of a text is TEXT and its length; the feature of a page says whether the
+    element calls itself noise and whether it stands at the top. ``page`` is the hash
+    of the page. The elements of all hosts are told apart by ``path`` as well; only
+    the rows of kind PAGE name the host.
+    """
     for batch in batches:
-        rows: list[tuple[str, int, int, int]] = []
+        rows: list[tuple[str | None, int, int, int, int]] = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             blocks, nodes = parse(source or "")
+            page = xxhash.xxh3_64_intdigest(source or "") - (1 << 63)
+            of_host = xxhash.xxh3_64_intdigest(host) >> 1
             seen = set()
             for node in nodes:
-                if node.tag in ("html", "body") or node.noise or node.content:
+                if node.tag in ROOTS or node.unseen:
                     continue
-                seen.add((host, node.path, PAGE, 0))
+                mark = (HINTED if node.noise or node.named else 0) | (TOP if node.top else 0)
+                seen.add((host, node.path ^ of_host, PAGE, mark, page))
                 if node.children:
-                    seen.add((host, node.path, STYLE, xxhash.xxh3_64_intdigest(" ".join(node.children)) - (1 << 63)))
+                    order = xxhash.xxh3_64_intdigest(" ".join(node.children)) - (1 << 63)
+                    seen.add((None, node.path ^ of_host, STYLE, order, page))
             for block in blocks:
-                feature = xxhash.xxh3_64_intdigest(block.text) - (1 << 63)
-                if any(n.noise or n.content for n in block.nodes):
+                if any(n.unseen for n in block.nodes):
                     continue
+                feature = xxhash.xxh3_64_intdigest(block.text) - (1 << 63)
                 for node in block.nodes:
-                    if node.tag not in ("html", "body"):
-                        seen.add((host, node.path, TEXT, feature))
+                    if node.tag not in ROOTS:
+                        seen.add((None, node.path ^ of_host, TEXT + len(block.text), feature, page))
             rows += seen
+        types = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 4, (pa.string(), pa.int64(), pa.int32(), pa.int64()))],
-            ["host", "path", "kind", "feature"],
+            [pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)],
+            ["host", "path", "kind", "feature", "page"],
         )
 
 
-def low_branches(pages: DataFrame, threshold: float, min_pages: int) -> DataFrame:
-    """(of_host, removed): the paths of each host whose importance is below ``threshold``.
+def judged_branches(pages: DataFrame, threshold: float, min_pages: int) -> DataFrame:
+    """(of_host, removed, raised): per host the paths whose importance is below ``threshold``, and
+    those that call themselves noise but bear more than half of the information of the host.
 
-    Only paths on at least ``min_pages`` pages are judged.
+    Only paths on at least ``min_pages`` different pages are judged. Paths are as :func:`_statistics`
+    gives them.
     """
-    rows = pages.select("host", F.col("html").cast("string")).mapInArrow(_statistics, "host string, path long, kind int, feature long")
-    counted = rows.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
-    by_kind = counted.groupBy("host", "path").agg(
-        F.max(F.when(F.col("kind") == PAGE, F.col("c"))).alias("m"),
-        F.sum(F.when(F.col("kind") == TEXT, F.col("c") * F.log("c"))).alias("text_entropy"),
-        F.sum(F.when(F.col("kind") == TEXT, F.col("c"))).alias("texts"),
-        F.sum(F.when(F.col("kind") == STYLE, F.col("c") * F.log("c"))).alias("style_sum"),
-        F.sum(F.when(F.col("kind") == STYLE, F.col("c"))).alias("styles"),
+    rows = pages.select("host", F.col("html").cast("string")).mapInArrow(
+        _statistics, "host string, path long, kind int, feature long, page long"
+    )
+    counted = rows.distinct().groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("c"))
+    kind, c = F.col("kind"), F.col("c")
+    size = (kind - TEXT).cast("double")
+    paths = counted.groupBy("path").agg(
+        F.max("host").alias("host"),
+        F.sum(F.when(kind == PAGE, c)).alias("m"),
+        F.max(F.when(kind == PAGE, F.col("feature").bitwiseAND(HINTED))).alias("hinted"),
+        F.max(F.when(kind == PAGE, F.col("feature").bitwiseAND(TOP))).alias("top"),
+        F.sum(F.when(kind >= TEXT, c * F.log(c))).alias("text_entropy"),
+        F.sum(F.when(kind >= TEXT, c)).alias("texts"),
+        F.sum(F.when(kind >= TEXT, size * c)).alias("chars"),
+        F.sum(F.when(kind >= TEXT, size * c * F.log(c))).alias("char_entropy"),
+        F.sum(F.when(kind == STYLE, c * F.log(c))).alias("style_sum"),
+        F.sum(F.when(kind == STYLE, c)).alias("styles"),
     )
     # Content: one less the mean entropy of the texts over the pages. Presentation: the
     # entropy of the child orders themselves. Text speaks louder where there is any.
-    content = 1 - F.col("text_entropy") / (F.col("texts") * F.log("m"))
-    shown = (F.log("styles") - F.col("style_sum") / F.col("styles")) / F.log("m")
+    # A path of a single page has no entropy.
+    full = F.log(F.greatest("m", F.lit(2)))
+    content = 1 - F.col("text_entropy") / (F.col("texts") * full)
+    shown = (F.log("styles") - F.col("style_sum") / F.col("styles")) / full
     importance = F.when(F.col("texts") > 0, 0.9 * content + 0.1 * F.coalesce(shown, F.lit(0.0)))
-    low = by_kind.where(F.col("m") >= min_pages).where(importance < threshold)
-    return low.groupBy(F.col("host").alias("of_host")).agg(F.collect_set("path").alias("removed"))
+    informed = F.col("chars") - F.col("char_entropy") / full
+    # Stored: both uses below read it, and the pages are not parsed again.
+    paths = stored(
+        paths.select("host", "path", "hinted", "top", "m", importance.alias("importance"), informed.alias("informed")), "style-paths"
+    )
+    whole = paths.where(F.col("top") > 0).groupBy(F.col("host").alias("of_host")).agg(F.sum("informed").alias("whole"))
+    judged = paths.where(F.col("m") >= min_pages).join(whole, F.col("host") == F.col("of_host"))
+    low = F.col("importance") < threshold
+    high = (F.col("hinted") > 0) & (F.col("importance") >= threshold) & (2 * F.col("informed") > F.col("whole"))
+    return (
+        judged.where(low | high)
+        .groupBy("of_host")
+        .agg(F.collect_set(F.when(low, F.col("path"))).alias("removed"), F.collect_set(F.when(high, F.col("path"))).alias("raised"))
+    )
 
 
 def extract_main_text(pages: DataFrame, threshold: float = 0.35, min_pages: int = 4) -> DataFrame:
@@ -259,20 +345,25 @@ def extract_main_text(pages: DataFrame, threshold: float = 0.35, min_pages: int
 
     Pages without a host (null or malformed url) share a tree of their own. A null or
     empty page has the empty text; equal pages get equal texts; a page with an article
-    gives exactly its content. An empty table gives no rows, other columns are ignored.
+    gives its content less noise and branches that the host repeats. An empty table gives no rows, other columns are ignored.
     """
     hosted = pages.select(
         "page_id", "url", F.col("html").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), HOST, 1), F.lit(""))).alias("host"),
     )
     # Stored, so that the join has a shuffle of its own and a host with very many pages is split.
-    branches = stored(low_branches(hosted, threshold, min_pages), "low-branches")
-    joined = hosted.join(branches, hosted["host"] == branches["of_host"], "left").select("page_id", "url", "html", "removed")
+    branches = stored(judged_branches(hosted, threshold, min_pages), "judged-branches")
+    joined = hosted.join(branches, hosted["host"] == branches["of_host"], "left").select(
+        "page_id", "url", "html", "host", "removed", "raised"
+    )
     types = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "", frozenset(r or ())) for h, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for source, host, *found in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                of_host = xxhash.xxh3_64_intdigest(host) >> 1
+                texts.append(main_text(source or "", *(frozenset(p ^ of_host for p in paths or ()) for paths in found)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],

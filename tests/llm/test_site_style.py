@@ -69,3 +69,39 @@ def test_copies_of_an_article_are_kept_and_messy_rows(spark):
     want = [(1, "the same")] * 20 + [(2, "the same"), (None, ""), (3, ""), (3, ("long word " * 20_000).strip())]
     assert got == sorted(want, key=repr)
     assert site_style.extract_main_text(spark.createDataFrame([], PAGE)).collect() == []
+
+
+def test_the_tree_decides_inside_articles_and_overrules_names(spark):
+    def story(i):
+        return "".join(f"<p>story {i} part {k} text</p>" for k in range(4))
+
+    def told(i):
+        return " ".join(f"story {i} part {k} text" for k in range(4))
+
+    share = "<div class=x7><p>Read us on all channels</p></div>"
+    kinds = {
+        # A repeated block inside the article, without a telling name.
+        "inside": lambda i: f"<div><article><h1>title {i}</h1>{story(i)}{share}</article></div>",
+        # A wrapper with a listed word in its class holds the article.
+        "wrapped": lambda i: f"<div class='sidebar-layout'><article><h1>title {i}</h1>{story(i)}</article></div>",
+        # No article at all; the story stands in an element with a listed name.
+        "overruled": lambda i: f"<div class=menu-page><div class=mid>title {i}{story(i)}</div><div class=menu>link {i}</div></div><div class=end>end</div>",
+        # A listed name that bears little stays noise.
+        "noise": lambda i: f"<div class=mid>title {i}{story(i)}</div><div class=related>see {i}</div>",
+    }
+    rows = [(1000 * n + i, f"http://{k}.example/{i}", page(i)) for n, (k, page) in enumerate(kinds.items()) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    for n in range(4):
+        for i in range(12):
+            assert got[1000 * n + i] == f"title {i} {told(i)}"
+
+
+def test_an_article_that_all_pages_share_is_not_removed(spark):
+    rows = [(i, f"http://a.b/{i}", f"<nav>{i}</nav><article><p>the same</p></article>") for i in range(20)]
+    got = site_style.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()
+    assert [r["text"] for r in got] == ["the same"] * 20
+
+
+def test_an_article_beside_a_teaser_in_a_named_wrapper():
+    page = "<article>main</article><div class=related><article>teaser that is longer than it</article></div>"
+    assert site_style.main_text(page, NONE) == "main"
