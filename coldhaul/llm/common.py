@@ -38,19 +38,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a distinct whole-number ``key`` in the order of doc_id.
 
     Ids that are distinct whole numbers are their own key. Otherwise the rows are
-    sorted by id, nulls first, and numbered once.
+    sorted by id, nulls first, and numbered from 0 without gaps.
     """
     if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
         ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or doc_id < 0 or n > 1")
         top = docs.agg(F.max("doc_id")).first()[0]
         if not ids.take(1) and (top is None or top < 1 << KEY_BITS):
             return docs.withColumn("key", F.col("doc_id").cast("long"))
-    ordered = numbered(docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "keyed-documents")
-    # 18 bits for the task and 24 for its rows; checked, not cut.
-    compact = F.expr("shiftright(row, 33) * 16777216 + (row & 8589934591)")
-    sound = F.expr("(row & 8589934591) < 16777216 and shiftright(row, 33) < 262144")
-    key = F.when(sound, compact).otherwise(F.raise_error(F.lit("more than 2^24 rows in a partition")).cast("long"))
-    return ordered.withColumn("key", key).drop("row")
+    ordered = numbered(by_id(docs), "keyed-documents").withColumn("chunk", F.shiftright("row", 33))
+    # A row per task that wrote, so this window is short.
+    before = Window.orderBy("of_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy(F.col("chunk").alias("of_chunk")).agg(F.count("*").alias("size"))
+    bases = sizes.select("of_chunk", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    placed = ordered.join(F.broadcast(bases), F.col("chunk") == F.col("of_chunk"))
+    return placed.withColumn("key", F.col("base") + F.expr("row & 8589934591")).drop("row", "chunk", "of_chunk", "base")
+
+
+def by_id(docs: DataFrame) -> DataFrame:
+    """Rows in ranges of doc_id, sorted, nulls first; an id that many rows have is split by their place."""
+    salted = docs.withColumn("salt", F.monotonically_increasing_id())
+    return salted.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").drop("salt")
 
 
 def least_hash_sample(docs: DataFrame, n: int) -> DataFrame:

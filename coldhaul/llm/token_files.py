@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldhaul.llm.common import least_hash_sample, stored
+from coldhaul.llm.common import by_id, least_hash_sample, stored
 from coldhaul.llm.tokens import encoder
 from coldhaul.session import scratch_path
 
@@ -174,8 +174,7 @@ def write_token_files(
             )
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    manifest = stored(ordered.mapInArrow(write, "number long, file string, documents long, ids long"), "token-manifest")
+    manifest = stored(by_id(ordered).mapInArrow(write, "number long, file string, documents long, ids long"), "token-manifest")
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file of up to 64 MB, so this window is short.
     return manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
