@@ -75,4 +75,27 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.n, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
-ANSWERS: dict[str, str] = {"op2_quality_rules": _QUALITY, "op5_decontamination": _DECONTAMINATION}
+_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units,
+    [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS draws FROM d),
+cuts AS (SELECT *, len(units) AS n, least(draws[1] % (len(units) + 1), draws[2] % (len(units) + 1)) AS a,
+    greatest(draws[1] % (len(units) + 1), draws[2] % (len(units) + 1)) AS b FROM u),
+parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+    array_to_string(units[b + 1:], '') AS suffix,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR draws[3] % 100 >= 90 THEN 'plain'
+      WHEN draws[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+ANSWERS: dict[str, str] = {
+    "op2_quality_rules": _QUALITY,
+    "op5_decontamination": _DECONTAMINATION,
+    "op13_fill_in_middle": _MIDDLE,
+}

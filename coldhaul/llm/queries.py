@@ -7,7 +7,19 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coldhaul.llm import near_copies, packing, phrases, quality, ring, secrets, sentence_spans, site_style, token_files, toxicity
+from coldhaul.llm import (
+    fill_middle,
+    near_copies,
+    packing,
+    phrases,
+    quality,
+    ring,
+    secrets,
+    sentence_spans,
+    site_style,
+    token_files,
+    toxicity,
+)
 from coldhaul.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +66,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -67,5 +83,6 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_token_files,
         op10_substring_dedup,
+        op13_fill_in_middle,
     )
 }
