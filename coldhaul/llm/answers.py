@@ -94,8 +94,29 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM parts
 """
 
+_EARLIER = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS place,
+    hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (SELECT rid, place, i, substr(x, 2 * i + 1, 100) AS g
+  FROM (SELECT rid, place, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d)),
+firsts AS (SELECT g, min(place) AS first FROM windows GROUP BY g HAVING min(place) < max(place)),
+hits AS (SELECT rid, i FROM windows JOIN firsts USING (g) WHERE first < place),
+marked AS (SELECT rid, i, CASE WHEN i > lag(i, 1, -99) OVER (PARTITION BY rid ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM hits),
+numbered AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM marked),
+spans AS (SELECT rid, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY rid, run),
+kept AS (SELECT rid, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS a, a AS b FROM spans
+  UNION ALL SELECT rid, coalesce(max(spans.b), 0), max(length(x) // 2) FROM d LEFT JOIN spans USING (rid) GROUP BY rid),
+rest AS (SELECT rid, string_agg(substr(x, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS x
+  FROM kept JOIN d USING (rid) GROUP BY rid),
+removed AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n, count(*) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, length(d.x) // 2 AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(rest.x)) AS kept_sha256
+FROM d JOIN rest USING (rid) LEFT JOIN removed USING (rid)
+"""
+
 ANSWERS: dict[str, str] = {
     "op2_quality_rules": _QUALITY,
     "op5_decontamination": _DECONTAMINATION,
+    "op12_suffix_array_dedup": _EARLIER,
     "op13_fill_in_middle": _MIDDLE,
 }

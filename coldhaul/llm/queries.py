@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from coldhaul.llm import (
+    earlier_copies,
     fill_middle,
     near_copies,
     packing,
@@ -66,6 +67,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return earlier_copies.earlier_copy_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_token_files,
         op10_substring_dedup,
+        op12_suffix_array_dedup,
         op13_fill_in_middle,
     )
 }
