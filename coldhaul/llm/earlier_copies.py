@@ -110,7 +110,8 @@ def runs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         counted = np.cumsum(inside)
         before = counted[first] - 1
         windows = np.diff(np.append(before, counted[-1]))
-        found.append((first + at, windows, anchor[first] - first, hashes[anchor[first]]))
+        # Least hashes are small, so they are mixed again to be spread over all ranges.
+        found.append((first + at, windows, anchor[first] - first, hashing.mix(hashes[anchor[first]] + hashing.BASE)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(c) for c in zip(*found))  # type: ignore[return-value]
