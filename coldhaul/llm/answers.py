@@ -94,6 +94,32 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM parts
 """
 
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+groups AS (SELECT DISTINCT lang, source FROM d),
+terms AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS in_lang FROM terms GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(in_lang) AS total FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 2) // (coalesce(t.total, 0) + 2 * v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (in_lang + 2) // (langs.total + 2 * v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs USING (lang)
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
 _EARLIER = """
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS place,
     hex(encode(coalesce(text, ''))) AS x FROM documents),
@@ -117,6 +143,7 @@ FROM d JOIN rest USING (rid) LEFT JOIN removed USING (rid)
 ANSWERS: dict[str, str] = {
     "op2_quality_rules": _QUALITY,
     "op5_decontamination": _DECONTAMINATION,
+    "op11_source_divergence": _DIVERGENCE,
     "op12_suffix_array_dedup": _EARLIER,
     "op13_fill_in_middle": _MIDDLE,
 }

@@ -18,6 +18,7 @@ from coldhaul.llm import (
     secrets,
     sentence_spans,
     site_style,
+    source_audit,
     token_files,
     toxicity,
 )
@@ -67,6 +68,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_copies.earlier_copy_digests(table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op8_html_extraction,
         op9_token_files,
         op10_substring_dedup,
+        op11_source_divergence,
         op12_suffix_array_dedup,
         op13_fill_in_middle,
     )
