@@ -22,7 +22,7 @@ from coldhaul.llm.common import stored, whole_text
 
 MIN_DOCUMENTS, TOP = 10, 10
 #: Parts of a long text are counted one by one; a matrix of shares has about so many cells.
-SEGMENT_BYTES, CELLS = 8 << 20, 1 << 20
+SEGMENT_BYTES, CELLS = 8 << 20, 1 << 15
 #: Fixed values of the measure: the scale of shares, and what is added to each count.
 SCALE, ADDED = 1_000_000_000, 2
 
@@ -213,9 +213,11 @@ def _pair_sums(cells: DataFrame, frame: DataFrame) -> DataFrame:
     """(lang, a, b, value) for sources numbered a < b: the measure summed over all kept terms.
 
     The terms of a language are cut into blocks, each a matrix of terms by sources with
-    about CELLS cells; a source that lacks a term has the share of a count of 0 there.
+    about CELLS cells, or as many terms as sources where there are many of them; a source
+    that lacks a term has the share of a count of 0 there.
     """
-    blocks = F.ceil(F.col("terms") * F.col("sources") / F.lit(CELLS)).cast("int")
+    cells_each = F.greatest(F.lit(CELLS), F.col("sources") * F.col("sources"))
+    blocks = F.ceil(F.col("terms") * F.col("sources") / cells_each).cast("int")
     frame = frame.where("terms > 0").withColumn("blocks", blocks)
     shares = (
         cells.join(frame.drop("lang"), "g")
