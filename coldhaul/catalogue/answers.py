@@ -69,6 +69,10 @@ ANSWERS = {
     "idempotent_append": """SELECT CAST(o_orderkey % 4 AS INTEGER) AS batch_no, count(*) AS n,
         CAST(sum(o_orderkey) AS BIGINT) AS sum_o_orderkey, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey
       FROM orders GROUP BY 1""",
+    "compact_batches": """SELECT CAST(o_orderkey % 3 AS INTEGER) AS batch_no, count(*) AS n,
+        CASE WHEN o_orderkey % 3 < 2 THEN 1 ELSE count(DISTINCT month(o_orderdate)) END AS n_files,
+        CAST(sum(o_orderkey) AS BIGINT) AS sum_o_orderkey, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey
+      FROM orders GROUP BY o_orderkey % 3""",
     "archive_end_to_end": f"""WITH k AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE {_EXPIRED}),
       items AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1),
       docs AS (SELECT event_id, CASE WHEN event_id % 5 IN (0, 2) THEN 1 ELSE 0 END AS bad,

@@ -35,6 +35,7 @@ from coldhaul.plans.archive import (
 from coldhaul.plans.ledger import Ledger, archived
 from coldhaul.plans.snapshot import ingest_snapshot
 from coldhaul.session import configure, scratch_path
+from coldhaul.sinks import rewrites
 from coldhaul.sinks import tables as lake
 from coldhaul.sources.json_lines import read_json_lines
 from coldhaul.sources.tables import read_table, register_archives
@@ -330,6 +331,20 @@ def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, name).groupBy("batch_no").agg(F.count("*").alias("n"), *sums)
 
 
+def compact_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve appends, the files of all batches but the last gathered, and what each batch holds then."""
+    name, location = _new_table(spark, "compact")
+    batch = (F.col("o_orderkey") % 3).cast("int").alias("batch_no")
+    orders = load(spark, sf_dir, "orders").select("*", batch)
+    lake.create_table(spark, name, orders.schema, ["batch_no"], location)
+    for month in range(1, 13):
+        lake.append(orders.where(F.month("o_orderdate") == month), name, files=1)
+    rewrites.compact_partitions(spark, name, 1 << 30, F.col("batch_no") < 2)
+    sums = [F.sum(c).alias(f"sum_{c}") for c in ("o_orderkey", "o_custkey")]
+    files = F.count_distinct("_metadata.file_path").alias("n_files")
+    return read_table(spark, name).groupBy("batch_no").agg(F.count("*").alias("n"), files, *sums)
+
+
 def _share_of_expired(spark: SparkSession, sf_dir: str, batches: int) -> int:
     """Batch size that splits the expired orders into that many batches."""
     return max(1, K.ceil_division(_expired(spark, sf_dir).count(), batches))
@@ -484,6 +499,7 @@ QUERIES: dict[str, Query] = {
         "next_batch_index": next_batch_index,
         "batch_index_append": batch_index_append,
         "idempotent_append": idempotent_append,
+        "compact_batches": compact_batches,
         "archive_end_to_end": archive_end_to_end,
         "manifest_gate": manifest_gate,
         "archive_sql_view": archive_sql_view,

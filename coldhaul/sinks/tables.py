@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +18,16 @@ from coldhaul.functions.types import columns_ddl, quote
 from coldhaul.operators.conform import SchemaReport, conform, lost_values
 from coldhaul.operators.restrict import restrict_to_keys, rows_left
 from coldhaul.operators.shape import old_columns_first
-from coldhaul.session import scratch_path, setting
+from coldhaul.session import setting
+from coldhaul.sinks.rewrites import (
+    finish_rewrites,
+    in_partitions,
+    partition_columns,
+    partition_spec,
+    rewrite_partitions,
+    sql_literal,
+    table_location,
+)
 
 
 def in_v2_catalog(spark: SparkSession, name: str) -> bool:
@@ -144,8 +152,7 @@ def next_batch_index(spark: SparkSession, name: str, column: str = "batch_index"
     A partition column of the session catalog is answered from the partition
     list, without touching a data file.
     """
-    partition_columns = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-    if not in_v2_catalog(spark, name) and partition_columns == [column]:
+    if not in_v2_catalog(spark, name) and partition_columns(spark, name) == [column]:
         listed = spark.sql(f"SHOW PARTITIONS {name}")
         values = listed.select(F.substring_index("partition", "=", -1).try_cast("int").alias(column))
     else:
@@ -165,20 +172,24 @@ def delete_keys(
     """Remove the rows of the given keys from a lake table.
 
     V2 tables take a row-level DELETE. Of a partitioned session-catalog table only
-    the partitions that hold a key are rewritten, in place and from a staged copy;
-    repeating a delete that stopped half way completes it. A table without
-    partitions is rewritten beside its own folder before its location moves there,
-    so a failed rewrite changes nothing; the old folder stays for the caller to
-    remove. Name and properties do not change.
+    the partitions that hold a key are rewritten, each in a fresh folder to which it
+    is switched; a delete that stops at any point leaves every row it should keep, and
+    the next call completes it. A table without partitions is rewritten beside its own
+    folder before its location moves there, so a failed rewrite changes nothing; the
+    old folder stays for the caller to remove. Name and properties do not change.
     """
     if in_v2_catalog(spark, name):
         view = "coldhaul_deleted_keys"
         keys.select(F.col(keys_key or key).alias(key)).createOrReplaceTempView(view)
         spark.sql(f"DELETE FROM {name} WHERE {quote(key)} IN (SELECT {quote(key)} FROM {view})")
         return
-    partition_by = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    partition_by = partition_columns(spark, name)
     if partition_by:
-        _delete_in_partitions(spark, name, keys, key, keys_key, n_keys, partition_by)
+        finish_rewrites(spark, name)
+        table = spark.read.table(name)
+        hit = restrict_to_keys(table, keys, key, keys_key, n_keys).select(*map(quote, partition_by)).distinct().collect()
+        kept = rows_left(in_partitions(table, partition_by, hit), keys, key, keys_key, n_keys)
+        rewrite_partitions(spark, name, kept, hit)
     else:
         table = spark.read.table(name)
         location = location or f"{table_location(spark, name).rstrip('/')}__{uuid.uuid4().hex}"
@@ -188,40 +199,6 @@ def delete_keys(
         spark.catalog.refreshTable(name)
 
 
-def table_location(spark: SparkSession, name: str) -> str:
-    return spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-
-
-def _delete_in_partitions(
-    spark: SparkSession,
-    name: str,
-    keys: DataFrame,
-    key: str,
-    keys_key: str | None,
-    n_keys: int | None,
-    partition_by: list[str],
-) -> None:
-    """Rewrite the partitions that hold one of the keys from a staged copy; drop those left empty."""
-    table = spark.read.table(name)
-    path = scratch_path(spark, "hit-partitions")
-    hit = restrict_to_keys(table, keys, key, keys_key, n_keys).select(*map(quote, partition_by)).distinct()
-    hit.write.parquet(path)
-    hit = spark.read.schema(hit.schema).parquet(path)
-
-    def in_partitions(df: DataFrame, parts: DataFrame, how: str) -> DataFrame:
-        parts = parts.select(*[F.col(quote(c)).alias(f"hit_{i}") for i, c in enumerate(partition_by)])
-        same = [F.col(quote(c)).eqNullSafe(F.col(f"hit_{i}")) for i, c in enumerate(partition_by)]
-        return df.join(parts, reduce(Column.__and__, same), how)
-
-    staged = scratch_path(spark, "kept-rows")
-    kept = rows_left(in_partitions(table, hit, "left_semi"), keys, key, keys_key, n_keys)
-    kept.select(*map(quote, table.columns)).write.parquet(staged)
-    kept = spark.read.schema(table.schema).parquet(staged)
-    overwrite_partitions(kept, name, cluster_by=partition_by)
-    left = kept.select(*map(quote, partition_by)).distinct()
-    drop_partitions(spark, name, in_partitions(hit, left, "left_anti"))
-
-
 def drop_partitions(spark: SparkSession, name: str, partitions: DataFrame) -> None:
     """Drop the listed partitions, one statement for each; V2 tables delete their rows.
 
@@ -232,17 +209,8 @@ def drop_partitions(spark: SparkSession, name: str, partitions: DataFrame) -> No
     for row in partitions.toLocalIterator():
         values = row.asDict()
         if v2:
-            tests = " AND ".join(f"{quote(c)} <=> {_literal(v)}" for c, v in values.items())
+            tests = " AND ".join(f"{quote(c)} <=> {sql_literal(v)}" for c, v in values.items())
             spark.sql(f"DELETE FROM {name} WHERE {tests}")
         else:
-            spec = ", ".join(f"{quote(c)} = {_literal(v)}" for c, v in values.items())
-            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
+            spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({partition_spec(list(values), list(values.values()))})")
     spark.catalog.refreshTable(name)
-
-
-def _literal(value: object) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, (int, float)):
-        return str(value)
-    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
