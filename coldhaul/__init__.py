@@ -1,6 +1,7 @@
 """Archive operational tables and ingest JSON snapshots with Spark."""
 
 from coldhaul.plans.archive import ArchiveFailed, ArchiveTable, JsonColumn, RunScope, archive
+from coldhaul.plans.claims import Claimed
 from coldhaul.plans.ledger import Ledger, archived
 from coldhaul.plans.snapshot import ingest_snapshot
 from coldhaul.session import configure
@@ -8,6 +9,7 @@ from coldhaul.session import configure
 __all__ = [
     "ArchiveFailed",
     "ArchiveTable",
+    "Claimed",
     "JsonColumn",
     "Ledger",
     "RunScope",

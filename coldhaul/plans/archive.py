@@ -19,8 +19,10 @@ from coldhaul.operators.conform import conform, lossy_rows, may_lose
 from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, ceil_division, expired_keys
 from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings, union_all
+from coldhaul.plans.claims import LEASE_SECONDS, Claim
 from coldhaul.plans.ledger import BATCH, Ledger
 from coldhaul.session import scratch_path
+from coldhaul.sinks import folders
 from coldhaul.sinks.tables import add_missing_columns, create_table, drop_partitions, overwrite_partitions
 
 log = logging.getLogger(__name__)
@@ -246,10 +248,8 @@ class _TableWriter:
 
     def remove_scratch(self) -> None:
         """Delete the copies this writer made in the scratch folder."""
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path
         for path in self.scratch:
-            where = jvm(path)
-            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            folders.remove(self.spark, path)
 
     def expected(self) -> DataFrame:
         """Rows of each batch at the source."""
@@ -318,15 +318,18 @@ def _run_keys(spark: SparkSession, run_id: str, scope: RunScope, ledger: Ledger)
 def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataFrame], None]) -> None:
     """Delete the keys of committed batches at the source and record it."""
     path = scratch_path(spark, "deleting")
-    ledger.pending(spark).write.parquet(path)
-    batches = spark.read.parquet(path)
-    # One entry per pending run, so that only their partitions are read.
-    runs = [r["run_id"] for r in batches.select("run_id").distinct().collect()]
-    if not runs:
-        return
-    keys = spark.read.table(ledger.keys).where(F.col("run_id").isin(runs))
-    delete(keys.join(batches, BATCH, "left_semi").select("key"))
-    ledger.record_deletes(batches)
+    try:
+        ledger.pending(spark).write.parquet(path)
+        batches = spark.read.parquet(path)
+        # One entry per pending run, so that only their partitions are read.
+        runs = [r["run_id"] for r in batches.select("run_id").distinct().collect()]
+        if not runs:
+            return
+        keys = spark.read.table(ledger.keys).where(F.col("run_id").isin(runs))
+        delete(keys.join(batches, BATCH, "left_semi").select("key"))
+        ledger.record_deletes(batches)
+    finally:
+        folders.remove(spark, path)
 
 
 def archive(
@@ -336,6 +339,7 @@ def archive(
     tables: Sequence[ArchiveTable],
     ledger: Ledger,
     delete: Callable[[DataFrame], None] | None = None,
+    lease_seconds: float = LEASE_SECONDS,
 ) -> ArchiveResult:
     """Copy the run's rows of every table, commit whole batches, delete their keys.
 
@@ -343,10 +347,26 @@ def archive(
     way is resumed by calling again with its ``run_id`` before any other run:
     the keys are the same and rewritten batches replace themselves. Calling for
     a finished run only completes its deletes. ``delete`` gets a frame with the
-    column ``key``; without it, archived keys are left out of later runs. Only
-    one call may be active at a time.
+    column ``key``; without it, archived keys are left out of later runs.
+
+    The ledger is claimed for the length of the call, and Claimed raised while another
+    call holds it. The claim is renewed before each table, and checked before the commit
+    and the deletes; one that was not renewed for ``lease_seconds`` may be taken over.
     """
     ledger.create(spark, scope.source.schema[scope.key].dataType)
+    with ledger.claim(spark, run_id, lease_seconds) as held:
+        return _claimed_archive(spark, run_id, scope, tables, ledger, delete, held)
+
+
+def _claimed_archive(
+    spark: SparkSession,
+    run_id: str,
+    scope: RunScope,
+    tables: Sequence[ArchiveTable],
+    ledger: Ledger,
+    delete: Callable[[DataFrame], None] | None,
+    held: Claim,
+) -> ArchiveResult:
     for closed in ledger.abandon_unfinished(spark, run_id):
         for table in tables:
             if spark.catalog.tableExists(table.target):
@@ -354,10 +374,11 @@ def archive(
     failed = ledger.outcome(spark, run_id)
     if failed is None:
         run = _run_keys(spark, run_id, scope, ledger)
-        failed = _copy(spark, run_id, run, tables, ledger) if run else {}
+        failed = _copy(spark, run_id, run, tables, ledger, held) if run else {}
     else:
         run = ledger.load_keys(spark, run_id)
     if delete is not None:
+        held.renew()
         delete_archived(spark, ledger, delete)
     result = ArchiveResult(run_id, run.n_keys if run else 0, run.n_batches if run else 0, failed)
     log.info("%s", result)
@@ -372,16 +393,34 @@ def _copy(
     run: RunKeys,
     tables: Sequence[ArchiveTable],
     ledger: Ledger,
+    held: Claim,
 ) -> dict[int, str]:
     """Write every table of a run and its manifest; returns the failed batches.
 
     A batch counts only if each table has as many rows of it as its source. Rows of
     the others leave the targets again.
     """
+    writers: list[_TableWriter] = []
+    try:
+        return _copy_tables(spark, run_id, run, tables, ledger, held, writers)
+    finally:
+        for writer in writers:
+            writer.remove_scratch()
+
+
+def _copy_tables(
+    spark: SparkSession,
+    run_id: str,
+    run: RunKeys,
+    tables: Sequence[ArchiveTable],
+    ledger: Ledger,
+    held: Claim,
+    writers: list[_TableWriter],
+) -> dict[int, str]:
     failed: dict[int, str] = {}
     blame: dict[int, str] = {}
-    writers = []
     for table in tables:
+        held.renew()
         writer = _TableWriter(spark, table, run, run_id)
         writers.append(writer)
         if table.json:
@@ -409,12 +448,11 @@ def _copy(
         F.col("short"), F.concat("rows", F.lit(" of "), "expected", F.lit(" rows arrived"))
     )
     status = F.when(F.col("blamed").isNotNull() | F.col("short"), "failed").otherwise("ok")
+    held.check()
     ledger.save_manifest(spark, run_id, manifest.withColumns({"error": error, "status": status}))
     failed = ledger.outcome(spark, run_id) or {}
     if failed:
         gone = spark.createDataFrame([(run_id, b) for b in failed], "run_id string, batch_no int")
         for table in tables:
             drop_partitions(spark, table.target, gone)
-    for writer in writers:
-        writer.remove_scratch()
     return failed

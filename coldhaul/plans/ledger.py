@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.operators.keys import RunKeys
+from coldhaul.plans.claims import LEASE_SECONDS, Claim, claim
+from coldhaul.sinks.rewrites import table_location
 from coldhaul.sinks.tables import append, create_table, overwrite_partitions
 
 BATCH = ["run_id", "batch_no"]
@@ -47,6 +49,10 @@ class Ledger:
     def deletes(self) -> str:
         return f"{self.prefix}_deletes"
 
+    def claim(self, spark: SparkSession, owner: str, seconds: float = LEASE_SECONDS) -> Claim:
+        """The right to run; the ledger must exist."""
+        return claim(spark, f"{table_location(spark, self.manifest).rstrip('/')}__claims", owner, seconds)
+
     def create(self, spark: SparkSession, key_type: T.DataType) -> None:
         keys = T.StructType().add("key", key_type).add("batch_no", "integer").add("run_id", "string")
         for name, schema in ((self.keys, keys), (self.manifest, _MANIFEST), (self.deletes, _DELETES)):
