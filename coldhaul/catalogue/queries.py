@@ -33,7 +33,7 @@ from coldhaul.plans.archive import (
     spread_documents,
 )
 from coldhaul.plans.ledger import Ledger, archived
-from coldhaul.plans.snapshot import ingest_snapshot
+from coldhaul.plans.snapshot import IngestJournal, ingest_snapshot, ingested
 from coldhaul.session import configure, scratch_path
 from coldhaul.sinks import rewrites
 from coldhaul.sinks import tables as lake
@@ -311,13 +311,18 @@ def next_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three snapshots, the first ingested twice and the last after a call that stopped half way."""
     name, location = _new_table(spark, "snapshots")
     events = load(spark, sf_dir, "events")
-    for snapshot in range(3):
-        path = _write_lines(events.where(F.col("event_id") % 3 == snapshot), "snapshot")
+    paths = [_write_lines(events.where(F.col("event_id") % 3 == i), "snapshot") for i in range(3)]
+    for path in (paths[0], paths[0], paths[1]):
         ingest_snapshot(spark, [path], name, location)
+    IngestJournal(name).record(spark, 3, "started", paths[2:])
+    half = events.where("event_id % 6 = 2").withColumn("batch_index", F.lit(3))
+    lake.evolve_append(half, name)
+    ingest_snapshot(spark, paths[2:], name, location)
     sums = [F.sum(c).alias(f"sum_{c}") for c in ("event_id", "user_id")]
-    return read_table(spark, name).groupBy("batch_index").agg(F.count("*").alias("n"), *sums)
+    return ingested(spark, name).groupBy("batch_index").agg(F.count("*").alias("n"), *sums)
 
 
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@ import lzma
 
 import pytest
 
-from coldhaul import ingest_snapshot
-from coldhaul.plans.snapshot import ingest_frames
+from coldhaul import Claimed, ingest_snapshot
+from coldhaul.plans import snapshot
+from coldhaul.plans.snapshot import ingest_frames, ingested
 from tests.conftest import rows
 
 
@@ -70,3 +71,78 @@ def test_a_field_named_like_the_index_is_refused(spark, table, tmp_path):
     (tmp_path / "a.json").write_text('{"batch_index":1}')
     with pytest.raises(ValueError, match="batch_index"):
         ingest_snapshot(spark, [str(tmp_path / "a.json")], table()[0])
+
+
+def _files(tmp_path, *contents):
+    paths = []
+    for i, lines in enumerate(contents):
+        path = tmp_path / f"part-{i}-{len(list(tmp_path.iterdir()))}.json"
+        path.write_text("".join(f"{line}\n" for line in lines))
+        paths.append(str(path))
+    return paths
+
+
+def test_a_snapshot_is_taken_once(spark, table, tmp_path):
+    """Whatever its files are called, and however its lines are dealt over them."""
+    name, location = table()
+    lines = [json.dumps({"v": i}) for i in range(20)]
+    assert ingest_snapshot(spark, _files(tmp_path, lines), name, location) == 1
+    assert ingest_snapshot(spark, _files(tmp_path, lines[12:], ["", *lines[:12]]), name, location) == 1
+    (tmp_path / "x.xz").write_bytes(lzma.compress("\n".join(lines).encode()))
+    assert ingest_snapshot(spark, [str(tmp_path / "x.xz")], name, location) == 1
+    assert ingest_snapshot(spark, _files(tmp_path, lines[1:]), name, location) == 2
+    assert ingest_snapshot(spark, _files(tmp_path, lines), name, location, again=True) == 3
+    counts = rows(ingested(spark, name).groupBy("batch_index").count())
+    assert counts == [(1, 20), (2, 19), (3, 20)]
+    entries = spark.read.table(f"{name}_ingests").where("state = 'committed'")
+    assert entries.count() == 3 and entries.where("path IS NULL OR size = '0 files'").isEmpty()
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_a_stopped_ingest_is_replaced(spark, table, tmp_path, monkeypatch, step):
+    """Stopped before and after the journal entry, after the rows, and at the commit."""
+    name, location = table()
+    first, second, third = _files(tmp_path, ['{"v":1}'], ['{"v":2}', '{"v":3}'], ['{"v":4}'])
+    ingest_snapshot(spark, [first], name, location)
+    calls = []
+
+    def stopping(original):
+        def call(*args, **kwargs):
+            calls.append(1)
+            if len(calls) == {0: 1, 1: 2, 2: 3, 3: 3}[step]:
+                if step == 3:
+                    original(*args, **kwargs)
+                raise KeyboardInterrupt
+            return original(*args, **kwargs)
+
+        return call
+
+    with monkeypatch.context() as patch:
+        patch.setattr(snapshot.IngestJournal, "record", stopping(snapshot.IngestJournal.record))
+        patch.setattr(snapshot, "evolve_append", stopping(snapshot.evolve_append))
+        with pytest.raises(KeyboardInterrupt):
+            ingest_snapshot(spark, [second], name)
+    assert rows(ingested(spark, name), "v") == ([(1,), (2,), (3,)] if step == 3 else [(1,)])
+    assert ingest_snapshot(spark, [third], name) == (3 if step == 3 else 2)
+    assert ingest_snapshot(spark, [second], name) == (2 if step == 3 else 3)
+    assert rows(spark.read.table(name), "v") == [(1,), (2,), (3,), (4,)] and ingested(spark, name).count() == 4
+
+
+def test_files_that_were_never_registered_are_removed(spark, table, tmp_path):
+    name, location = table()
+    first, second = _files(tmp_path, ['{"v":1}'], ['{"v":2}'])
+    ingest_snapshot(spark, [first], name, location)
+    snapshot.IngestJournal(name).record(spark, 2, "started", [second])
+    spark.createDataFrame([(9,)], "v long").write.parquet(f"{location}/batch_index=2")
+    assert ingest_snapshot(spark, [second], name) == 2
+    assert rows(spark.read.table(name), "v") == [(1,), (2,)]
+
+
+def test_two_ingests_at_once(spark, table, tmp_path):
+    name, location = table()
+    path = _files(tmp_path, ['{"v":1}'])
+    journal = snapshot.IngestJournal(name, location)
+    journal.create(spark)
+    with journal.claim(spark, "other"), pytest.raises(Claimed, match="other"):
+        ingest_snapshot(spark, path, name, location)
+    assert ingest_snapshot(spark, path, name, location) == 1
