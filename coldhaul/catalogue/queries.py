@@ -119,7 +119,7 @@ def json_unescape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xz_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write xz files of JSON lines, ingest them as a snapshot, and read the table back."""
+    """Write xz files of JSON lines in blocks that cut the lines anywhere, ingest them as a snapshot, and read the table back."""
     lines = load(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "props")).alias("value"))
     folder = scratch_path(spark, "xz")
 
@@ -128,9 +128,10 @@ def xz_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         store.create_dir(root, recursive=True)
         for batch in batches:
             name = f"part-{uuid.uuid4().hex}.xz"
-            text = "\n".join(batch.column("value").to_pylist())
+            text = "\n".join(batch.column("value").to_pylist()).encode()
             with store.open_output_stream(f"{root}/{name}", compression=None) as out:
-                out.write(lzma.compress(text.encode(), preset=1))
+                for at in range(0, len(text), 100_001):
+                    out.write(lzma.compress(text[at : at + 100_001], preset=1))
             yield pa.record_batch([pa.array([f"{folder}/{name}"])], names=["path"])
 
     paths = [r["path"] for r in lines.mapInArrow(pack, "path string").collect()]

@@ -148,7 +148,7 @@ def ingest_snapshot(
         landed = scratch_path(spark, "lines")
         try:
             if packed:
-                plain.append(land_xz_lines(spark, packed, landed))
+                plain += land_xz_lines(spark, packed, landed)
             n_lines, checksum = fingerprint(spark.read.text(plain))
             known = None if again else journal.index_of(spark, n_lines, checksum)
             if known is not None:

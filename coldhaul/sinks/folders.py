@@ -37,6 +37,19 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Files that a path or pattern names; those in the folders it names."""
+    store, where = _located(spark, pattern)
+    found = store.globStatus(where)
+    if not found:
+        raise FileNotFoundError(pattern)
+    files = []
+    for status in found:
+        inner = store.listStatus(status.getPath()) if status.isDirectory() else [status]
+        files += [s.getPath().toString() for s in inner if not s.isDirectory()]
+    return sorted(files)
+
+
 def content(spark: SparkSession, folder: str) -> str:
     """Number and bytes of the files below a folder; any append changes it."""
     store, where = _located(spark, folder)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from coldhaul.functions.json_text import schema_of_json_files
 from coldhaul.session import scratch_path
+from coldhaul.sinks import folders
+from coldhaul.sources import xz_blocks
 
 LINES_PER_CHUNK = 1_000
 _READ_BYTES = 1 << 20
@@ -58,22 +60,28 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decode_xz_lines(files: DataFrame) -> DataFrame:
     """Non-empty lines of xz files given as rows with a ``content`` column.
 
-    One file is decoded by one task, since xz cannot be split; memory holds the
-    compressed file and one chunk of lines.
+    One file is decoded by one task; memory holds the compressed file and one chunk
+    of lines.
     """
     return files.select("content").mapInArrow(_decode, "value string")
 
 
-def land_xz_lines(spark: SparkSession, paths: str | list[str], path: str | None = None) -> str:
-    """Decode xz files once into splittable text files; returns their folder.
+def land_xz_lines(spark: SparkSession, paths: str | list[str], path: str | None = None) -> list[str]:
+    """Decode xz files once into splittable text files; returns their folders.
 
-    The lines are spread evenly first, so one large file does not leave one
-    task with all the parsing.
+    Each block of a file is decoded by its own task. Files in stores that only Spark can
+    read are decoded whole, one task each, and must be below 2 GB.
     """
     path = path or scratch_path(spark, "lines")
-    lines = decode_xz_lines(spark.read.format("binaryFile").load(paths))
-    lines.hint("rebalance").write.mode("overwrite").text(path)
-    return path
+    files = [f for p in ([paths] if isinstance(paths, str) else paths) for f in folders.matching(spark, p)]
+    ranged = [f for f in files if xz_blocks.reachable(f)]
+    landed = xz_blocks.land_blocks(spark, ranged, f"{path}/blocks") if ranged else []
+    whole = [f for f in files if f not in set(ranged)]
+    if whole:
+        lines = decode_xz_lines(spark.read.format("binaryFile").load(whole))
+        lines.hint("rebalance").write.text(f"{path}/whole")
+        landed.append(f"{path}/whole")
+    return landed
 
 
 def read_xz_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
