@@ -61,6 +61,11 @@ ANSWERS = {
         CASE WHEN p_partkey % 10 <> 5 THEN p_size END AS size,
         CASE WHEN p_partkey % 2 = 1 THEN p_type END AS type,
         CASE WHEN p_partkey % 10 = 5 THEN '{"size":"unknown"}' END AS lost_values FROM part""",
+    "nested_growth": f"""SELECT o_orderkey AS id, 'ok' AS parse_status, o_orderstatus AS code,
+        CASE WHEN year(o_orderdate) >= 1996 THEN o_orderpriority END AS pri,
+        CAST(CASE WHEN year(o_orderdate) >= 1996 THEN 2 ELSE 1 END AS INTEGER) AS n_items, o_orderkey AS first_k,
+        CASE WHEN year(o_orderdate) >= 1996 THEN CAST(o_orderkey % 9 + 0.5 AS DOUBLE) END AS second_w
+      FROM orders WHERE {_EXPIRED}""",
     "next_batch_index": """SELECT 'empty' AS state, 1 AS next_index
       UNION ALL SELECT 'loaded', CAST(max(l_linenumber) + 1 AS INTEGER) FROM lineitem""",
     "batch_index_append": """SELECT CAST(event_id % 3 + 1 AS INTEGER) AS batch_index, count(*) AS n,

@@ -301,6 +301,36 @@ def evolve_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, name)
 
 
+def nested_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of JSON documents, the second with new fields inside structs and arrays, archived into one table."""
+    prefix, location = _new_table(spark, "growth")
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    late = F.year(day) >= 1996
+    orders = load(spark, sf_dir, "orders")
+    old = F.struct(F.struct(F.col("o_orderstatus").alias("code")).alias("state"), F.array(F.struct(key.alias("k"))).alias("items"))
+    state = F.struct(F.col("o_orderstatus").alias("code"), F.struct(F.col("o_orderpriority").alias("name")).alias("pri"))
+    weights = (F.lit(None).cast("double"), (key % 9 + 0.5).cast("double"))
+    items = F.array(*[F.struct(key.alias("k"), w.alias("w")) for w in weights])
+    new = F.struct(state.alias("state"), items.alias("items"))
+    documents = orders.select("o_orderkey", "o_orderdate", F.when(late, F.to_json(new)).otherwise(F.to_json(old)).alias("doc"))
+    ledger = Ledger(prefix, location)
+    for run_id, as_of in (("first", "1996-01-08 00:00:00"), ("second", AS_OF)):
+        part = documents.where(late if run_id == "second" else ~late)
+        table = ArchiveTable("docs", part.drop("o_orderdate"), "o_orderkey", f"{prefix}_docs", JsonColumn("doc"), f"{location}/docs")
+        scope = RunScope(part, "o_orderkey", "o_orderdate", as_of, batch_size=1 << 20)
+        archive(spark, run_id, scope, [table], ledger)
+    rows = archived(spark, f"{prefix}_docs", ledger)
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        "parse_status",
+        F.col("state.code").alias("code"),
+        F.col("state.pri.name").alias("pri"),
+        F.size("items").alias("n_items"),
+        F.get("items", F.lit(0))["k"].alias("first_k"),
+        F.get("items", F.lit(1))["w"].alias("second_w"),
+    )
+
+
 def next_batch_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, location = _new_table(spark, "indexed")
     items = load(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("batch_index"))
@@ -502,6 +532,7 @@ QUERIES: dict[str, Query] = {
         "create_append_roundtrip": create_append_roundtrip,
         "partitioned_write": partitioned_write,
         "evolve_append": evolve_append,
+        "nested_growth": nested_growth,
         "next_batch_index": next_batch_index,
         "batch_index_append": batch_index_append,
         "idempotent_append": idempotent_append,

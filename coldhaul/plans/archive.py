@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from coldhaul.functions.json_text import CORRUPT, infer_with_fallback, unescape_json, with_parsed
 from coldhaul.functions.types import quote
 from coldhaul.operators.conform import conform, lossy_rows, may_lose
+from coldhaul.operators.growth import split_growth
 from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, ceil_division, expired_keys
 from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings, union_all
@@ -173,6 +174,13 @@ class _TableWriter:
             self.schema, self.decode = T.StructType([]), spec.decode
 
     def frame(self, batches: Column) -> DataFrame:
+        """Rows of some batches, as far as the target can take them; new nested fields in columns of their own."""
+        df, spec = self._source_frame(batches), self.table.json
+        if (spec is None or spec.evolve) and self.spark.catalog.tableExists(self.table.target):
+            df = split_growth(df, self.spark.read.table(self.table.target).schema)
+        return df
+
+    def _source_frame(self, batches: Column) -> DataFrame:
         table, spec = self.table, self.table.json
         run_id = F.lit(self.run_id).alias("run_id")
         if spec is None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldhaul.operators.growth import with_growth
 from coldhaul.operators.keys import RunKeys
 from coldhaul.plans.claims import LEASE_SECONDS, Claim, claim
 from coldhaul.sinks.rewrites import table_location
@@ -128,5 +129,5 @@ class Ledger:
 
 
 def archived(spark: SparkSession, target: str, ledger: Ledger) -> DataFrame:
-    """Rows of an archive table that belong to committed batches."""
-    return spark.read.table(target).join(ledger.committed(spark), BATCH, "left_semi")
+    """Rows of an archive table that belong to committed batches, nested fields of all runs together."""
+    return with_growth(spark.read.table(target).join(ledger.committed(spark), BATCH, "left_semi"))

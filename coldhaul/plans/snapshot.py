@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.functions.json_text import CORRUPT
+from coldhaul.operators.growth import with_growth
 from coldhaul.operators.shape import flatten_structs, union_all
 from coldhaul.plans.claims import LEASE_SECONDS, Claim, claim
 from coldhaul.session import scratch_path
@@ -86,9 +87,9 @@ class IngestJournal:
 
 
 def ingested(spark: SparkSession, table: str) -> DataFrame:
-    """Rows of a snapshot table without those of an ingest that is running or has stopped."""
-    unfinished = IngestJournal(table).unfinished(spark)
-    return spark.read.table(table).where(~F.col(INDEX).isin(unfinished)) if unfinished else spark.read.table(table)
+    """Rows of a snapshot table without those of an ingest that is running or has stopped, nested fields together."""
+    unfinished, rows = IngestJournal(table).unfinished(spark), spark.read.table(table)
+    return with_growth(rows.where(~F.col(INDEX).isin(unfinished)) if unfinished else rows)
 
 
 def fingerprint(lines: DataFrame) -> tuple[int, str]:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from coldhaul.functions.types import columns_ddl, quote
 from coldhaul.operators.conform import SchemaReport, conform, lost_values
+from coldhaul.operators.growth import split_growth
 from coldhaul.operators.restrict import restrict_to_keys, rows_left
 from coldhaul.operators.shape import old_columns_first
 from coldhaul.session import setting
@@ -110,6 +111,7 @@ def evolve_append(
 ) -> SchemaReport:
     """Append, adding new columns to the table and casting drifted ones.
 
+    New fields inside its structs go to columns beside them, see ``operators.growth``.
     Values that a cast would drop or change are kept as text in ``lost_column``,
     which exists once types have drifted that far. The name is reserved: data that
     has such a column is refused.
@@ -118,7 +120,7 @@ def evolve_append(
     if lost_column in df.columns:
         raise ValueError(f"the data has a column named {lost_column}, which is kept for values that do not fit")
     table = spark.read.table(name).schema
-    incoming = old_columns_first(df, table.fieldNames())
+    incoming = split_growth(old_columns_first(df, table.fieldNames()), table)
     lost = lost_values(incoming.schema, table)
     if lost is not None:
         incoming = incoming.withColumn(lost_column, lost)
