@@ -105,3 +105,107 @@ def test_an_article_that_all_pages_share_is_not_removed(spark):
 def test_an_article_beside_a_teaser_in_a_named_wrapper():
     page = "<article>main</article><div class=related><article>teaser that is longer than it</article></div>"
     assert site_style.main_text(page, NONE) == "main"
+
+
+def test_deep_pages_take_seconds():
+    """1 MB of nested elements, each with a text."""
+    import time
+
+    began = time.time()
+    assert site_style.main_text("<div>a" * 160_000, NONE) == " ".join(["a"] * 160_000)
+    assert site_style.main_text("<p>" + "<b>x" * 100_000 + "<div>y", NONE).endswith("x y")
+    assert time.time() - began < 60
+
+
+def test_deep_pages_in_the_tree(spark):
+    rows = [(i, "http://deep.example/", "<div>a" * 3000 + f"<p>{i}</p>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract_main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert set(got) == set(range(6))
+
+
+def judged_by_hand(pages, threshold, min_pages):
+    """Importances from lists of (host, path, text or order, page), one entry at a time."""
+    import math
+    from collections import defaultdict
+
+    on, hinted, top, orders, texts = (defaultdict(set) for _ in range(5))
+    for host, source in {(h, s) for _, h, s in pages}:
+        blocks, nodes = site_style.parse(source)
+        for n in nodes:
+            if n.tag in ("html", "body") or n.unseen:
+                continue
+            key = (host, n.path)
+            on[key].add(source)
+            hinted[key].add(n.noise or n.named)
+            top[key].add(n.top)
+            if n.children:
+                orders[key].add((" ".join(n.children), source))
+        for b in blocks:
+            around, at = [], b.at
+            while at >= 0:
+                around.append(nodes[at])
+                at = nodes[at].up
+            if not any(n.unseen for n in around):
+                for n in around:
+                    if n.tag not in ("html", "body"):
+                        texts[host, n.path].add((b.text, source))
+
+    def times(entries):
+        counts = defaultdict(int)
+        for what, _ in entries:
+            counts[what] += 1
+        return counts
+
+    removed, raised, informed = set(), set(), {}
+    importance = {}
+    for key in on:
+        full = math.log(max(2, len(on[key])))
+        found = times(texts[key])
+        informed[key] = sum(len(t) * c * (1 - math.log(c) / full) for t, c in found.items())
+        if not found:
+            continue
+        content = 1 - sum(c * math.log(c) for c in found.values()) / (sum(found.values()) * full)
+        shown, whole = 0.0, sum(times(orders[key]).values())
+        if whole:
+            shown = -sum(c / whole * math.log(c / whole) for c in times(orders[key]).values()) / full
+        importance[key] = 0.9 * content + 0.1 * shown
+    for key, value in importance.items():
+        if len(on[key]) < min_pages:
+            continue
+        total = sum(informed[k] for k in on if k[0] == key[0] and True in top[k])
+        if value < threshold:
+            removed.add(key)
+        elif True in hinted[key] and 2 * informed[key] > total:
+            raised.add(key)
+    return removed, raised
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_importances_by_hand(spark, seed):
+    import random
+
+    import xxhash
+
+    rng = random.Random(seed)
+    words = ["home", "about", "story", "x", "long words of a sentence"]
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(words) if rng.random() < 0.6 else f"text {rng.random()}"
+        tag, name = rng.choice(["div", "p", "span", "ul", "nav"]), rng.choice(["", " class=a", " class=menu", " id=b"])
+        return f"<{tag}{name}>" + "".join(part(depth - 1) for _ in range(rng.randint(1, 3))) + f"</{tag}>"
+
+    frames = [part(2) for _ in range(6)]
+    pages = []
+    for i in range(60):
+        pages.append((i, f"h{rng.randint(0, 2)}", "<body>" + rng.choice(frames) + part(3) + rng.choice(frames)))
+    pages += [(100 + i, *pages[rng.randrange(60)][1:]) for i in range(20)]
+    frame = spark.createDataFrame([(i, f"http://{h}/", s, h) for i, h, s in pages], "page_id long, url string, html string, host string")
+    names = {xxhash.xxh3_64_intdigest(h) >> 1: h for h in ("h0", "h1", "h2")}
+    for threshold, min_pages in ((0.35, 4), (0.7, 2)):
+        removed, raised = set(), set()
+        for r in site_style.judged_branches(site_style._parsed(frame), threshold, min_pages).collect():
+            removed |= {(names[r["of_site"]], p ^ r["of_site"]) for p in r["removed"]}
+            raised |= {(names[r["of_site"]], p ^ r["of_site"]) for p in r["raised"]}
+        want = judged_by_hand(pages, threshold, min_pages)
+        assert removed == want[0] and raised == want[1] and removed
