@@ -221,11 +221,17 @@ class Vectors:
 
 
 def _train_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """(text, toxic) of at most ``sample_rows`` labelled rows of least hash that are not held out."""
+    """(text, toxic) of at most ``sample_rows`` labelled ids of least hash that are not held out.
+
+    An id is one row however many rows have it: the one whose text has the least hash.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    labelled = texts.join(F.broadcast(chosen), "doc_id").select("*", F.struct(F.xxhash64("text").alias("h"), "text").alias("hashed"))
+    # The rows of an id are reduced in each task before they are sent.
+    least = labelled.groupBy("doc_id").agg(F.min("hashed").alias("least"), F.first("toxic").alias("toxic"))
+    return least.select("least.text", "toxic")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -100,3 +100,14 @@ def test_messy_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r["score"] for r in toxicity.score_documents(docs, none).collect()} == {0.5}
     assert toxicity.score_documents(spark.createDataFrame([], DOC_SCHEMA), labels).collect() == []
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    """An id that most rows have does not send them all to the driver."""
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, "other") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0)], "doc_id long, toxic int")
+    for most in (2, 100):
+        sample = toxicity._train_rows(docs, labels, most).collect()
+        assert 0 < len(sample) <= most
+    everything = toxicity._train_rows(docs, labels, 100).collect()
+    assert len(everything) == sum(1 for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1)
