@@ -30,6 +30,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from coldhaul.llm.common import by_id, least_hash_sample, stored
 from coldhaul.llm.tokens import encoder
@@ -40,6 +41,7 @@ HEADER = struct.Struct("<4sHH32s")
 FOOTER = struct.Struct("<QQ4s")
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("ids", "<u8")])
 FILE_BYTES = 64 << 20
+SAMPLE_BYTES = 4 * 4096
 
 
 class Writer:
@@ -95,19 +97,22 @@ def _id_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample_docs: int, size: int) -> bytes:
-    """A dictionary from the ids of at most ``sample_docs`` distinct texts of least hash.
+    """A dictionary from ``sample_docs`` distinct texts of least hash, if there are as many.
 
-    A sample is at most 4,096 ids long, so the driver gets a bounded amount. If there is
-    too little to train on, the samples themselves are the dictionary.
+    Their ids are cut into samples of at most 4,096 ids, and the ``sample_docs`` samples
+    of least hash are taken, from any place of a text; so the driver gets a bounded
+    amount. If there is too little to train on, the samples themselves are the dictionary.
     """
     chosen = least_hash_sample(docs, sample_docs)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _id_bytes(batch.column(0).to_pylist(), tokenizer, end_id)
-            yield pa.RecordBatch.from_arrays([pa.array([x[: 4 * 4096] for x in found], pa.binary())], ["ids"])
+            pieces = [x[at : at + SAMPLE_BYTES] for x in found for at in range(0, len(x), SAMPLE_BYTES)]
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["ids"])
 
-    samples = sorted(bytes(r["ids"]) for r in chosen.mapInArrow(ids, "ids binary").collect())
+    pieces = chosen.mapInArrow(ids, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(sample_docs)
+    samples = sorted(bytes(r["ids"]) for r in pieces.collect())
     samples = [np.frombuffer(s, "<u4").astype(f"<u{width}").tobytes() for s in samples]
     try:
         return zstandard.train_dictionary(size, samples, level=3).as_bytes()
@@ -130,9 +135,12 @@ def write_token_files(
     The manifest has a row per file: number (order), file, documents, ids, and start,
     the ids in all files before it. doc_id must be a whole number or null; nulls come
     first, rows with one id are neighbours. A null or empty text is the end id alone.
-    ``width`` is 2 for vocabularies below 65,536 ids, else 4. An empty table writes no
-    file but the dictionary.
+    ``width`` is 2 for vocabularies below 65,536 ids, else 4; ids that do not fit are
+    refused. An empty table writes no file but the dictionary.
     """
+    greatest = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    if greatest >> 8 * width:
+        raise ValueError(f"ids up to {greatest} do not fit {width} bytes")
     dictionary = train_dictionary(docs, tokenizer, end_id, width, sample_docs, dictionary_bytes)
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)

@@ -5,10 +5,12 @@ that the tokenizer never joins, and each distinct piece is encoded once per work
 
 A vocabulary that keeps white space gives a visible character the space before it, and
 any longer run of white space to itself. A text may then be cut before a space that a
-visible character follows, and after a line break that a visible character precedes. A
-piece that shows another kind of white space sends its text down the slow way, which
-only cuts at single spaces. A vocabulary that drops white space allows a cut at every
-space and line break. The result equals encoding the whole text.
+visible character follows, and after a line break that a visible character precedes and
+no other white space follows. A piece that shows another kind of white space at its ends
+sends its text down the slow way, which only cuts at single spaces. A vocabulary that
+drops white space allows a cut at every space and line break. A text that holds the
+string of a special token is given to the tokenizer whole. The result equals encoding
+the whole text.
 """
 
 from __future__ import annotations
@@ -50,10 +52,12 @@ def encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes]
 
 def unsafe(piece: str) -> bool:
     """Whether white space beyond one space in front or one line break behind decides the cut."""
+    if len(piece) < 2:
+        return piece.isspace()
     return (
-        piece in (" ", "\n")
-        or (len(piece) > 1 and piece[0] == " " and piece[1].isspace())
-        or (len(piece) > 1 and piece[-1] == "\n" and piece[-2].isspace())
+        (piece[0] != " " and piece[0].isspace())
+        or (piece[0] == " " and piece[1].isspace())
+        or (piece[-1] == "\n" and piece[-2].isspace())
     )
 
 
@@ -63,7 +67,7 @@ def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     between = "\n" if spaces_matter else " \x01 "
     mark = tokenizer.encode(between, add_special_tokens=False).ids
     known = Known()
@@ -103,14 +107,16 @@ def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes
             some = texts[at : at + TEXTS_AT_ONCE]
             if len(known) > CACHED_PIECES:
                 known.clear()
-            found = [list(map(known.__getitem__, cut(t))) for t in some]
+            found = [None if any(x in t for x in special) else list(map(known.__getitem__, cut(t))) for t in some]
             new, known.new = known.new, []
             slow = {p for p in new if unsafe(p)} if spaces_matter else set()
             for piece in slow:
                 del known[piece]
             learn([p for p in new if p not in slow])
             for text, parts in zip(some, found):
-                if slow and not slow.isdisjoint(cut(text)):
+                if parts is None:
+                    out.append(ids_of(text))
+                elif slow and not slow.isdisjoint(cut(text)):
                     out.append(b"".join([ids_of(p) for p in VISIBLE_GAP.split(text)]))
                 else:
                     out.append(b"".join(parts))

@@ -75,7 +75,6 @@ def test_patterns_hold_every_piece_once(sizes, copies):
 
 def check(docs, out, cap):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = []
     for d in docs:
         ids = np.array([*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 0], "<u4")

@@ -15,7 +15,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 def want(docs):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     ordered = sorted(((d["doc_id"], d["text"]) for d in docs), key=lambda d: (d[0] is not None, d[0] or 0))
     out, start = [], 0
     for doc_id, text in ordered:
@@ -63,3 +62,17 @@ def test_one_document_is_read_by_itself_and_another_dictionary_is_refused(spark)
 
 def test_empty_table(spark):
     assert token_files.token_files(spark.createDataFrame([], DOC_SCHEMA), PATH).collect() == []
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    with pytest.raises(ValueError, match="do not fit"):
+        token_files.write_token_files(sf_documents(spark), scratch_path(spark, "narrow"), PATH, end_id=70_000)
+
+
+def test_the_dictionary_learns_from_any_place_of_a_long_text(spark):
+    """The end of the only text, far behind the first sample, is in the dictionary."""
+    text = " ".join(["abc"] * 20_000 + ["zebra"] * 2_000)
+    docs = spark.createDataFrame([(1, text, "en", "a")], DOC_SCHEMA)
+    zebra = Tokenizer.from_file(PATH).encode("zebra", add_special_tokens=False).ids
+    dictionary = token_files.train_dictionary(docs, PATH, 2, 2, 100, 1 << 20)
+    assert np.array(zebra * 10, "<u2").tobytes() in dictionary
