@@ -21,8 +21,8 @@ judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base
     CASE WHEN n_words = 0 THEN 0 ELSE 1000 * n_repeat_words // n_words END AS repeats,
     CASE WHEN n_words = 0 THEN 0 ELSE 100 * word_chars // n_words END AS centi FROM counts),
 long AS (SELECT lang, source, m, v, greatest(0, length(bin(v)) - 6) AS e
-  FROM (UNPIVOT (SELECT lang, source, symbols, dups, repeats, centi FROM judged WHERE NOT base_failed)
-    ON symbols, dups, repeats, centi INTO NAME m VALUE v)),
+  FROM (UNPIVOT (SELECT lang, source, symbols, dups, repeats, centi, word_chars, n_lines, n_words FROM judged WHERE NOT base_failed)
+    ON symbols, dups, repeats, centi, word_chars, n_lines, n_words INTO NAME m VALUE v)),
 cells AS (SELECT lang, source, m, (v >> e) << e AS b, count(*) AS n FROM long GROUP BY ALL),
 levels AS (SELECT 0 AS lv, lang, source, m, b, n FROM cells
   UNION ALL SELECT 1, lang, NULL, m, b, sum(n) FROM cells GROUP BY lang, m, b
@@ -38,13 +38,17 @@ picked AS (SELECT g.lang, g.source, g.m, coalesce(a.q25, b.q25, c.q25) AS q25,
   LEFT JOIN q a ON a.lv = 0 AND a.m = g.m AND a.lang IS NOT DISTINCT FROM g.lang AND a.source IS NOT DISTINCT FROM g.source
   LEFT JOIN q b ON b.lv = 1 AND b.m = g.m AND b.lang IS NOT DISTINCT FROM g.lang
   LEFT JOIN q c ON c.lv = 2 AND c.m = g.m),
+sides AS (SELECT lang, source, m, q25, q50, q75, greatest(1, max(CASE WHEN m = 'word_chars' THEN q50 END) OVER g) AS chars,
+    greatest(1, max(CASE WHEN m = 'n_lines' THEN q50 END) OVER g) AS lines,
+    greatest(1, max(CASE WHEN m = 'n_words' THEN q50 END) OVER g) AS words
+  FROM picked WINDOW g AS (PARTITION BY lang, source)),
 bounds AS (SELECT lang, source,
-    max(CASE WHEN m = 'symbols' THEN q50 + 6 * greatest(q50 - q25, 5) END) AS symbols_to,
-    max(CASE WHEN m = 'dups' THEN q50 + 6 * greatest(q50 - q25, 100) END) AS dups_to,
-    max(CASE WHEN m = 'repeats' THEN q50 + 6 * greatest(q50 - q25, 70) END) AS repeats_to,
-    max(CASE WHEN m = 'centi' THEN q50 + 6 * greatest(q50 - q25, 40) END) AS centi_to,
-    max(CASE WHEN m = 'centi' THEN q50 - 6 * greatest(q75 - q50, 40) END) AS centi_from
-  FROM picked GROUP BY lang, source)
+    max(CASE WHEN m = 'symbols' THEN q50 + greatest(6 * (q50 - q25), 6 * q50 // 32, 20000 // chars) END) AS symbols_to,
+    max(CASE WHEN m = 'dups' THEN q50 + greatest(6 * (q50 - q25), 6 * q50 // 32, 3000 // lines) END) AS dups_to,
+    max(CASE WHEN m = 'repeats' THEN q50 + greatest(6 * (q50 - q25), 6 * q50 // 32, 36000 // words) END) AS repeats_to,
+    max(CASE WHEN m = 'centi' THEN q50 + greatest(6 * (q50 - q25), 6 * q50 // 32) END) AS centi_to,
+    max(CASE WHEN m = 'centi' THEN q50 - greatest(6 * (q75 - q50), 6 * q50 // 32) END) AS centi_from
+  FROM sides GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(symbols <= symbols_to, true) AND coalesce(dups <= dups_to, true)
     AND coalesce(repeats <= repeats_to, true) AND coalesce(centi <= centi_to, true)

@@ -6,14 +6,16 @@ agree in their six leading bits (relative error below 1/32). Sketches are merged
 adding counts, for a language and for the whole corpus, and a small group uses the
 nearest larger one. A measure is rejected beyond a fence around the median; the
 spread of one half of the distribution sets the fence on the other side, so that up
-to half of a group may be junk without moving it.
+to half of a group may be junk without moving it. A measure that is 0 in most documents
+has no spread; there a few occurrences in a document of the group's median size, read
+from the sketch of sizes, take its place. No bound is a constant of its own.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldhaul.llm.common import WHITE_SPACE, stored, whole_text
@@ -26,25 +28,34 @@ SPACES = " \t\n\x0b\x0c\r"
 class Fence:
     """Reject a measure farther than ``width`` spreads above (or below) the median.
 
-    ``least`` is the smallest spread; without it a measure that is 0 nearly
-    everywhere would reject every other value.
+    A spread is at least the relative error of the sketch. ``count`` more occurrences,
+    each ``scale`` in a document of size 1, are always allowed at the median of ``size``.
     """
 
     measure: str
-    least: int
+    size: str | None = None
+    count: int = 0
+    scale: int = 1000
     width: int = 6
     below: bool = False
 
+    @property
+    def name(self) -> str:
+        return f"{'low' if self.below else 'high'}_{self.measure}"
+
 
 FENCES = (
-    Fence("symbol_permille", 5),
-    Fence("dup_line_permille", 100),
-    Fence("repeat_permille", 70),
-    Fence("word_centi", 40),
-    Fence("word_centi", 40, below=True),
+    Fence("symbol_permille", "word_chars", 20),
+    Fence("dup_line_permille", "n_lines", 3),
+    # A window found twice covers six words.
+    Fence("repeat_permille", "n_words", 6 * 6),
+    Fence("word_centi"),
+    Fence("word_centi", below=True),
 )
-MEASURES = list(dict.fromkeys(f.measure for f in FENCES))
+SIZES = [f.size for f in FENCES if f.size]
+MEASURES = list(dict.fromkeys(f.measure for f in FENCES)) + SIZES
 QUANTILES = {"q25": 25, "q50": 50, "q75": 75}
+LEADING_BITS = 6
 
 
 def measure(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -115,7 +126,7 @@ def sketch(rows: DataFrame) -> DataFrame:
     """The mergeable sketches: (lang, source, measure, bucket, n) over documents that pass the base rule."""
     each = ", ".join(f"'{m}', {m}" for m in MEASURES)
     long = rows.where("not base_failed").selectExpr("lang", "source", f"stack({len(MEASURES)}, {each}) as (measure, v)")
-    bits = "greatest(0, length(bin(v)) - 6)"
+    bits = f"greatest(0, length(bin(v)) - {LEADING_BITS})"
     bucket = F.expr(f"shiftleft(shiftright(v, {bits}), {bits})").alias("bucket")
     return long.groupBy("lang", "source", "measure", bucket).agg(F.count("*").alias("n"))
 
@@ -146,18 +157,28 @@ def fences(sketches: DataFrame, min_docs: int) -> DataFrame:
             condition = condition & part
         found = found.join(q, condition, "left").drop(*[f"{c}_{i}" for c in names])
     q = F.coalesce("level0", "level1", "level2")
-    bounds = []
-    for f in FENCES:
-        spread = q["q75"] - q["q50"] if f.below else q["q50"] - q["q25"]
-        reach = f.width * F.greatest(spread, F.lit(f.least))
-        edge = q["q50"] - reach if f.below else q["q50"] + reach
-        name = f"{'low' if f.below else 'high'}_{f.measure}"
-        bounds.append(F.max(F.when(F.col("measure") == f.measure, edge)).alias(name))
-    return found.groupBy("lang", "source").agg(*bounds)
+    sketches_of = [F.max(F.when(F.col("measure") == m, q)).alias(m) for m in MEASURES]
+    return found.groupBy("lang", "source").agg(*sketches_of).select("lang", "source", *[bound(f).alias(f.name) for f in FENCES])
+
+
+def bound(f: Fence) -> Column:
+    """The fence from the quartiles of the measure and of the sizes, in whole numbers."""
+    q = f.measure
+    spread = f"{q}.q75 - {q}.q50" if f.below else f"{q}.q50 - {q}.q25"
+    steps = [f"{f.width} * ({spread})", f"({f.width} * {q}.q50) div {1 << (LEADING_BITS - 1)}"]
+    if f.size:
+        steps.append(f"{f.count * f.scale} div greatest(1, {f.size}.q50)")
+    return F.expr(f"{q}.q50 {'-' if f.below else '+'} greatest({', '.join(steps)})")
+
+
+def outside(f: Fence) -> Column:
+    """Whether a document is beyond the fence; a missing bound rejects nothing."""
+    beyond = F.col(f.measure) < F.col(f.name) if f.below else F.col(f.measure) > F.col(f.name)
+    return F.coalesce(beyond, F.lit(False))
 
 
 def judged(rows: DataFrame, min_docs: int) -> DataFrame:
-    """Add ``kept`` to stored rows that have measures, lang and source.
+    """Add ``kept`` and the names of the fences ``beyond`` which it lies to stored rows that have measures, lang and source.
 
     A group with fewer than ``min_docs`` documents takes the bounds of its language,
     then of the corpus; a smaller corpus has no bounds. Null lang or source is a
@@ -165,15 +186,24 @@ def judged(rows: DataFrame, min_docs: int) -> DataFrame:
     """
     bounds = fences(sketch(rows), min_docs)
     bounds = bounds.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    inside = F.lit(True)
-    for f in FENCES:
-        bound = F.col(f"{'low' if f.below else 'high'}_{f.measure}")
-        ok = F.col(f.measure) >= bound if f.below else F.col(f.measure) <= bound
-        inside = inside & F.coalesce(ok, F.lit(True))
     joined = rows.join(
         bounds, rows["lang"].eqNullSafe(bounds["of_lang"]) & rows["source"].eqNullSafe(bounds["of_source"]), "left"
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+    beyond = F.array_compact(F.array(*[F.when(outside(f), F.lit(f.name)) for f in FENCES]))
+    judged = joined.withColumn("beyond", beyond)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("beyond") == 0))
+
+
+def fence_report(docs: DataFrame, min_docs: int = 50) -> DataFrame:
+    """lang, source, fence, bound, documents that pass the base rule, and those of them beyond the fence.
+
+    Null lang or source is a group like any other, an empty table has no rows.
+    """
+    rows = judged(stored(with_measures(measure(docs, ["lang", "source"])), "quality"), min_docs).where("not base_failed")
+    each = ", ".join(f"'{f.name}', `{f.name}`" for f in FENCES)
+    long = rows.selectExpr("lang", "source", "beyond", f"stack({len(FENCES)}, {each}) as (fence, bound)")
+    hit = F.sum(F.expr("array_contains(beyond, fence)").cast("long"))
+    return long.groupBy("lang", "source", "fence", "bound").agg(F.count("*").alias("documents"), hit.alias("beyond"))
 
 
 def quality_rules(docs: DataFrame, min_docs: int = 50) -> DataFrame:
@@ -190,7 +220,7 @@ def quality_rules(docs: DataFrame, min_docs: int = 50) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, min_docs: int = 50) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
+    """The documents that pass, with the columns they came with; of an empty table none."""
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text", "lang", "source"
     )

@@ -36,15 +36,21 @@ def test_counts_equal_brute_force_on_real_and_messy_texts(spark):
         assert got == want
 
 
-def fence_by_hand(values, least, below=False, width=6):
+def quartiles(values):
     def bucket(v):
         e = max(0, v.bit_length() - 6)
         return v >> e << e
 
     ordered = sorted(bucket(v) for v in values)
-    q = [next(v for i, v in enumerate(ordered) if (i + 1) * 100 >= len(ordered) * p) for p in (25, 50, 75)]
-    spread = max(q[2] - q[1] if below else q[1] - q[0], least)
-    return q[1] - width * spread if below else q[1] + width * spread
+    return [next(v for i, v in enumerate(ordered) if (i + 1) * 100 >= len(ordered) * p) for p in (25, 50, 75)]
+
+
+def fence_by_hand(group, f):
+    q = quartiles([r[f.measure] for r in group])
+    reach = max(6 * (q[2] - q[1] if f.below else q[1] - q[0]), 6 * q[1] // 32)
+    if f.size:
+        reach = max(reach, f.count * 1000 // max(1, quartiles([r[f.size] for r in group])[1]))
+    return q[1] - reach if f.below else q[1] + reach
 
 
 def test_verdict_follows_the_fences_of_the_group(spark):
@@ -66,8 +72,29 @@ def test_bounds_equal_a_computation_by_hand(spark):
     for b in bounds.collect():
         group = [r for r in good if (r["lang"], r["source"]) == (b["lang"], b["source"])]
         for f in quality.FENCES:
-            name = f"{'low' if f.below else 'high'}_{f.measure}"
-            assert b[name] == fence_by_hand([r[f.measure] for r in group], f.least, f.below)
+            assert b[f.name] == fence_by_hand(group, f)
+
+
+def test_report_counts_what_each_fence_rejects(spark):
+    docs = sf_documents(spark)
+    rows = quality.judged(stored(quality.with_measures(quality.measure(docs, ["lang", "source"])), "test"), 50)
+    want = Counter((r["lang"], r["source"], f) for r in rows.where("not base_failed").collect() for f in r["beyond"])
+    report = quality.fence_report(docs).collect()
+    assert {(r["lang"], r["source"], r["fence"]): r["beyond"] for r in report if r["beyond"]} == dict(want)
+    assert {r["fence"] for r in report} == {f.name for f in quality.FENCES}
+
+
+def test_the_group_sets_the_fence_not_a_constant(spark):
+    """One share of repeated lines is rejected among long documents and kept among short ones."""
+
+    def text(i, n, twice):
+        lines = [f"a{i}w{k} b{i}w{k} c{i}w{k} d{i}w{k} e{i}w{k} f{i}w{k} g{i}w{k}" for k in range(n)]
+        return "\n".join(lines + lines[:twice])
+
+    rows = [(i, text(100 + i, 100, 0), "en", "long") for i in range(60)] + [(100, text(200, 90, 10), "en", "long")]
+    rows += [(200 + i, text(100 + i, 10, 0), "en", "short") for i in range(60)] + [(300, text(300, 9, 1), "en", "short")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, DOC_SCHEMA)).collect()}
+    assert [i for i, kept in got.items() if not kept] == [100]
 
 
 def test_sketches_merge_by_adding_counts(spark):
