@@ -2,8 +2,9 @@
 
 Two first-order Markov models over characters are trained from labelled samples: the
 values found by the fixed patterns are random strings, all other words are ordinary
-identifiers. A long token outside the pattern matches is added as a span when its
-log-likelihood ratio per transition is above a threshold. Log probabilities are
+identifiers. A token that is not inside a pattern match is added as a span when its
+log-likelihood ratio is above a threshold, both as a total, which a short token only
+reaches if it is very unlike an identifier, and per transition. Log probabilities are
 whole thousandths, so that sums do not depend on their order.
 """
 
@@ -26,7 +27,6 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 STATES = len(ALPHABET) + 1
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WORD = r"[A-Za-z0-9+/_=-]{4,}"
 NO_SPANS = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
@@ -105,20 +105,24 @@ def train(docs: DataFrame, sample_docs: int = 5_000) -> list[int]:
     return log_ratio([(r["label"], r["f"], r["t"], r["n"]) for r in counted])
 
 
-def scan(docs: DataFrame, keep: list[str], model: list[int], threshold: int = 700) -> DataFrame:
+def scan(
+    docs: DataFrame, keep: list[str], model: list[int], threshold: int = 400, total: int = 7_000, least: int = 10
+) -> DataFrame:
     """``keep``, the text ``t``, its ``base`` spans and all ``spans`` by start, then kind.
 
-    A token of 20 and more characters is added if it holds a digit, touches no base
-    span and its mean log ratio is above ``threshold`` thousandths.
+    A token of ``least`` and more characters is added if it is not inside a base span,
+    its log ratio is above ``total`` and its mean above ``threshold`` thousandths. It may
+    overlap a base span that it sticks out of. Below ``least`` characters random strings
+    and names can hardly be told apart.
     """
     table = f"from_json('{json.dumps(model)}', 'array<int>')"
     base = with_base_spans(docs, keep)
-    tokens = matches("t", CANDIDATE, "markov")
+    tokens = matches("t", f"[A-Za-z0-9+/_=-]{{{least},}}", "markov")
     score = f"""aggregate(sequence(0, length(x.value) - 1), 0, (s, i) -> s + element_at({table},
         1 + {STATES} * if(i = 0, 0, instr('{ALPHABET}', substr(x.value, i, 1))) + instr('{ALPHABET}', substr(x.value, i + 1, 1))))"""
     found = base.select(*keep, "t", "base", tokens.alias("tokens"))
-    chosen = f"""filter(tokens, x -> x.value rlike '[0-9]' and not exists(base, b -> b.start < x.end and x.start < b.end)
-        and {score} > {threshold} * length(x.value))"""
+    chosen = f"""filter(tokens, x -> not exists(base, b -> b.start <= x.start and x.end <= b.end)
+        and {score} > greatest({total}, {threshold} * length(x.value)))"""
     return found.select(*keep, "t", "base", F.array_sort(F.concat("base", F.expr(chosen))).alias("spans"))
 
 
@@ -149,7 +153,7 @@ def masked_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """All documents with their columns; each span in the text is replaced by ``mask``.
 
     Spans that overlap are masked once. ``n_chars`` follows the text if there is such
-    a column; a null text stays null.
+    a column; a null text stays null, an empty table gives no rows.
     """
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "text")
     rows = scan(whole, ["whole"], train(whole))
