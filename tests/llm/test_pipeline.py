@@ -19,6 +19,9 @@ MEASURED = {
     "dup_line_permille": lambda n, chars, symbols, dups, repeats, lines: 1000 * dups // lines if lines else 0,
     "repeat_permille": lambda n, chars, symbols, dups, repeats, lines: 1000 * repeats // n if n else 0,
     "word_centi": lambda n, chars, symbols, dups, repeats, lines: 100 * chars // n if n else 0,
+    "n_words": lambda n, chars, symbols, dups, repeats, lines: n,
+    "word_chars": lambda n, chars, symbols, dups, repeats, lines: chars,
+    "n_lines": lambda n, chars, symbols, dups, repeats, lines: lines,
 }
 
 
@@ -43,7 +46,7 @@ def kept(rows):
         inside = all(
             (m[f.measure] >= edge if f.below else m[f.measure] <= edge)
             for f in quality.FENCES
-            for edge in [test_quality.fence_by_hand([p[f.measure] for p in peers], f.least, f.below) if peers else m[f.measure]]
+            for edge in [test_quality.fence_by_hand(peers, f) if peers else m[f.measure]]
         )
         if not failed and inside:
             out.append(r)
