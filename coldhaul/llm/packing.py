@@ -26,6 +26,7 @@ from coldhaul.llm.common import numbered, ranked
 from coldhaul.llm.tokens import encoder
 
 Pattern = tuple[int, ...]
+FEW = 4
 
 
 def dominant_set(counts: list[int], sizes: list[int], j: int, cap: int) -> Pattern | None:
@@ -80,10 +81,10 @@ def reduce_instance(counts: list[int], cap: int) -> list[tuple[Pattern, int]]:
             if found is None:
                 break
             uses = min(counts[s] // found.count(s) for s in found)
-            if len(found) > 1 and sum(found) < cap:
-                # The proof may rest on counts that change; go on one set at a time
-                # unless the set is full.
-                uses = 1 if len(found) == 3 else uses
+            if len(found) == 3 and sum(found) < cap:
+                # The proof rests on which lengths have one to four pieces or more, so it
+                # holds again and again until one of its own lengths is down to four.
+                uses = max(1, min((counts[s] - FEW) // found.count(s) for s in found))
             fixed.append((found, uses))
             for s in found:
                 counts[s] -= uses
@@ -231,7 +232,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, cap: int = 2048, end_id: int
     placed = ranked(rows, ["length"])
     inside = (placed["length"] == plan["size"]) & (placed["rank"] >= plan["first"]) & (placed["rank"] < plan["last"])
     nth = F.col("rank") - F.col("first")
-    # The plan is bounded by the capacity, not by the documents.
+    # Few patterns to a length, so the plan is bounded by the capacity, not by the documents.
     return placed.join(F.broadcast(plan), inside).select(
         "doc_id",
         "piece",

@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection, Iterator
 
 VISIBLE_GAP = re.compile(r"(?<=\S)(?= \S)")
 PLAIN = re.compile(r" ?\S+")
+LINE = re.compile(r" ?\S+\n")
+WORD = re.compile(r"[^\s\x01]+")
 CACHED_PIECES = 1_000_000
 TEXTS_AT_ONCE = 128
 PIECES_AT_ONCE = 64
@@ -70,29 +72,54 @@ def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     between = "\n" if spaces_matter else " \x01 "
     mark = tokenizer.encode(between, add_special_tokens=False).ids
+    joinable, mark_ids = len(mark) == 1, np.array(mark, "<u4").tobytes()
+    is_plain = (PLAIN if spaces_matter else WORD).fullmatch
+    is_line = LINE.fullmatch
     known = Known()
 
     def ids_of(piece: str) -> bytes:
         return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(pieces: list[str]) -> None:
-        def put(piece: str, ids: bytes) -> None:
-            known[piece].extend(ids)
-            known[piece] = ids
-
-        plain = [p for p in pieces if PLAIN.fullmatch(p) and "\x01" not in p] if len(mark) == 1 else []
-        for at in range(0, len(plain), PIECES_AT_ONCE):
-            some = plain[at : at + PIECES_AT_ONCE]
+    def together(pieces: Collection[str]) -> Iterator[tuple[str, bytes]]:
+        """Pieces with their ids, many in one call of the tokenizer."""
+        waiting = list(pieces)
+        for at in range(0, len(waiting), PIECES_AT_ONCE):
+            some = waiting[at : at + PIECES_AT_ONCE]
             found = np.array(tokenizer.encode(between.join(some), add_special_tokens=False).ids, "<u4")
             edges = [*np.flatnonzero(found == mark[0]).tolist(), len(found)]
             if len(edges) != len(some):
                 raise ValueError("the separator is not a token of its own")
             raw, start = found.tobytes(), 0
             for piece, edge in zip(some, edges):
-                put(piece, raw[4 * start : 4 * edge])
+                yield piece, raw[4 * start : 4 * edge]
                 start = edge + 1
-        for piece in set(pieces).difference(plain):
-            put(piece, ids_of(piece))
+
+    def learn(pieces: list[str]) -> set[str]:
+        """Give new pieces their ids; those that decide a cut wrongly are forgotten and returned."""
+
+        def put(piece: str, ids: bytes) -> None:
+            known[piece].extend(ids)
+            known[piece] = ids
+
+        plain, lines, slow = [], [], set()
+        for piece in pieces:
+            if joinable and is_plain(piece):
+                plain.append(piece)
+            elif joinable and is_line(piece):
+                lines.append(piece)
+            elif spaces_matter and unsafe(piece):
+                slow.add(piece)
+                del known[piece]
+            else:
+                put(piece, ids_of(piece))
+        for piece, ids in together(plain):
+            known[piece].extend(ids)
+            known[piece] = ids
+        # The line break behind a word is the separator itself, a token of its own.
+        known.update(together({body for p in lines if (body := p[:-1]) not in known}))
+        for piece in lines:
+            put(piece, known[piece[:-1]] + mark_ids)
+        return slow
 
     def cut(text: str) -> list[str]:
         if not spaces_matter:
@@ -109,10 +136,7 @@ def _encoder(path: str, spaces_matter: bool) -> Callable[[list[str]], list[bytes
                 known.clear()
             found = [None if any(x in t for x in special) else list(map(known.__getitem__, cut(t))) for t in some]
             new, known.new = known.new, []
-            slow = {p for p in new if unsafe(p)} if spaces_matter else set()
-            for piece in slow:
-                del known[piece]
-            learn([p for p in new if p not in slow])
+            slow = learn(new)
             for text, parts in zip(some, found):
                 if parts is None:
                     out.append(ids_of(text))

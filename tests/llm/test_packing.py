@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,45 @@ def test_fixed_sets_belong_to_a_best_packing(sizes):
     assert sum(u for _, u in fixed) + (fewest(rest, 20) if rest else 0) == fewest(sizes, 20)
 
 
+def one_at_a_time(counts, cap):
+    """The sets of the reduction, those of three that leave room fixed singly."""
+    fixed = Counter()
+    for j in range(cap, 0, -1):
+        while counts[j]:
+            sizes = [s for s in range(1, cap + 1) if counts[s]]
+            found = packing.dominant_set(counts, sizes, j, cap)
+            if found is None:
+                break
+            uses = min(counts[s] // found.count(s) for s in found)
+            if len(found) == 3 and sum(found) < cap:
+                uses = 1
+            fixed[found] += uses
+            for s in found:
+                counts[s] -= uses
+    return fixed
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(3, 30), st.integers(1, 40), max_size=6), st.integers(20, 40))
+def test_sets_fixed_in_bulk_are_those_fixed_singly(lengths, cap):
+    counts = [lengths.get(s, 0) if s <= cap else 0 for s in range(41)]
+    singly, bulk = counts[: cap + 1], counts[: cap + 1]
+    fixed = one_at_a_time(singly, cap)
+    found = Counter()
+    for pattern, uses in packing.reduce_instance(bulk, cap):
+        found[pattern] += uses
+    assert (found, bulk) == (fixed, singly)
+
+
+def test_many_equal_lengths_give_few_patterns():
+    counts = [0] * 2049
+    counts[600], counts[610], counts[650] = 100_000, 70_000, 30_001
+    patterns = packing.pack(counts, 2048)
+    assert len(patterns) < 50
+    assert sum(len(p) * u for p, u in patterns) == 200_001
+    assert sum(u for _, u in patterns) == 66_667
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=200), st.integers(1, 40))
 def test_patterns_hold_every_piece_once(sizes, copies):
