@@ -17,6 +17,8 @@ ANSWERS = {
     "batch_count": "SELECT CAST(ceil(count(*) / 700.0) AS BIGINT) AS n_batches FROM orders",
     "children_semi": f"""SELECT * FROM lineitem
       WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED})""",
+    "children_in_ranges": f"""SELECT * FROM lineitem
+      WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED})""",
     "retained_anti": f"""SELECT * FROM lineitem
       WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE {_EXPIRED})""",
     "delete_by_key": f"""SELECT kind, orders.*, CAST(year(o_orderdate) AS INTEGER) AS year

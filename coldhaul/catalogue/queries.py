@@ -22,6 +22,7 @@ from coldhaul.metrics import parse_counts, run_summary
 from coldhaul.operators import keys as K
 from coldhaul.operators import shape
 from coldhaul.operators.conform import conform
+from coldhaul.operators.key_ranges import KEYS_PER_RANGE, key_ranges, restrict_in_ranges
 from coldhaul.operators.restrict import restrict_to_keys, rows_left
 from coldhaul.plans.archive import (
     PASS_NAME_FIELDS,
@@ -81,6 +82,15 @@ def children_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def children_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = _expired(spark, sf_dir).select("o_orderkey")
+    # At least four ranges, so that small tables take the ranged way too.
+    per_range = min(KEYS_PER_RANGE, max(1, keys.count() // 4))
+    return restrict_in_ranges(
+        load(spark, sf_dir, "lineitem"), key_ranges(keys, "o_orderkey", per_range, tasks_per_range=2), "l_orderkey"
+    )
+
+
 def retained_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_left(load(spark, sf_dir, "lineitem"), _expired(spark, sf_dir), "l_orderkey", "o_orderkey")
 
@@ -511,6 +521,7 @@ QUERIES: dict[str, Query] = {
         "batch_assign": batch_assign,
         "batch_count": batch_count,
         "children_semi": children_semi,
+        "children_in_ranges": children_in_ranges,
         "retained_anti": retained_anti,
         "delete_by_key": delete_by_key,
         "run_summary": summary_per_batch,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from coldhaul.operators.keys import RunKeys
-from coldhaul.operators.restrict import fits_broadcast, restrict_to_keys, with_batch
+from coldhaul.operators.restrict import restrict_to_keys, run_fits_broadcast, with_batch
 
 STATUSES = ("null_input", "blank", "malformed", "ok")
 
@@ -38,10 +38,10 @@ def run_summary(run: RunKeys, children: Mapping[str, tuple[DataFrame, str]]) ->
     """
     out = run.frame.groupBy("batch_no").agg(F.count("*").alias("n_jobs"))
     for name, (df, key) in children.items():
-        if fits_broadcast(run.n_keys, run.frame.schema):
+        if run_fits_broadcast(run):
             per_row = with_batch(df.select(key), run, key).select("batch_no", F.lit(1).alias("n"))
         else:
-            mine = restrict_to_keys(df.select(key), run.frame, key, run.key, run.n_keys)
+            mine = restrict_to_keys(df.select(key), run.frame, key, run.key, run.n_keys, run.n_bytes)
             per_key = mine.groupBy(key).agg(F.count("*").alias("n"))
             per_row = with_batch(per_key, run, key)
         counted = per_row.groupBy("batch_no").agg(F.sum("n").cast("bigint").alias(name))

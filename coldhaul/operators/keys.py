@@ -7,7 +7,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from coldhaul.functions.types import quote
 from coldhaul.session import scratch_path
 
 # Rows of (time, key) that one task may sort. Above it, ranking is distributed.
@@ -128,12 +130,21 @@ class RunKeys:
     key: str
     n_keys: int
     n_batches: int
+    # Measured width of the texts among the keys; unknown for keys made elsewhere.
+    n_bytes: int | None = None
+
+
+def text_bytes(df: DataFrame) -> Column:
+    """Sum of the bytes of all text and binary columns."""
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    widths = [F.coalesce(F.octet_length(quote(name)), F.lit(0)).cast("bigint") for name in wide]
+    return F.coalesce(F.sum(sum(widths, F.lit(0))), F.lit(0)).cast("bigint")
 
 
 def batched_keys(
     keys: DataFrame, key: str, ts: str, size: int, one_task_rows: int = ONE_TASK_ROWS
-) -> tuple[DataFrame, int]:
-    """One row per key with its batch, and the number of keys.
+) -> tuple[DataFrame, int, int]:
+    """One row per key with its batch, the number of keys and the bytes of their texts.
 
     The distinct keys are written out before they are counted and ranked, so
     that both see the same ones while the source goes on changing.
@@ -142,8 +153,8 @@ def batched_keys(
     path = scratch_path(spark, "chosen")
     keys.groupBy(key).agg(F.min(ts).alias(ts)).write.parquet(path)
     unique = spark.read.parquet(path)
-    n_keys = unique.count()
-    return assign_batches(unique, key, ts, size, n_keys, one_task_rows).select(key, "batch_no"), n_keys
+    n_keys, n_bytes = unique.agg(F.count("*"), text_bytes(unique.select(key))).first()
+    return assign_batches(unique, key, ts, size, n_keys, one_task_rows).select(key, "batch_no"), n_keys, n_bytes
 
 
 def stage_keys(
@@ -151,7 +162,7 @@ def stage_keys(
 ) -> RunKeys:
     """Fix the run scope in a written table that every table of the run joins."""
     spark = keys.sparkSession
-    batched, n_keys = batched_keys(keys, key, ts, size, one_task_rows)
+    batched, n_keys, n_bytes = batched_keys(keys, key, ts, size, one_task_rows)
     path = scratch_path(spark, "keys")
     batched.write.parquet(path)
-    return RunKeys(spark.read.parquet(path), key, n_keys, ceil_division(n_keys, size))
+    return RunKeys(spark.read.parquet(path), key, n_keys, ceil_division(n_keys, size), n_bytes)

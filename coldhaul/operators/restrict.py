@@ -16,22 +16,32 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 # A filter of 2 ** 31 bits takes 256 MB; it has 8 bits a key up to 268 million keys,
 # and fewer beyond, where it lets more rows pass.
 BLOOM_BITS = 1 << 31
+TEXT_BYTES = 112
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
-def fits_broadcast(n_rows: int, schema: T.StructType) -> bool:
-    """Whether a key frame of known length is small enough to send everywhere."""
-    row = sum(16 if isinstance(f.dataType, _FIXED_WIDTH) else 128 for f in schema.fields)
-    return n_rows * row <= BROADCAST_BYTES
+def fits_broadcast(n_rows: int, schema: T.StructType, n_bytes: int | None = None) -> bool:
+    """Whether a key frame of known length is small enough to send everywhere.
+
+    ``n_bytes`` is the measured width of its texts; without it they are taken to have
+    ``TEXT_BYTES`` each.
+    """
+    texts = sum(not isinstance(f.dataType, _FIXED_WIDTH) for f in schema.fields)
+    width = TEXT_BYTES * texts * n_rows if n_bytes is None else n_bytes
+    return n_rows * 16 * len(schema.fields) + width <= BROADCAST_BYTES
+
+
+def run_fits_broadcast(run: RunKeys) -> bool:
+    return fits_broadcast(run.n_keys, run.frame.schema, run.n_bytes)
 
 
-def hinted(keys: DataFrame, n_keys: int | None) -> DataFrame:
+def hinted(keys: DataFrame, n_keys: int | None, n_bytes: int | None = None) -> DataFrame:
     """Broadcast hint for a counted, small key frame.
 
     Uncounted or larger frames get no hint: Spark then plans a shuffled join,
     whose hot partitions the adaptive skew handling splits.
     """
-    if n_keys is not None and fits_broadcast(n_keys, keys.schema):
+    if n_keys is not None and fits_broadcast(n_keys, keys.schema, n_bytes):
         return F.broadcast(keys)
     return keys
 
@@ -44,13 +54,21 @@ def sized_bloom_filter(spark: SparkSession, run: RunKeys) -> Iterator[None]:
     them. The default size suits a million keys and lets nearly all rows pass
     for many more.
     """
+    if run_fits_broadcast(run):
+        yield
+    else:
+        with bloom_filter_of(spark, run.n_keys):
+            yield
+
+
+@contextmanager
+def bloom_filter_of(spark: SparkSession, n_keys: int) -> Iterator[None]:
+    """Spark's runtime filter with eight bits for each of ``n_keys`` keys."""
+    bits = min(8 * n_keys, BLOOM_BITS)
+    sizes = {"expectedNumItems": n_keys, "maxNumItems": n_keys, "numBits": bits, "maxNumBits": bits}
     with ExitStack() as stack:
-        if not fits_broadcast(run.n_keys, run.frame.schema):
-            bits = min(8 * run.n_keys, BLOOM_BITS)
-            sizes = {"expectedNumItems": run.n_keys, "maxNumItems": run.n_keys, "numBits": bits, "maxNumBits": bits}
-            for name, value in {**sizes, "creationSideThreshold": "10GB"}.items():
-                full = f"spark.sql.optimizer.runtime.bloomFilter.{name}"
-                stack.enter_context(setting(spark, full, str(value)))
+        for name, value in {**sizes, "creationSideThreshold": "10GB"}.items():
+            stack.enter_context(setting(spark, f"spark.sql.optimizer.runtime.bloomFilter.{name}", str(value)))
         yield
 
 
@@ -59,17 +77,27 @@ def _renamed(keys: DataFrame, key: str, keys_key: str | None) -> DataFrame:
 
 
 def restrict_to_keys(
-    df: DataFrame, keys: DataFrame, key: str, keys_key: str | None = None, n_keys: int | None = None
+    df: DataFrame,
+    keys: DataFrame,
+    key: str,
+    keys_key: str | None = None,
+    n_keys: int | None = None,
+    n_bytes: int | None = None,
 ) -> DataFrame:
     """Rows whose key is in the key frame; multiplicity is kept."""
-    return df.join(hinted(_renamed(keys, key, keys_key), n_keys), key, "left_semi")
+    return df.join(hinted(_renamed(keys, key, keys_key), n_keys, n_bytes), key, "left_semi")
 
 
 def rows_left(
-    df: DataFrame, keys: DataFrame, key: str, keys_key: str | None = None, n_keys: int | None = None
+    df: DataFrame,
+    keys: DataFrame,
+    key: str,
+    keys_key: str | None = None,
+    n_keys: int | None = None,
+    n_bytes: int | None = None,
 ) -> DataFrame:
     """Rows whose key is not in the key frame; rows without a key stay."""
-    return df.join(hinted(_renamed(keys, key, keys_key), n_keys), key, "left_anti")
+    return df.join(hinted(_renamed(keys, key, keys_key), n_keys, n_bytes), key, "left_anti")
 
 
 def with_batch(df: DataFrame, run: RunKeys, key: str, keys: DataFrame | None = None) -> DataFrame:
@@ -80,4 +108,4 @@ def with_batch(df: DataFrame, run: RunKeys, key: str, keys: DataFrame | None = N
     """
     keys = run.frame if keys is None else keys
     keys = keys.select(F.col(run.key).alias(key), "batch_no")
-    return df.join(hinted(keys, run.n_keys), key)
+    return df.join(hinted(keys, run.n_keys, run.n_bytes), key)

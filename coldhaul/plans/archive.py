@@ -316,11 +316,11 @@ def _run_keys(spark: SparkSession, run_id: str, scope: RunScope, ledger: Ledger)
     if not ledger.pending(spark).isEmpty():
         source = rows_left(source, ledger.deletable_keys(spark), scope.key, "key")
     keys = expired_keys(source, scope.key, scope.ts, scope.as_of, scope.age_days, scope.limit, scope.one_task_rows)
-    batched, n_keys = batched_keys(keys, scope.key, scope.ts, scope.batch_size, scope.one_task_rows)
+    batched, n_keys, n_bytes = batched_keys(keys, scope.key, scope.ts, scope.batch_size, scope.one_task_rows)
     if not n_keys:
         return None
     ledger.save_keys(run_id, batched, scope.key)
-    return RunKeys(ledger.keys_of(spark, run_id), "key", n_keys, ceil_division(n_keys, scope.batch_size))
+    return RunKeys(ledger.keys_of(spark, run_id), "key", n_keys, ceil_division(n_keys, scope.batch_size), n_bytes)
 
 
 def delete_archived(spark: SparkSession, ledger: Ledger, delete: Callable[[DataFrame], None]) -> None:

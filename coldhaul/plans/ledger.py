@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldhaul.operators.growth import with_growth
-from coldhaul.operators.keys import RunKeys
+from coldhaul.operators.keys import RunKeys, text_bytes
 from coldhaul.plans.claims import LEASE_SECONDS, Claim, claim
 from coldhaul.sinks.rewrites import table_location
 from coldhaul.sinks.tables import append, create_table, overwrite_partitions
@@ -69,10 +69,14 @@ class Ledger:
 
     def load_keys(self, spark: SparkSession, run_id: str) -> RunKeys | None:
         frame = self.keys_of(spark, run_id)
-        size = frame.agg(F.count("*").alias("n"), (F.max("batch_no") + 1).alias("batches")).first()
+        size = frame.agg(
+            F.count("*").alias("n"),
+            (F.max("batch_no") + 1).alias("batches"),
+            text_bytes(frame.select("key")).alias("bytes"),
+        ).first()
         if not size["n"]:
             return None
-        return RunKeys(frame, "key", size["n"], size["batches"])
+        return RunKeys(frame, "key", size["n"], size["batches"], size["bytes"])
 
     def save_manifest(self, spark: SparkSession, run_id: str, outcome: DataFrame) -> None:
         """``outcome`` has batch_no, table, status, rows and error, a row per batch and table."""
