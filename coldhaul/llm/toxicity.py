@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +33,21 @@ LOG_KEPT, LOG_SWAPPED, LOG_DOUBLED, LOG_DROPPED = math.log(0.9), math.log(0.1),
 
 SYMBOLS = 28  # 0 word edge, 1-26 letters, 27 any other letter
 EDGE_MARKS = ".,;:?!\"'()[]{}<>|*&%#$-_~/+=“”„«»…"
-SPACED = re.compile(r"(?:(?<=\s)|^)(?:[^\W_](?:[ \t]+|[.\-_*][ \t]?)){3,}[^\W_](?![^\s.,;:?!])|(?:(?<=\s)|^)(?:\S ){3,}\S(?!\S)")
-SPACED_GATE = re.compile(r" [^\W_][ .\-_*]{1,2}[^\W_][ .\-_*]{1,2}[^\W_][ .\-_*]| \S \S \S ")
+# Four and more single signs set apart by white space, each with a mark behind it or none.
+SPACED = re.compile(r"(?<!\S)\S[^\w\s]?(?:\s+\S[^\w\s]?){2,}\s+\S[^\w\s]*(?!\S)")
 SIGNS = re.compile(r"[0-9@$!|+(<{€£¡&%#*µø]")
 LETTERS = re.compile(r"[^\W\d_]")
 REPEATED = re.compile(r"(.)\1\1")
+DOUBLED = re.compile(r"([^\W\d_])\1")
+TWICE_DOUBLED = re.compile(r"([^\W\d_])\1.*([^\W\d_])\2")
+RUN = re.compile(r"(.)\1+")
+END_MARKS = re.compile(r"(?<=\S)[.,;:?!\"']+$")
+BETWEEN = re.compile(r"[^\w]+")
 SPLIT_BY_MARKS = re.compile(r"(?:[^\W_][.\-_*~'·,/]+){2,}[^\W_]")
 EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
-LONGEST = 32
+SETTLED = 64
+#: Letters that stand for others, as one letter.
+ONE_LETTER = str.maketrans("vµø", "uuo")
 CACHED_TOKENS = 300_000
 
 
@@ -92,46 +100,72 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log(smoothed)
 
 
+def _arcs(sign: str, run: int, narrow: int) -> list[tuple[str, float]]:
+    """What a run of one sign may stand for, with the cost; a space is a border of words."""
+    if sign == " ":
+        # Equal gaps say nothing; a wider one is rather a border.
+        return [("", 0.0 if run == narrow else LOG_SWAPPED), (" ", 0.0)]
+    options: list[tuple[str, float]] = []
+    if LETTERS.match(sign):
+        options.append((sign, LOG_KEPT))
+    options += [(x, LOG_SWAPPED if sign.isalpha() else LOG_KEPT) for x in LOOK_ALIKES.get(sign, "") if x != sign]
+    # A letter is written once or twice, however often its sign stands there.
+    arcs = [(x, c + (LOG_DROPPED if run == 2 else 0)) for x, c in options]
+    if run >= 2:
+        arcs += [(x + x, c + (0 if run == 2 else LOG_DOUBLED)) for x, c in options]
+    if sign in MARKS or not options:
+        dropped = LOG_DROPPED if options else 0.0
+        arcs += [("", dropped), (" ", dropped + LOG_SWAPPED)]
+    return arcs
+
+
 def restore(token: str, model: list[list[list[float]]]) -> str:
-    """The likeliest word behind a token, by Viterbi over (second last, last) letters."""
-    # Each run of one sign is a lattice step: how often the letter is written, at most twice.
+    """The likeliest words behind a token or a run of spaced signs, by Viterbi.
+
+    A state is the last two letters; each run of one sign is a step. White space and marks
+    are dropped or end a word. What all paths agree on is put aside from time to time, so
+    the work is linear in the length.
+    """
+    token = re.sub(r"\s", " ", token)
+    narrow = min((len(g) for g in re.findall(" +", token)), default=0)
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    i = 0
-    while i < len(token):
-        sign = token[i]
-        j = i
-        while j < len(token) and token[j] == sign:
-            j += 1
-        run, i = j - i, j
-        options: list[tuple[str, float]] = []
-        if LETTERS.match(sign):
-            options.append((sign, LOG_KEPT))
-        options += [(x, LOG_SWAPPED if sign.isalpha() else LOG_KEPT) for x in LOOK_ALIKES.get(sign, "") if x != sign]
-        arcs = [(x, c + (LOG_DROPPED if run == 2 else 0)) for x, c in options]
-        if run >= 2:
-            arcs += [(x + x, c + (0 if run == 2 else LOG_DOUBLED)) for x, c in options]
-        if sign in MARKS or not options:
-            arcs.append(("", LOG_DROPPED if options else 0.0))
+    done: list[str] = []
+    for n, found in enumerate(re.finditer(r"(?s)(.)\1*", token), 1):
+        arcs = _arcs(found[1], len(found[0]), narrow)
         step: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, word) in paths.items():
             for letters, cost in arcs:
                 x, y, s = a, b, score + cost
-                for letter in letters:
-                    z = code(letter)
-                    s += model[x][y][z]
-                    x, y = y, z
+                if letters == " ":
+                    if y:
+                        s += model[x][y][0]
+                    x = y = 0
+                else:
+                    for letter in letters:
+                        z = code(letter)
+                        s += model[x][y][z]
+                        x, y = y, z
                 if (x, y) not in step or step[x, y][0] < s:
                     step[x, y] = (s, word + letters)
         paths = step
-    return max((s + model[a][b][0], w) for (a, b), (s, w) in paths.items())[1]
+        if n % SETTLED == 0:
+            common = commonprefix([w for _, w in paths.values()])
+            done.append(common)
+            paths = {k: (s, w[len(common) :]) for k, (s, w) in paths.items()}
+    return "".join(done) + max((s + (model[a][b][0] if b else 0.0), w) for (a, b), (s, w) in paths.items())[1]
 
 
 def suspicious(token: str) -> bool:
-    if len(token) > LONGEST or not LETTERS.search(token):
+    if not LETTERS.search(token):
         return False
     return bool(SIGNS.search(token) or REPEATED.search(token) or SPLIT_BY_MARKS.search(token))
 
 
+def skeleton(word: str) -> str:
+    """The same for a purely alphabetic word and for all that the decoder may read it as."""
+    return RUN.sub(r"\1", word.translate(ONE_LETTER))
+
+
 def features_of(word: str) -> list[str]:
     """The word and its beginnings."""
     return [word, *["^" + word[:k] for k in range(3, 8) if len(word) > k]]
@@ -145,31 +179,39 @@ class Reader:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def tokens(self, text: str) -> tuple[set[str], int]:
-        """Distinct tokens, letters set apart by spaces joined, and the number of all."""
-        lower = " " + text.lower()
+        """Distinct tokens, the words behind signs set apart by spaces, and the number of tokens."""
+        lower = text.lower()
         parts = lower.split()
         found = set(parts)
-        if SPACED_GATE.search(lower):
+        short = [i for i, p in enumerate(parts) if len(p) <= 2]
+        # No run of four is without three short tokens in a row.
+        if any(b - a == 2 for a, b in zip(short, short[2:])):
             for run in SPACED.finditer(lower):
-                word = re.sub(r"[\s.\-_*]+", "", run[0])
-                if len(word) >= 4:
-                    found.add(word)
+                if len(LETTERS.findall(run[0])) >= 2:
+                    signs = END_MARKS.sub("", run[0])
+                    found.update(w for w in restore(signs, self.table).split() if len(w) >= 3)
         return found, len(parts)
 
+    def worth_decoding(self, word: str) -> bool:
+        """Whether a purely alphabetic word with doubled letters goes to the decoder."""
+        return bool(REPEATED.search(word) or TWICE_DOUBLED.search(word))
+
     def forms(self, token: str) -> tuple[str, ...]:
         """The word of a token without its punctuation, and what it may disguise."""
         plain = token.strip(EDGE_MARKS)
-        if plain == token and plain.isalpha() and not REPEATED.search(plain):
-            return (plain,)
+        if plain.isalpha() and plain == token:
+            if not DOUBLED.search(plain) or not self.worth_decoding(plain):
+                return (plain,)
+            return tuple(dict.fromkeys([plain, *restore(plain, self.table).split()]))
         out = [plain] if plain else []
+        if not plain.isalpha():
+            out += [w for w in BETWEEN.split(plain) if len(w) >= 3 and w != plain]
         # A single sign at an edge may be a letter, a run of signs is decoration.
         signed = EDGE_RUN.sub("", token).rstrip(".,;:?!\"'").lstrip("\"'(")
         for shape in dict.fromkeys((plain, signed)):
-            if suspicious(shape):
-                restored = restore(shape, self.table)
-                if restored and restored not in out:
-                    out.append(restored)
-        return tuple(out)
+            if suspicious(shape) or (shape.isalpha() and DOUBLED.search(shape) and self.worth_decoding(shape)):
+                out += restore(shape, self.table).split()
+        return tuple(dict.fromkeys(out))
 
     def words(self, text: str) -> set[str]:
         found: set[str] = set()
@@ -183,11 +225,23 @@ class Reader:
         return found
 
 
+class FeatureReader(Reader):
+    """A reader that knows which words count: doubled letters are only decoded where a feature may come out."""
+
+    def __init__(self, model: np.ndarray, features: Iterable[str]) -> None:
+        super().__init__(model)
+        self.skeletons = {skeleton(f.removeprefix("^")) for f in features}
+
+    def worth_decoding(self, word: str) -> bool:
+        bare = skeleton(word)
+        return bare in self.skeletons or any(bare[:k] in self.skeletons for k in range(1, 8))
+
+
 class Vectors:
     """Feature values of texts: distinct words that carry a feature, as a count and by length of text."""
 
     def __init__(self, model: np.ndarray, index: dict[str, int]) -> None:
-        self.reader, self.index = Reader(model), index
+        self.reader, self.index = FeatureReader(model, index), index
         # Most tokens carry no feature, so the answer per token is kept: word -> features.
         self.known: dict[str, dict[str, list[int]]] = {}
 

@@ -60,6 +60,53 @@ def test_letters_set_apart_by_spaces_are_one_word(model):
     assert "the" in read.words("the a b") and not any(len(w) > 3 for w in read.words("a b c"))
 
 
+@pytest.mark.parametrize("text", [
+    "i\td\ti\to\tt", "i   d   i   o   t", "i\nd\ni\no\nt", "i. d. i. o. t!", "x i d 1 0 t.", "y o u i d i o t",
+    "iidiioott", "iddiot", "you.idiot", "i" + "d" * 40 + "iot", "i" + "." * 40 + "d.i.o.t", "a clown,idiot",
+])
+def test_no_disguise_is_kept_from_the_decoder(text):
+    """Tabs, wide gaps, doubled letters, long tokens and words chained by marks."""
+    common = "you you you you the idiot is a stupid loser you are x not"
+    table = np.array(toxicity_table(common))
+    read = toxicity.FeatureReader(table, ["idiot", "^idio"])
+    assert "idiot" in read.words(text)
+
+
+def toxicity_table(words):
+    n = np.zeros((toxicity.SYMBOLS,) * 3)
+    for word in words.split():
+        codes = [0, 0, *[toxicity.code(x) for x in word], 0]
+        for x in zip(codes, codes[1:], codes[2:]):
+            n[x] += 20
+    pairs = n.sum(axis=0) + 1
+    back_off = pairs / pairs.sum(axis=1, keepdims=True)
+    return np.log((n + 5 * back_off[None]) / (n.sum(axis=2, keepdims=True) + 5))
+
+
+def test_wider_gaps_are_borders_of_words(model):
+    table = model.tolist()
+    assert toxicity.restore("t h e   i d i o t   i s", table).split() == ["the", "idiot", "is"]
+
+
+def test_words_that_no_feature_can_come_from_are_not_decoded(model):
+    """Decoding all words with doubled letters gives no feature that the short way misses."""
+    features = ["idiot", "^idi", "^stup", "loser", "^betters"]
+    every, few = toxicity.Reader(model), toxicity.FeatureReader(model, features)
+    every.worth_decoding = lambda word: True
+    words = ["".join(p) for p in itertools.product(["i", "ii"], ["d", "dd"], ["i", "ii", "iii"], ["o", "oo"], ["t", "tt", "ts"])]
+    words += ["sttuppid", "looser", "lloosser", "bettter", "coffee", "aabb", "bbetterss", "llosser"]
+    for word in words:
+        found = [{f for w in read.forms(word) for f in toxicity.features_of(w) if f in features} for read in (every, few)]
+        assert found[0] == found[1], word
+
+
+def test_work_is_linear_in_the_length_of_a_token(model):
+    table = model.tolist()
+    long = "1d1ot.$tup1d" * 2_000
+    assert toxicity.restore(long, table).startswith(toxicity.restore("1d1ot.$tup1d" * 20, table)[:150])
+    assert len(toxicity.Reader(model).tokens("1 d i o t " * 5_000)[0]) > 1
+
+
 def test_language_model_counts_all_words(spark):
     rows = [(i, "ab ab\nba é1 x2", "", "") for i in range(7)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, DOC_SCHEMA).select("text").mapInArrow(toxicity.trigram_counts, "trigram int, n long")
