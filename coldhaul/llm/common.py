@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coldhaul.session import scratch_path
+from coldhaul.session import scratch_path, setting
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 KEY_BITS = 42
@@ -17,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared scratch folder and read back, which cuts the lineage."""
+    """Write to the shared scratch folder and read back, which cuts the lineage.
+
+    The shuffle files of the write go with it; else they would stay on the executors' disks
+    until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -175,36 +175,44 @@ def _indexed(packed: DataFrame) -> DataFrame:
 
 
 def _lists(indexed: DataFrame) -> DataFrame:
-    """One row per set of a block: its shared shingles and their frequencies."""
+    """One row per set that can have a partner: its shared shingles and their frequencies.
 
-    def gather(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), SHARED) for x in table.column("shared")])
+    A set that several blocks hold is taken from the first of them, so that the lists of
+    the others are not sent on.
+    """
+    sets = indexed.where("kind = 0 and n > 0").groupBy("set", "n").agg(F.min(F.struct("block", "local")).alias("first"))
+    owners = sets.select("first.block", "first.local", "set", "n")
+
+    def gather(owned: pa.Table, lists: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.empty(0, SHARED), *[np.frombuffer(x.as_buffer(), SHARED) for x in lists.column("shared")]])
         rows = rows[np.argsort(rows["local"], kind="stable")]
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(rows["local"])) + 1, [len(rows)]))
-        offsets = pa.array(edge.astype(np.int32))
-        k = len(edge) - 1
+        local, n = owned.column("local").to_numpy(), owned.column("n").to_numpy().astype(np.int64)
+        start, end = (np.searchsorted(rows["local"], local, side) for side in ("left", "right"))
+        # A partner shares at least ceil(0.8 n) shingles.
+        need = (4 * n + 4) // 5
+        able = np.flatnonzero(end - start >= need)
+        sizes = (end - start)[able]
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        at = np.arange(offsets[-1]) + np.repeat(start[able] - offsets[:-1], sizes)
+        offsets = pa.array(offsets.astype(np.int32))
         return pa.table(
             {
-                "block": pa.array(np.full(k, table.column("block")[0].as_py()), pa.int64()),
-                "local": pa.array(rows["local"][edge[:-1]].astype(np.int32)),
-                "tokens": pa.ListArray.from_arrays(offsets, pa.array(rows["token"].astype(np.int64))),
-                "freqs": pa.ListArray.from_arrays(offsets, pa.array(rows["freq"].astype(np.int32))),
+                "set": owned.column("set").take(pa.array(able)),
+                "n": owned.column("n").take(pa.array(able)),
+                "need": pa.array(need[able]),
+                "tokens": pa.ListArray.from_arrays(offsets, pa.array(rows["token"][at].astype(np.int64))),
+                "freqs": pa.ListArray.from_arrays(offsets, pa.array(rows["freq"][at].astype(np.int32))),
             }
         )
 
     # A block is some MB of text, so its group is small whatever the corpus.
     blocks = indexed.where("kind = 1").select("block", "shared").groupBy("block")
-    return blocks.applyInArrow(gather, "block long, local int, tokens array<long>, freqs array<int>")
+    return owners.groupBy("block").cogroup(blocks).applyInArrow(gather, "set long, n int, need long, tokens array<long>, freqs array<int>")
 
 
 def _candidates(indexed: DataFrame) -> DataFrame:
     """One row per set that can have a partner: its shared shingles by frequency, its l and prefix length."""
-    sets = indexed.where("kind = 0 and n > 0").select("block", "local", "set", "n").distinct()
-    # A partner shares at least ceil(0.8 n) shingles.
-    able = _lists(indexed).join(sets, ["block", "local"]).withColumn("need", F.expr("(4 * n + 4) div 5")).where("size(tokens) >= need")
-    one = able.groupBy("set", "n").agg(
-        F.first("tokens").alias("tokens"), F.first("freqs").alias("freqs"), F.first("need").alias("need")
-    )
+    one = _lists(indexed)
     ordered = one.select("set", "n", "need", F.expr("sort_array(arrays_zip(freqs, tokens))").alias("z")).select(
         "set", "n", "need", F.col("z.tokens").alias("tokens"), F.col("z.freqs").alias("freqs")
     )

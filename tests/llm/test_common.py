@@ -36,3 +36,18 @@ def test_keys_are_numbered_without_gaps_in_the_order_of_ids(spark, whole_partiti
     ids = [r["doc_id"] for r in docs.collect()]
     assert [r["doc_id"] for r in rows] == sorted(ids, key=lambda i: (i is not None, i or 0))
     assert common.keyed(docs).columns == [*docs.columns, "key"]
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {b for i in range(blocks.size()) if (b := blocks.apply(i).name()).startswith("shuffle_")}
+
+
+def test_storing_leaves_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    grouped = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).agg(F.collect_list("id").alias("ids"))
+    assert common.stored(grouped, "test").count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # Counting leaves one of its own.
+    left = {b.split("_")[1] for b in shuffle_files(spark) - before}
+    assert len(left) <= 1

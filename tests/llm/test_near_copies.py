@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from coldhaul.llm import near_copies
+from coldhaul.llm import common, near_copies
 from coldhaul.llm.components import components
 from llm_data import DOC_SCHEMA, clashing, messy, rows_of, sf_documents
 
@@ -90,3 +90,14 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOC_SCHEMA)
     assert near_copies.near_copy_components(empty).collect() == [] and near_copies.one_of_each(empty).collect() == []
+
+
+def test_a_set_of_several_blocks_has_one_list(spark):
+    rows = family(random.Random(3), 0, 12, 80, lambda i: i % 3)
+    docs = spark.createDataFrame([(i, r[1], "en", "s") for i, r in enumerate(rows * 4)], DOC_SCHEMA).repartition(4)
+    indexed = common.stored(near_copies._indexed(near_copies._packed(docs.select("doc_id", "text"))), "test")
+    assert indexed.where("kind = 0").select("block").distinct().count() > 1
+    distinct = {(r["set"], r["n"]) for r in indexed.where("kind = 0").select("set", "n").collect()}
+    found = near_copies._lists(indexed).collect()
+    assert sorted((r["set"], r["n"]) for r in found) == sorted(distinct)
+    assert all(r["need"] == -(-4 * r["n"] // 5) and len(set(r["tokens"])) == len(r["freqs"]) >= r["need"] for r in found)

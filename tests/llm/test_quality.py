@@ -124,3 +124,8 @@ def test_a_corpus_too_small_has_no_bounds(spark, min_docs):
     docs = spark.createDataFrame([(i, " ".join(f"w{i}{k}" for k in range(60)), None, None) for i in range(20)] + [(99, text, None, None)], DOC_SCHEMA)
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, min_docs).collect()}
     assert kept[99] == (min_docs > 1)
+
+
+def test_documents_are_not_shuffled_to_meet_their_fences(spark):
+    plan = quality.kept_documents(sf_documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
