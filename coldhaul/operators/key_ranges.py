@@ -39,10 +39,14 @@ class KeyRange:
 
 @dataclass(frozen=True)
 class KeyRanges:
-    """Distinct keys, written out as (key, range_no), and what was measured of each range."""
+    """Distinct keys, written out as (key, range_no), and what was measured of each range.
+
+    A range is broadcast up to ``bound`` bytes, by default ``restrict.BROADCAST_BYTES``.
+    """
 
     frame: DataFrame
     ranges: list[KeyRange]
+    bound: int | None = None
 
     @property
     def n_keys(self) -> int:
@@ -52,7 +56,8 @@ class KeyRanges:
     def sized_filters(self, spark: SparkSession) -> Iterator[None]:
         """Size Spark's runtime filters for the largest range; run the action in this block."""
         widest = max(self.ranges, key=lambda r: r.n_keys, default=None)
-        if widest is None or all(fits_broadcast(r.n_keys, self.frame.select("key").schema, r.n_bytes) for r in self.ranges):
+        schema = self.frame.select("key").schema
+        if widest is None or all(fits_broadcast(r.n_keys, schema, r.n_bytes, self.bound) for r in self.ranges):
             yield
         else:
             with bloom_filter_of(spark, widest.n_keys):
@@ -74,7 +79,11 @@ def _received(value: object, data_type: T.DataType) -> Column:
 
 
 def key_ranges(
-    keys: DataFrame, key: str, per_range: int = KEYS_PER_RANGE, tasks_per_range: int = TASKS_PER_RANGE
+    keys: DataFrame,
+    key: str,
+    per_range: int = KEYS_PER_RANGE,
+    tasks_per_range: int = TASKS_PER_RANGE,
+    bound: int | None = None,
 ) -> KeyRanges:
     """Cut the distinct keys of a frame into ranges of about ``per_range`` keys.
 
@@ -103,7 +112,7 @@ def key_ranges(
         bounds[0].alias("low"), bounds[1].alias("high"), F.count("*").alias("n"), text_bytes(frame.select("key")).alias("bytes")
     )
     found: list[Row] = measured.orderBy("range_no").collect()
-    return KeyRanges(frame, [KeyRange(*row) for row in found])
+    return KeyRanges(frame, [KeyRange(*row) for row in found], bound)
 
 
 def within_range(df: DataFrame, key: str, found: KeyRange, data_type: T.DataType) -> DataFrame:
@@ -126,6 +135,25 @@ def restrict_in_ranges(df: DataFrame, keys: KeyRanges, key: str) -> DataFrame:
     def part(found: KeyRange) -> DataFrame:
         mine = keys.frame.where(F.col("range_no") == found.number).select(F.col("key").alias(key))
         rows = within_range(df, key, found, data_type)
-        return rows.join(hinted(mine, found.n_keys, found.n_bytes), key, "left_semi").select(*columns)
+        return rows.join(hinted(mine, found.n_keys, found.n_bytes, keys.bound), key, "left_semi").select(*columns)
 
     return reduce(DataFrame.unionAll, map(part, keys.ranges)) if keys.ranges else df.limit(0)
+
+
+def keys_left(df: DataFrame, keys: DataFrame, key: str, keys_key: str | None = None, bound: int | None = None) -> KeyRanges:
+    """The keys of a table that are not in a key frame too large to broadcast.
+
+    Only keys are shuffled, each of the table once for every task that reads it.
+    """
+    mine = df.select(F.col(quote(key)).alias("key")).where("key IS NOT NULL").distinct()
+    gone = keys.select(F.col(quote(keys_key or key)).alias("key"))
+    return key_ranges(mine.join(gone, "key", "left_anti"), "key", bound=bound)
+
+
+def rows_of_keys_left(df: DataFrame, left: KeyRanges, key: str) -> DataFrame:
+    """The table's rows with one of the keys left, and those without a key.
+
+    Rows of other keys mostly leave the scan by the filters of the ranges, so the join
+    shuffles what stays rather than the whole table. Read the same files as ``keys_left``.
+    """
+    return restrict_in_ranges(df, left, key).unionAll(df.where(F.col(quote(key)).isNull()))

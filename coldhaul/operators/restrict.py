@@ -17,31 +17,33 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 # and fewer beyond, where it lets more rows pass.
 BLOOM_BITS = 1 << 31
 TEXT_BYTES = 112
+# Keys of a delete go to every task by way of the driver for each of its tables, so fewer of them do.
+DELETE_BROADCAST_BYTES = 32 * 1024 * 1024
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
-def fits_broadcast(n_rows: int, schema: T.StructType, n_bytes: int | None = None) -> bool:
+def fits_broadcast(n_rows: int, schema: T.StructType, n_bytes: int | None = None, bound: int | None = None) -> bool:
     """Whether a key frame of known length is small enough to send everywhere.
 
     ``n_bytes`` is the measured width of its texts; without it they are taken to have
-    ``TEXT_BYTES`` each.
+    ``TEXT_BYTES`` each. ``bound`` is ``BROADCAST_BYTES`` unless given.
     """
     texts = sum(not isinstance(f.dataType, _FIXED_WIDTH) for f in schema.fields)
     width = TEXT_BYTES * texts * n_rows if n_bytes is None else n_bytes
-    return n_rows * 16 * len(schema.fields) + width <= BROADCAST_BYTES
+    return n_rows * 16 * len(schema.fields) + width <= (BROADCAST_BYTES if bound is None else bound)
 
 
 def run_fits_broadcast(run: RunKeys) -> bool:
     return fits_broadcast(run.n_keys, run.frame.schema, run.n_bytes)
 
 
-def hinted(keys: DataFrame, n_keys: int | None, n_bytes: int | None = None) -> DataFrame:
+def hinted(keys: DataFrame, n_keys: int | None, n_bytes: int | None = None, bound: int | None = None) -> DataFrame:
     """Broadcast hint for a counted, small key frame.
 
     Uncounted or larger frames get no hint: Spark then plans a shuffled join,
     whose hot partitions the adaptive skew handling splits.
     """
-    if n_keys is not None and fits_broadcast(n_keys, keys.schema, n_bytes):
+    if n_keys is not None and fits_broadcast(n_keys, keys.schema, n_bytes, bound):
         return F.broadcast(keys)
     return keys
 
@@ -63,11 +65,12 @@ def sized_bloom_filter(spark: SparkSession, run: RunKeys) -> Iterator[None]:
 
 @contextmanager
 def bloom_filter_of(spark: SparkSession, n_keys: int) -> Iterator[None]:
-    """Spark's runtime filter with eight bits for each of ``n_keys`` keys."""
+    """Spark's runtime filter with eight bits for each of ``n_keys`` keys, on tables of any size."""
     bits = min(8 * n_keys, BLOOM_BITS)
     sizes = {"expectedNumItems": n_keys, "maxNumItems": n_keys, "numBits": bits, "maxNumBits": bits}
+    sides = {"creationSideThreshold": "10GB", "applicationSideScanSizeThreshold": "0"}
     with ExitStack() as stack:
-        for name, value in {**sizes, "creationSideThreshold": "10GB"}.items():
+        for name, value in {**sizes, **sides}.items():
             stack.enter_context(setting(spark, f"spark.sql.optimizer.runtime.bloomFilter.{name}", str(value)))
         yield
 

@@ -10,7 +10,7 @@ replaying the journal, which every rewrite of the table does first.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -94,13 +94,18 @@ def _folder(spark: SparkSession, columns: Sequence[str], values: Sequence[str |
 
 
 def rewrite_partitions(
-    spark: SparkSession, name: str, rows: DataFrame, partitions: Sequence[Row], file_bytes: int | None = None
+    spark: SparkSession,
+    name: str,
+    rows: DataFrame | Callable[[], DataFrame],
+    partitions: Sequence[Row],
+    file_bytes: int | None = None,
 ) -> None:
     """Replace the listed partitions by ``rows``; those without rows are dropped.
 
-    ``rows`` may read the table. Rows of a partition are gathered into files of about the
-    advisory size, or ``file_bytes``. A partition that gets other files meanwhile is left
-    alone and PartitionChanged is raised.
+    ``rows`` may read the table; a function is called when the files of the partitions have
+    been noted, for rows that take several passes over them. Rows of a partition are
+    gathered into files of about the advisory size, or ``file_bytes``. A partition that gets
+    other files meanwhile is left alone and PartitionChanged is raised.
     """
     finish_rewrites(spark, name)
     if not partitions:
@@ -115,6 +120,7 @@ def rewrite_partitions(
     try:
         size = str(file_bytes or spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
         with setting(spark, "spark.sql.adaptive.advisoryPartitionSizeInBytes", size):
+            rows = rows() if callable(rows) else rows
             out = rows.select(*map(quote, schema.fieldNames())).hint("rebalance", *columns)
             out.write.partitionBy(*columns).parquet(root)
     except Exception:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from pyspark.sql import types as T
 from coldhaul.functions.types import columns_ddl, quote
 from coldhaul.operators.conform import SchemaReport, conform, lost_values
 from coldhaul.operators.growth import split_growth
-from coldhaul.operators.restrict import restrict_to_keys, rows_left
+from coldhaul.operators.key_ranges import keys_left, rows_of_keys_left
+from coldhaul.operators.keys import text_bytes
+from coldhaul.operators.restrict import DELETE_BROADCAST_BYTES, fits_broadcast, restrict_to_keys, rows_left
 from coldhaul.operators.shape import old_columns_first
 from coldhaul.session import setting
 from coldhaul.sinks.rewrites import (
@@ -185,18 +188,31 @@ def delete_keys(
         keys.select(F.col(keys_key or key).alias(key)).createOrReplaceTempView(view)
         spark.sql(f"DELETE FROM {name} WHERE {quote(key)} IN (SELECT {quote(key)} FROM {view})")
         return
+    only = keys.select(F.col(quote(keys_key or key)).alias(key))
+    n_bytes = None
+    if n_keys is None:
+        n_keys, n_bytes = only.agg(F.count("*"), text_bytes(only)).first()
+    few = fits_broadcast(n_keys, only.schema, n_bytes, DELETE_BROADCAST_BYTES)
     partition_by = partition_columns(spark, name)
-    if partition_by:
-        finish_rewrites(spark, name)
-        table = spark.read.table(name)
-        hit = restrict_to_keys(table, keys, key, keys_key, n_keys).select(*map(quote, partition_by)).distinct().collect()
-        kept = rows_left(in_partitions(table, partition_by, hit), keys, key, keys_key, n_keys)
-        rewrite_partitions(spark, name, kept, hit)
-    else:
+    with ExitStack() as filters:
+
+        def kept(rows: DataFrame) -> DataFrame:
+            if few:
+                return rows_left(rows, keys, key, keys_key, n_keys, n_bytes)
+            left = keys_left(rows, keys, key, keys_key, DELETE_BROADCAST_BYTES)
+            filters.enter_context(left.sized_filters(spark))
+            return rows_of_keys_left(rows, left, key)
+
+        if partition_by:
+            finish_rewrites(spark, name)
+            table = spark.read.table(name)
+            keyed = restrict_to_keys(table, keys, key, keys_key, n_keys if few else None, n_bytes)
+            hit = keyed.select(*map(quote, partition_by)).distinct().collect()
+            rewrite_partitions(spark, name, lambda: kept(in_partitions(table, partition_by, hit)), hit)
+            return
         table = spark.read.table(name)
         location = location or f"{table_location(spark, name).rstrip('/')}__{uuid.uuid4().hex}"
-        kept = rows_left(table, keys, key, keys_key, n_keys).select(*map(quote, table.columns))
-        kept.write.parquet(location)
+        kept(table).select(*map(quote, table.columns)).write.parquet(location)
         spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
         spark.catalog.refreshTable(name)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coldhaul.operators import keys as K
 from coldhaul.operators import restrict
-from coldhaul.operators.key_ranges import key_ranges, restrict_in_ranges
+from coldhaul.operators.key_ranges import key_ranges, keys_left, restrict_in_ranges, rows_of_keys_left
 from coldhaul.operators.restrict import fits_broadcast, restrict_to_keys
 from coldhaul.session import setting
 
@@ -81,6 +81,21 @@ def test_bounds_reach_the_scan_and_filters_have_the_size_of_a_range(spark, tmp_p
     assert "might_contain" in plan and f"{largest}, {8 * largest}" in plan
 
 
+def test_rows_of_deleted_keys_leave_a_small_table_at_the_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(0, 40_000, 1, 4).selectExpr("nullif(id, 5) AS k", "'v' AS v").write.parquet(path)
+    table = spark.read.parquet(path)
+    with ExitStack() as stack:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            stack.enter_context(setting(spark, name, "-1"))
+        left = keys_left(table, spark.range(30_000), "k", "id", bound=0)
+        stack.enter_context(left.sized_filters(spark))
+        out = rows_of_keys_left(table, left, "k")
+        assert sorted(r["k"] or -1 for r in out.collect()) == [-1, *range(30_000, 40_000)]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "might_contain" in plan and "10000, 80000" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_broadcast_choice_rests_on_measured_bytes(spark):
     schema = spark.createDataFrame([], "k string").schema
     assert fits_broadcast(2_000_000, schema) and not fits_broadcast(2_000_000, schema, 2_000_000 * 10_000)

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from coldhaul.session import setting
 from coldhaul.sinks import tables as lake
 from coldhaul.sources.tables import register_views
 from tests.conftest import rows
@@ -138,6 +139,30 @@ def test_delete_keys(spark, table, partition_by):
     assert spark.read.table(name).count() == 9
 
 
+@pytest.mark.parametrize("partition_by", [[], ["p"]])
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_many_deleted_keys_never_shuffle_whole_rows(spark, table, partition_by, kind, monkeypatch):
+    monkeypatch.setattr(lake, "DELETE_BROADCAST_BYTES", 0)
+    name, location = table()
+    key = F.when(F.col("id") % 5 != 0, F.floor(F.col("id") / 4)).cast(kind)
+    df = spark.range(0, 2_000, 1, 4).select(key.alias("k"), F.md5(F.col("id").cast("string")).alias("v"), (F.col("id") % 2).cast("int").alias("p"))
+    lake.append_or_create(df, name, partition_by, location)
+    keys = spark.range(490).union(spark.range(100)).selectExpr(f"CAST(nullif(id, 7) AS {kind}) AS id")
+    wanted = [r for r in rows(df) if r[0] is None or float(r[0]) == 7 or float(r[0]) >= 490]
+    joins = []
+    original = type(df).join
+
+    def join(left, right, on=None, how=None):
+        joins.append((how, left.columns))
+        return original(left, right, on, how)
+
+    monkeypatch.setattr(type(df), "join", join)
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        lake.delete_keys(spark, name, keys, "k", "id")
+    assert rows(spark.read.table(name).select("k", "v", "p")) == wanted
+    assert [columns for how, columns in joins if how == "left_anti"] == [["key"]]
+
+
 def test_sql_over_registered_tables(spark):
     register_views(spark, {"some_rows": spark.range(4)})
     assert spark.sql("SELECT sum(id) FROM some_rows").first()[0] == 6
