@@ -17,8 +17,9 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 # and fewer beyond, where it lets more rows pass.
 BLOOM_BITS = 1 << 31
 TEXT_BYTES = 112
-# Keys of a delete go to every task by way of the driver for each of its tables, so fewer of them do.
-DELETE_BROADCAST_BYTES = 32 * 1024 * 1024
+# What is broadcast goes through the driver, for every table again; where a shuffle moves keys
+# alone instead of rows, fewer of them do.
+KEYS_ALONE_BYTES = 32 * 1024 * 1024
 _FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType)
 
 
@@ -33,8 +34,8 @@ def fits_broadcast(n_rows: int, schema: T.StructType, n_bytes: int | None = None
     return n_rows * 16 * len(schema.fields) + width <= (BROADCAST_BYTES if bound is None else bound)
 
 
-def run_fits_broadcast(run: RunKeys) -> bool:
-    return fits_broadcast(run.n_keys, run.frame.schema, run.n_bytes)
+def run_fits_broadcast(run: RunKeys, bound: int | None = None) -> bool:
+    return fits_broadcast(run.n_keys, run.frame.schema, run.n_bytes, bound)
 
 
 def hinted(keys: DataFrame, n_keys: int | None, n_bytes: int | None = None, bound: int | None = None) -> DataFrame:
@@ -49,17 +50,17 @@ def hinted(keys: DataFrame, n_keys: int | None, n_bytes: int | None = None, boun
 
 
 @contextmanager
-def sized_bloom_filter(spark: SparkSession, run: RunKeys) -> Iterator[None]:
+def sized_bloom_filter(spark: SparkSession, run: RunKeys, keys: DataFrame | None = None) -> Iterator[None]:
     """Size Spark's runtime filter for a run whose keys are too many to broadcast.
 
     Rows of other keys then mostly leave the scan before the join shuffles
     them. The default size suits a million keys and lets nearly all rows pass
-    for many more.
+    for many more. ``keys`` is the part of them that is joined, which is counted.
     """
     if run_fits_broadcast(run):
         yield
     else:
-        with bloom_filter_of(spark, run.n_keys):
+        with bloom_filter_of(spark, run.n_keys if keys is None else max(1, keys.count())):
             yield
 
 
@@ -103,12 +104,26 @@ def rows_left(
     return df.join(hinted(_renamed(keys, key, keys_key), n_keys, n_bytes), key, "left_anti")
 
 
-def with_batch(df: DataFrame, run: RunKeys, key: str, keys: DataFrame | None = None) -> DataFrame:
+def with_batch(
+    df: DataFrame, run: RunKeys, key: str, keys: DataFrame | None = None, bound: int | None = None
+) -> DataFrame:
     """The run's rows of one table, each with its batch number.
 
     Keys are unique in a run, so the inner join neither drops nor repeats rows
-    of the table.
+    of the table. They are broadcast up to ``bound`` bytes.
     """
     keys = run.frame if keys is None else keys
     keys = keys.select(F.col(run.key).alias(key), "batch_no")
-    return df.join(hinted(keys, run.n_keys, run.n_bytes), key)
+    return df.join(hinted(keys, run.n_keys, run.n_bytes, bound), key)
+
+
+def counted_by_batch(df: DataFrame, run: RunKeys, key: str) -> DataFrame:
+    """(batch_no, n), which sum to the run's rows of one table in each batch.
+
+    Many keys are not broadcast for it: the rows are counted by key, so that the join
+    shuffles keys alone, and a key with many rows is one row there.
+    """
+    if run_fits_broadcast(run, KEYS_ALONE_BYTES):
+        return with_batch(df.select(key), run, key).select("batch_no", F.lit(1).cast("bigint").alias("n"))
+    counts = df.select(key).where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return counts.join(run.frame.select(F.col(run.key).alias(key), "batch_no"), key).select("batch_no", "n")

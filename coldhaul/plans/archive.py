@@ -18,7 +18,7 @@ from coldhaul.functions.types import quote
 from coldhaul.operators.conform import conform, lossy_rows, may_lose
 from coldhaul.operators.growth import split_growth
 from coldhaul.operators.keys import ONE_TASK_ROWS, RunKeys, batched_keys, ceil_division, expired_keys
-from coldhaul.operators.restrict import rows_left, sized_bloom_filter, with_batch
+from coldhaul.operators.restrict import KEYS_ALONE_BYTES, counted_by_batch, rows_left, sized_bloom_filter, with_batch
 from coldhaul.operators.shape import cast_columns, expand_struct, fill_empty_strings, union_all
 from coldhaul.plans.claims import LEASE_SECONDS, Claim
 from coldhaul.plans.ledger import BATCH, Ledger
@@ -159,7 +159,7 @@ class _TableWriter:
         self.scratch.append(part)
         keys = self.run.frame.where(batches)
         wanted = self.rows.select(*[F.col(quote(c)) for c in (self.table.key, self.table.json.column, *self.keep)])
-        with sized_bloom_filter(self.spark, self.run):
+        with sized_bloom_filter(self.spark, self.run, keys):
             with_batch(wanted, self.run, self.table.key, keys).write.parquet(part)
         self.parts.append(part)
 
@@ -173,21 +173,21 @@ class _TableWriter:
             log.warning("%s: no documents in run %s", self.table.name, self.run_id)
             self.schema, self.decode = T.StructType([]), spec.decode
 
-    def frame(self, batches: Column) -> DataFrame:
+    def frame(self, batches: Column, bound: int | None = None) -> DataFrame:
         """Rows of some batches, as far as the target can take them; new nested fields in columns of their own."""
-        df, spec = self._source_frame(batches), self.table.json
+        df, spec = self._source_frame(batches, bound), self.table.json
         if (spec is None or spec.evolve) and self.spark.catalog.tableExists(self.table.target):
             df = split_growth(df, self.spark.read.table(self.table.target).schema)
         return df
 
-    def _source_frame(self, batches: Column) -> DataFrame:
+    def _source_frame(self, batches: Column, bound: int | None) -> DataFrame:
         table, spec = self.table, self.table.json
         run_id = F.lit(self.run_id).alias("run_id")
         if spec is None:
             if self.staged is not None:
                 rows = self.staged.where(batches)
             else:
-                rows = with_batch(self.rows, self.run, table.key, self.run.frame.where(batches))
+                rows = with_batch(self.rows, self.run, table.key, self.run.frame.where(batches), bound)
             return fill_empty_strings(rows).select("*", run_id)
         docs = self.documents.where(batches)
         keep = [table.key, *self.keep, "batch_no"]
@@ -230,13 +230,12 @@ class _TableWriter:
         """
         if self.table.json:
             return []
-        df = self.frame(F.lit(True))
+        df = self.frame(F.lit(True), KEYS_ALONE_BYTES)
         lossy = lossy_rows(df.schema, self._target_schema(df))
-        plan = df.where(lossy).select("batch_no").distinct()
         if not may_lose(df.schema, self.spark.read.table(self.table.target).schema):
             return []
-        with sized_bloom_filter(self.spark, self.run):
-            return [r["batch_no"] for r in plan.collect()]
+        # The filter goes below the join, which then has the keys of such rows alone.
+        return [r["batch_no"] for r in df.where(lossy).select("batch_no").distinct().collect()]
 
     def write(self, batches: Column) -> None:
         df, spec = self.frame(batches), self.table.json
@@ -260,13 +259,13 @@ class _TableWriter:
             folders.remove(self.spark, path)
 
     def expected(self) -> DataFrame:
-        """Rows of each batch at the source."""
-        return with_batch(self.rows.select(self.table.key), self.run, self.table.key)
+        """Rows of each batch at the source, as numbers ``n`` to be summed."""
+        return counted_by_batch(self.rows, self.run, self.table.key)
 
 
-def _counts(frames: Mapping[str, DataFrame], count: str) -> DataFrame:
+def _counts(frames: Mapping[str, DataFrame], count: str, rows: Column) -> DataFrame:
     """(batch_no, table, count) over frames with a batch number."""
-    each = [df.groupBy("batch_no").agg(F.count("*").alias(count)).withColumn("table", F.lit(n)) for n, df in frames.items()]
+    each = [df.groupBy("batch_no").agg(rows.alias(count)).withColumn("table", F.lit(n)) for n, df in frames.items()]
     return union_all(each)
 
 
@@ -446,8 +445,8 @@ def _copy_tables(
     manifest = (
         run.frame.select("batch_no").distinct()
         .select("batch_no", F.explode(F.array(*[F.lit(t.name) for t in tables])).alias("table"))
-        .join(_counts({w.table.name: w.expected() for w in writers}, "expected"), ["batch_no", "table"], "left")
-        .join(_counts(landed, "rows"), ["batch_no", "table"], "left")
+        .join(_counts({w.table.name: w.expected() for w in writers}, "expected", F.sum("n")), ["batch_no", "table"], "left")
+        .join(_counts(landed, "rows", F.count("*")), ["batch_no", "table"], "left")
         .join(bad, "batch_no", "left")
         .fillna(0, ["expected", "rows"])
         .withColumn("short", F.col("blamed").isNull() & (F.col("rows") != F.col("expected")))

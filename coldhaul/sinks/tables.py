@@ -20,7 +20,7 @@ from coldhaul.operators.conform import SchemaReport, conform, lost_values
 from coldhaul.operators.growth import split_growth
 from coldhaul.operators.key_ranges import keys_left, rows_of_keys_left
 from coldhaul.operators.keys import text_bytes
-from coldhaul.operators.restrict import DELETE_BROADCAST_BYTES, fits_broadcast, restrict_to_keys, rows_left
+from coldhaul.operators.restrict import KEYS_ALONE_BYTES, fits_broadcast, restrict_to_keys, rows_left
 from coldhaul.operators.shape import old_columns_first
 from coldhaul.session import setting
 from coldhaul.sinks.rewrites import (
@@ -192,14 +192,14 @@ def delete_keys(
     n_bytes = None
     if n_keys is None:
         n_keys, n_bytes = only.agg(F.count("*"), text_bytes(only)).first()
-    few = fits_broadcast(n_keys, only.schema, n_bytes, DELETE_BROADCAST_BYTES)
+    few = fits_broadcast(n_keys, only.schema, n_bytes, KEYS_ALONE_BYTES)
     partition_by = partition_columns(spark, name)
     with ExitStack() as filters:
 
         def kept(rows: DataFrame) -> DataFrame:
             if few:
                 return rows_left(rows, keys, key, keys_key, n_keys, n_bytes)
-            left = keys_left(rows, keys, key, keys_key, DELETE_BROADCAST_BYTES)
+            left = keys_left(rows, keys, key, keys_key, KEYS_ALONE_BYTES)
             filters.enter_context(left.sized_filters(spark))
             return rows_of_keys_left(rows, left, key)
 

@@ -364,3 +364,26 @@ def test_errors_that_are_not_about_rows_are_raised():
     with pytest.raises(ConnectionError):
         plan.write_isolated(write, 0, 100, failed)
     assert failed == {}
+
+
+def test_many_keys_are_broadcast_for_writes_alone(spark, source, monkeypatch):
+    """Not to count the rows of the source, nor to find those that lose a value."""
+    for module in (restrict, plan):
+        monkeypatch.setattr(module, "KEYS_ALONE_BYTES", 0)
+    line = F.when(F.col("line") == 25, "unknown").otherwise(F.col("line").cast("string"))
+    columns = spark.range(1).selectExpr("id AS job", "id AS line", "'' AS run_id", "0 AS batch_no").schema
+    create_table(spark, source.target("trace"), columns, ["run_id", "batch_no"], f"{source.location}/trace")
+    broadcast, sent = F.broadcast, []
+
+    def sending(df):
+        sent.append(df.columns)
+        return broadcast(df)
+
+    monkeypatch.setattr(F, "broadcast", sending)
+    with pytest.raises(ArchiveFailed) as failure:
+        source.run("r1", delete=False, trace=source.trace.withColumn("line", line))
+    assert list(failure.value.result.failed) == [2]
+    assert keys_of(source.archived("trace"), "line") == [n for n in range(120) if not 20 <= n % 40 < 30]
+    assert keys_of(source.archived("docs")) == [k for k in range(40) if not 20 <= k < 30]
+    # Once for jobs, once for trace, and for documents to get their columns and to copy them.
+    assert sent == [["job", "batch_no"]] * 4

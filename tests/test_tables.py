@@ -142,7 +142,7 @@ def test_delete_keys(spark, table, partition_by):
 @pytest.mark.parametrize("partition_by", [[], ["p"]])
 @pytest.mark.parametrize("kind", ["bigint", "string", "double"])
 def test_many_deleted_keys_never_shuffle_whole_rows(spark, table, partition_by, kind, monkeypatch):
-    monkeypatch.setattr(lake, "DELETE_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(lake, "KEYS_ALONE_BYTES", 0)
     name, location = table()
     key = F.when(F.col("id") % 5 != 0, F.floor(F.col("id") / 4)).cast(kind)
     df = spark.range(0, 2_000, 1, 4).select(key.alias("k"), F.md5(F.col("id").cast("string")).alias("v"), (F.col("id") % 2).cast("int").alias("p"))
