@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import sub
 from os.path import commonprefix
 
 import numpy as np
@@ -45,10 +46,12 @@ END_MARKS = re.compile(r"(?<=\S)[.,;:?!\"']+$")
 BETWEEN = re.compile(r"[^\w]+")
 SPLIT_BY_MARKS = re.compile(r"(?:[^\W_][.\-_*~'·,/]+){2,}[^\W_]")
 EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
+END_SIGNS = ".,;:?!\"'"
 SETTLED = 64
 #: Letters that stand for others, as one letter.
 ONE_LETTER = str.maketrans("vµø", "uuo")
 CACHED_TOKENS = 300_000
+NOTHING: dict[str, list[int]] = {}
 
 
 def code(letter: str) -> int:
@@ -183,9 +186,9 @@ class Reader:
         lower = text.lower()
         parts = lower.split()
         found = set(parts)
-        short = [i for i, p in enumerate(parts) if len(p) <= 2]
+        short = [i for i, n in enumerate(map(len, parts)) if n <= 2]
         # No run of four is without three short tokens in a row.
-        if any(b - a == 2 for a, b in zip(short, short[2:])):
+        if 2 in map(sub, short[2:], short):
             for run in SPACED.finditer(lower):
                 if len(LETTERS.findall(run[0])) >= 2:
                     signs = END_MARKS.sub("", run[0])
@@ -198,16 +201,21 @@ class Reader:
 
     def forms(self, token: str) -> tuple[str, ...]:
         """The word of a token without its punctuation, and what it may disguise."""
+        if token.isalpha() and not DOUBLED.search(token):
+            return (token,)
         plain = token.strip(EDGE_MARKS)
         if plain.isalpha() and plain == token:
             if not DOUBLED.search(plain) or not self.worth_decoding(plain):
                 return (plain,)
             return tuple(dict.fromkeys([plain, *restore(plain, self.table).split()]))
+        # A word with one mark behind it is the same in both shapes below.
+        if token[:-1] == plain and token[-1] in END_SIGNS and plain.isalpha() and not (DOUBLED.search(plain) or SIGNS.search(plain)):
+            return (plain,)
         out = [plain] if plain else []
         if not plain.isalpha():
             out += [w for w in BETWEEN.split(plain) if len(w) >= 3 and w != plain]
         # A single sign at an edge may be a letter, a run of signs is decoration.
-        signed = EDGE_RUN.sub("", token).rstrip(".,;:?!\"'").lstrip("\"'(")
+        signed = EDGE_RUN.sub("", token).rstrip(END_SIGNS).lstrip("\"'(")
         for shape in dict.fromkeys((plain, signed)):
             if suspicious(shape) or (shape.isalpha() and DOUBLED.search(shape) and self.worth_decoding(shape)):
                 out += restore(shape, self.table).split()
@@ -231,10 +239,16 @@ class FeatureReader(Reader):
     def __init__(self, model: np.ndarray, features: Iterable[str]) -> None:
         super().__init__(model)
         self.skeletons = {skeleton(f.removeprefix("^")) for f in features}
+        self.lengths = sorted({len(s) for s in self.skeletons if 1 <= len(s) < 8})
 
     def worth_decoding(self, word: str) -> bool:
-        bare = skeleton(word)
-        return bare in self.skeletons or any(bare[:k] in self.skeletons for k in range(1, 8))
+        bare, skeletons = skeleton(word), self.skeletons
+        if bare in skeletons:
+            return True
+        for k in self.lengths:
+            if bare[:k] in skeletons:
+                return True
+        return False
 
 
 class Vectors:
@@ -242,29 +256,36 @@ class Vectors:
 
     def __init__(self, model: np.ndarray, index: dict[str, int]) -> None:
         self.reader, self.index = FeatureReader(model, index), index
+        # How words with a feature start; all features of a word have at least three letters or are the word.
+        self.starts = {start for f in index for start in (f[:3], f.removeprefix("^")[:3])}
         # Most tokens carry no feature, so the answer per token is kept: word -> features.
-        self.known: dict[str, dict[str, list[int]]] = {}
+        self.known: set[str] = set()
+        self.carrying: dict[str, dict[str, list[int]]] = {}
 
     def of_token(self, token: str) -> dict[str, list[int]]:
-        index = self.index
+        index, starts = self.index, self.starts
+        if token[:3] not in starts and token.isalpha() and not DOUBLED.search(token):
+            return NOTHING
         found = {}
         for word in self.reader.forms(token):
-            if at := [index[f] for f in features_of(word) if f in index]:
+            if word[:3] in starts and (at := [index[f] for f in features_of(word) if f in index]):
                 found[word] = at
-        return found
+        return found or NOTHING
 
     def __call__(self, text: str) -> dict[int, float]:
         tokens, n = self.reader.tokens(text)
-        known = self.known
+        known, carrying = self.known, self.carrying
         if len(known) > CACHED_TOKENS:
             known.clear()
+            carrying.clear()
+        fresh = tokens - known
+        for token in fresh:
+            if found := self.of_token(token):
+                carrying[token] = found
+        known |= fresh
         carried: dict[str, list[int]] = {}
-        for token in tokens:
-            found = known.get(token)
-            if found is None:
-                found = known[token] = self.of_token(token)
-            if found:
-                carried.update(found)
+        for token in carrying.keys() & tokens:
+            carried.update(carrying[token])
         hits = Counter(at for features in carried.values() for at in features)
         scale = 1.0 / (1.0 + n / 100.0)
         out: dict[int, float] = {}

@@ -158,3 +158,15 @@ def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
         assert 0 < len(sample) <= most
     everything = toxicity._train_rows(docs, labels, 100).collect()
     assert len(everything) == sum(1 for i in range(1, 40) if zlib.crc32(str(i).encode()) % 3 != 1)
+
+
+def test_words_that_no_feature_begins_like_are_not_taken_apart(monkeypatch):
+    import numpy as np
+
+    from coldhaul.llm import toxicity
+
+    vector = toxicity.Vectors(np.zeros((28, 28, 28)), {"^gru": 0, "zork": 1})
+    forms, seen = vector.reader.forms, []
+    monkeypatch.setattr(vector.reader, "forms", lambda token: seen.append(token) or forms(token))
+    assert vector("plain words and a grub by the zork zorks plain") == {0: 1, 1: 4 / 1.1, 2: 1, 3: 4 / 1.1}
+    assert sorted(seen) == ["grub", "zork", "zorks"]
